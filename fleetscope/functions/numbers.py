@@ -14,19 +14,30 @@ MIB = 1024 * 1024
 GIB = 1024 * MIB
 
 
-def _whole(c) -> Column:
+def _whole(c, digits: int) -> Column:
     c = F.lit(c) if isinstance(c, int) else col(c)
-    return c.cast("decimal(38,0)")
+    return c.cast(f"decimal({digits},0)")
+
+
+def _rounded(q: Column, scale: int) -> Column:
+    q = F.round(q, scale)
+    return q.cast("bigint") if scale == 0 else q.cast("double")
 
 
 def ratio(num, den, scale: int = 0) -> Column:
-    """num/den of whole numbers (den >= 0) rounded to scale digits; NULL when den is zero."""
-    n, d = _whole(num), _whole(den)
-    signed = F.when(n < 0, -d).otherwise(d)
-    twice = n * F.lit(2 * 10**scale).cast("decimal(38,0)") + signed
-    q = F.call_function("div", twice, d * F.lit(2).cast("decimal(38,0)"))
-    out = F.when(d != 0, q)
-    return out if scale == 0 else out / F.lit(float(10**scale))
+    """num/den of whole numbers rounded to scale digits; NULL when den is zero.
+
+    The quotient carries 18 decimal digits, so rounding is exact while 2 * den * 10**scale < 10**18.
+    """
+    return _rounded(F.try_divide(_whole(num, 20), _whole(den, 17)), scale)
+
+
+def big_ratio(num, den, scale: int = 0) -> Column:
+    """ratio for products that outgrow 20 digits (non-negative): whole-number division throughout."""
+    n, d = _whole(num, 38), _whole(den, 38)
+    twice = n * F.lit(2 * 10**scale).cast("decimal(38,0)") + d
+    q = F.when(d != 0, F.call_function("div", twice, d * F.lit(2).cast("decimal(38,0)")))
+    return q if scale == 0 else q / F.lit(float(10**scale))
 
 
 def avg_nz(c) -> Column:

@@ -89,8 +89,8 @@ def _centis(prefix: str) -> Column:
 
 def _mb_sec(prefix: str, c: str, scale: int = 0) -> Column:
     """Volume rounded to scale digits of a megabyte, over the rounded mean elapsed seconds."""
-    steps = ratio(F.col(f"{prefix}_{c}").cast("decimal(38,0)") * 10**scale, MIB)
-    return ratio(steps * 100, _centis(prefix).cast("decimal(38,0)") * 10**scale)
+    steps = ratio(F.col(f"{prefix}_{c}") * 10**scale, MIB)
+    return ratio(steps * 100, _centis(prefix) * 10**scale)
 
 
 def _req_sec(prefix: str, c: str) -> Column:
@@ -279,7 +279,7 @@ def top5_waiting(s: DataFrame, n: int = 5, ties: str = "row_number") -> DataFram
 def top2_statement_lines(s: DataFrame) -> DataFrame:
     """Two busiest statement plan lines per sample, with parse and execution states and read rate."""
     line = ["sql_id", "sql_plan_hash_value", "sql_plan_line_id", "sql_plan_operation", "sql_plan_options"]
-    read_rate = ratio(F.sum("delta_read_io_bytes").cast("decimal(38,0)") * F.count("delta_time") * 1000000,
+    read_rate = numbers.big_ratio(F.sum("delta_read_io_bytes").cast("decimal(38,0)") * F.count("delta_time") * 1000000,
                       F.sum("delta_time").cast("decimal(38,0)") * MIB, 2)
     per_line = s.groupBy("sample_time", *line).agg(
         F.count(F.lit(1)).alias("sessions"),
