@@ -38,10 +38,14 @@ def acl_group(c) -> Column:
     return null_if_empty(F.regexp_extract(col(c), r"pgrp:([A-Za-z0-9]*):", 1))
 
 
+SCHEDULE_XML = "IntervalSchedule STRUCT<_INTERVAL: STRING, _TIME_UNIT: STRING>"
+
+
 def schedule(c) -> Column:
     """'<interval> <unit>' from a schedule XML text; the unit defaults to minutes."""
-    at = lambda name: null_if_empty(F.xpath_string(col(c), F.lit(f"/Schedule/IntervalSchedule/@{name}")))
-    return F.when(F.trim(col(c)) != "", F.concat_ws(" ", at("INTERVAL"), F.coalesce(at("TIME_UNIT"), F.lit("Min"))))
+    node = F.from_xml(F.trim(col(c)), SCHEDULE_XML)["IntervalSchedule"]
+    interval, unit = null_if_empty(node["_INTERVAL"]), null_if_empty(node["_TIME_UNIT"])
+    return F.when(F.trim(col(c)) != "", F.concat_ws(" ", interval, F.coalesce(unit, F.lit("Min"))))
 
 
 def digits_only(c) -> Column:
