@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import labels
 from ..functions.nulls import asc, null_if_empty
 from ..functions.text import schedule
+from ..session import checkpoint
 from .aggregates import agg_list
 from .filters import has_threshold
 from .joins import not_in
@@ -103,6 +104,7 @@ def _lacking_rows(cur: DataFrame, groups: DataFrame) -> DataFrame:
 
 def default_and_exceptions(cur: DataFrame) -> DataFrame:
     """For every metric and key the setting most targets share, and each target that deviates, with counts."""
+    cur = checkpoint(cur)  # one day of settings, read several times below
     groups = setting_groups(cur)
     default = groups.where((F.col("rnk") == 1) & F.col("comparison_operator").isNotNull()).select(
         *GROUP, F.lit(1).alias("is_default"), F.lit("Default value").alias("target_name"), F.lit(None).cast("string").alias("host_name"), *SETTING, "cnt")
