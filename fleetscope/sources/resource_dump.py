@@ -11,8 +11,11 @@ from ..functions.times import hours_since
 
 RECORD_BREAK = "BREAK_HERE\n"  # fixed value: separator line of saved dumps
 
-# How a resource name tells its kind.
-SUFFIXES = {"DB": r"\.db$", "PDB": r"\.pdb$", "LISTENER": r"\.lsnr", "SERVICE": r"\.svc"}
+# The name ending that tells the kind of a resource; anything else is technical.
+KINDS = {"db": "DB", "pdb": "PDB", "lsnr": "LISTENER", "svc": "SERVICE"}
+STATIC = ["ACL", "ORACLE_HOME", "DATABASE_TYPE", "ROLE", "ENDPOINTS", "PLUGGABLE_DATABASE", "PDB_NAME", "USR_ORA_VIP", "VOLUME_DEVICE", "ENABLED"]
+DYNAMIC = ["ACL", "LAST_SERVER", "STATE", "TARGET", "USR_ORA_OPEN_MODE", "LAST_RESTART", "LAST_STATE_CHANGE", "STATE_DETAILS"]
+# End of fixed values.
 
 
 def read_resource_dump(spark: SparkSession, path: str, separator: str = RECORD_BREAK) -> DataFrame:
@@ -26,37 +29,27 @@ def attribute(key: str, c: str = "value") -> Column:
 
 
 def _named(records: DataFrame) -> DataFrame:
-    """Kind and name parts of every record."""
-    plain = F.regexp_replace(F.regexp_replace(attribute("NAME"), r"^ora\.", ""), r"\(.*$", "")
-    kind = F.lit("TECH")
-    for k, pattern in reversed(SUFFIXES.items()):
-        kind = F.when(F.col("plain").rlike(pattern), k).otherwise(kind)
-    strip = {"DB": r"\.db$", "PDB": r"\.pdb$", "LISTENER": r"\.lsnr$", "SERVICE": r"\.svc$", "TECH": r"\.[A-Za-z0-9]*$"}
-    resource = F.col("plain")
-    for k, pattern in strip.items():
-        resource = F.when(F.col("kind") == k, F.regexp_replace("plain", pattern, "")).otherwise(resource)
-    return (
-        records.withColumn("plain", plain).where("plain IS NOT NULL").withColumn("kind", kind).withColumn("resource", resource)
-        .withColumns({
-            "database": F.when(F.col("kind").isin("DB", "PDB", "SERVICE"), F.substring_index("resource", ".", 1)),
-            "part": F.when(F.col("kind").isin("PDB", "SERVICE"), F.regexp_replace("resource", r"^[^.]*\.", "")),
-            "tech_type": F.when(F.col("kind") == "TECH", F.substring_index("plain", ".", -1)),
-        }).drop("plain")
-    )
+    """Every record with its resource name, kind, name parts and changing attributes."""
+    raw = records.select(
+        "value", null_if_empty(F.regexp_extract("value", r"(?m)^NAME=(?:ora\.)?([^(\n]*)", 1)).alias("plain"),
+        *[attribute(k).alias(k) for k in DYNAMIC]).where("plain IS NOT NULL")
+    split = raw.withColumns({
+        "resource": F.regexp_replace("plain", r"\.[A-Za-z0-9]*$", ""), "ending": F.substring_index("plain", ".", -1)})
+    return split.withColumn("kind", labels.map_code("ending", KINDS, "TECH"))
 
 
 def _profile(named: DataFrame) -> DataFrame:
     """Static attributes of a resource, from its record that has an access list."""
-    text = named.groupBy("kind", "resource").agg(F.max(F.when(attribute("ACL").isNotNull(), F.col("value"))).alias("value"))
+    text = named.where("ACL IS NOT NULL").groupBy("plain").agg(F.max("value").alias("value"))
     keys = F.regexp_extract_all("value", F.lit(r"(?m)^ENABLED@SERVERNAME\((.*?)\)="), F.lit(1))
     flags = F.regexp_extract_all("value", F.lit(r"(?m)^ENABLED@SERVERNAME\(.*?\)=(.*)$"), F.lit(1))
-    return text.select(
-        "kind", "resource", acl_owner(attribute("ACL")).alias("owner"), acl_group(attribute("ACL")).alias("owner_group"),
-        attribute("ORACLE_HOME").alias("home"), version_from_path(attribute("ORACLE_HOME")).alias("version"),
-        attribute("DATABASE_TYPE").alias("database_type"), attribute("ROLE").alias("role"), attribute("ENDPOINTS").alias("port"),
-        attribute("PLUGGABLE_DATABASE").alias("pluggable"), attribute("PDB_NAME").alias("pdb_name"), attribute("USR_ORA_VIP").alias("vip"),
-        F.lower(attribute("VOLUME_DEVICE")).alias("device"), attribute("ENABLED").alias("enabled"),
-        F.map_from_arrays(keys, flags).alias("enabled_at"))
+    raw = text.select("plain", F.map_from_arrays(keys, flags).alias("enabled_at"), *[attribute(k).alias(k) for k in STATIC])
+    return raw.select(
+        "plain", acl_owner("ACL").alias("owner"), acl_group("ACL").alias("owner_group"),
+        F.col("ORACLE_HOME").alias("home"), version_from_path("ORACLE_HOME").alias("version"),
+        F.col("DATABASE_TYPE").alias("database_type"), F.col("ROLE").alias("role"), F.col("ENDPOINTS").alias("port"),
+        F.col("PLUGGABLE_DATABASE").alias("pluggable"), F.col("PDB_NAME").alias("pdb_name"), F.col("USR_ORA_VIP").alias("vip"),
+        F.lower("VOLUME_DEVICE").alias("device"), F.col("ENABLED").alias("enabled"), "enabled_at")
 
 
 def resource_states(records: DataFrame, now: str) -> DataFrame:
@@ -65,15 +58,17 @@ def resource_states(records: DataFrame, now: str) -> DataFrame:
     For databases the target comes from the open mode.
     """
     named = _named(records)
-    mode = labels.target_state(attribute("USR_ORA_OPEN_MODE"))
-    states = named.where(attribute("LAST_SERVER").isNotNull()).select(
-        "kind", "resource", "database", "part", "tech_type", attribute("LAST_SERVER").alias("node"),
-        F.regexp_replace(attribute("STATE"), r" on .*$", "").alias("state"),
-        F.when(F.col("kind") == "DB", F.coalesce(mode, attribute("TARGET"))).otherwise(attribute("TARGET")).alias("target"),
-        F.least(hours_since(attribute("LAST_RESTART"), now), hours_since(attribute("LAST_STATE_CHANGE"), now)).alias("started_hours"),
-        labels.status_detail(attribute("STATE_DETAILS")).alias("details"))
+    is_db = F.col("kind") == "DB"
+    states = named.where("LAST_SERVER IS NOT NULL").select(
+        "plain", "kind", "resource", F.when(F.col("kind").isin("DB", "PDB", "SERVICE"), F.substring_index("resource", ".", 1)).alias("database"),
+        F.when(F.col("kind").isin("PDB", "SERVICE"), F.regexp_replace("resource", r"^[^.]*\.", "")).alias("part"),
+        F.when(F.col("kind") == "TECH", F.col("ending")).alias("tech_type"),
+        F.col("LAST_SERVER").alias("node"), F.regexp_replace("STATE", r" on .*$", "").alias("state"),
+        F.coalesce(F.when(is_db, labels.target_state("USR_ORA_OPEN_MODE")), F.col("TARGET")).alias("target"),
+        F.least(hours_since("LAST_RESTART", now), hours_since("LAST_STATE_CHANGE", now)).alias("started_hours"),
+        labels.status_detail("STATE_DETAILS").alias("details"))
     enabled = F.coalesce(F.try_element_at("enabled_at", F.col("node")), F.col("enabled"), F.lit("1"))
-    return states.join(_profile(named), ["kind", "resource"], "left").withColumn("disabled", enabled == "0").drop("enabled_at", "enabled")
+    return states.join(_profile(named), "plain", "left").withColumn("disabled", enabled == "0").drop("enabled_at", "enabled", "plain")
 
 
 def explode_status_lists(records: DataFrame) -> DataFrame:
