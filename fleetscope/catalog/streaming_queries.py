@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import streaming as S
 from ..operators.activity import class_column
 from ..functions import labels
+from ..functions.times import as_instant, from_instant
 from ..session import scratch_dir
 from ..streaming.alerts import event_windows
 from .registry import query, rounded
@@ -14,7 +15,7 @@ EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, valu
 
 def _stream(t):
     return t.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(t.folder) \
-        .withColumn("at", F.col("ts").cast("timestamp"))
+        .withColumn("at", as_instant("ts"))
 
 
 def _waits(df):
@@ -37,7 +38,7 @@ def _samples(df):
 def _run(t, alert, name):
     out = S.run_available(alert, scratch_dir(t.spark, name), scratch_dir(t.spark, name + "-offsets"))
     times = [c for c, d in out.dtypes if d == "timestamp"]
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+    return out.withColumns({c: from_instant(c) for c in times})
 
 
 def _closed(end, delay):
@@ -85,4 +86,4 @@ def _(t):
 def _(t):
     counts = event_windows(_samples(_stream(t)), "1 hour", "1 minute", "at")
     out = S.top_events_each_batch(counts, scratch_dir(t.spark, "ranked"), scratch_dir(t.spark, "ranked-offsets"), 2)
-    return out.withColumn("sample_time", F.col("sample_time").cast("timestamp_ntz"))
+    return out.withColumn("sample_time", from_instant("sample_time"))

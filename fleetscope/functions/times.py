@@ -91,3 +91,15 @@ def hours_since(c, now) -> Column:
         .when(epoch.isNotNull(), since_epoch)
         .otherwise(F.timestamp_diff("HOUR", stamp, now))
     )
+
+
+def as_instant(c) -> Column:
+    """A zone-free time as the UTC instant with the same digits; watermarks need an instant."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(c)))
+
+
+def from_instant(c) -> Column:
+    """Inverse of as_instant, whatever the session time zone."""
+    seconds = (F.unix_micros(col(c)) / F.lit(1000000).cast("decimal(18,0)")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
