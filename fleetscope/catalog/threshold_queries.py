@@ -45,6 +45,11 @@ def _(t):
     return t.collections.select("target_guid", "metric_guid", "collection_name", schedule("schedule_xml").alias("schedule"))
 
 
+@query("f10_schedules_in_use", f"SELECT {SCHEDULE} AS schedule, count(*) AS cnt FROM collections GROUP BY 1")
+def _(t):
+    return A.count_by(t.collections, [schedule("schedule_xml").alias("schedule")])
+
+
 KEY = "nullif(trim(CASE WHEN column_label IN ('User-Defined Numeric Metric', 'User Defined Numeric Metric') THEN key_value2 ELSE key_value END), '')"
 OPERATOR = "CASE critical_operator WHEN 0 THEN '>' WHEN 1 THEN '=' WHEN 2 THEN '<' WHEN 3 THEN '<=' WHEN 4 THEN '>=' WHEN 5 THEN 'Contains' WHEN 6 THEN '<>' WHEN 7 THEN 'Matches' ELSE CAST(warning_operator AS VARCHAR) END"
 

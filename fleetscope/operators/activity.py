@@ -10,7 +10,7 @@ from ..functions.numbers import GIB, MIB, count_if, ratio, rounded_avg_nz, scale
 from ..functions.times import DATE, SECOND
 from . import topn
 
-ON_CPU = F.lit("ON CPU")
+ON_CPU = "ON CPU"
 
 
 def class_column(wait_class: str) -> str:
@@ -159,7 +159,7 @@ def exec_spans(s: DataFrame) -> DataFrame:
 
 def exec_waits(s: DataFrame) -> DataFrame:
     """CPU and waits of every execution."""
-    return s.groupBy("sql_exec_start", F.coalesce("event", ON_CPU).alias("wait_event")).agg(
+    return s.groupBy("sql_exec_start", F.coalesce("event", F.lit(ON_CPU)).alias("wait_event")).agg(
         F.count(F.lit(1)).alias("samples"),
         ratio(F.sum("tm_delta_time"), 1000000).alias("tm_delta_sec"),
         ratio(F.sum("delta_time"), 1000000).alias("delta_sec"),
@@ -175,7 +175,7 @@ def exec_parallel(s: DataFrame) -> DataFrame:
     return (
         s.groupBy(
             F.coalesce("qc_session_id", "session_id").alias("session_id"), "px_flags", "sql_exec_id", "sql_exec_start",
-            F.coalesce("event", ON_CPU).alias("wait_event"),
+            F.coalesce("event", F.lit(ON_CPU)).alias("wait_event"),
         )
         .agg(
             F.count(F.lit(1)).alias("samples"),

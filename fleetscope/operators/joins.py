@@ -121,3 +121,9 @@ def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach the columns of a single-row aggregate as scalar subqueries."""
     return df.withColumns({c: one.select(c).scalar() for c in one.columns})
 
+
+
+def ordinal_lookup(df: DataFrame, ordinal: str, names: list[str], name: str) -> DataFrame:
+    """Attach the n-th name of an ordered list by its number, counting from 1; other numbers give NULL."""
+    numbered = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names, 1)], f"{ordinal} long, {name} string")
+    return df.join(numbered, ordinal, "left")

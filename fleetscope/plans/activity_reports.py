@@ -311,9 +311,8 @@ def wait_history_top3(h: DataFrame) -> DataFrame:
 
 def wait_class_day_compare(s: DataFrame, day1: tuple[str, str], day2: tuple[str, str]) -> DataFrame:
     """Average active sessions per wait class and minute, two days side by side, from one scan."""
-    t = F.col("sample_time")
-    side = F.when(t.between(ts(day1[0]), ts(day1[1])), 1).when(t.between(ts(day2[0]), ts(day2[1])), 2)
-    tagged = s.withColumn("side", side).where(F.col("side").isNotNull())
+    first, second = (F.col("sample_time").between(ts(a), ts(b)) for a, b in (day1, day2))
+    tagged = s.where(first | second).withColumn("side", F.when(first, 1).otherwise(2))  # plain ranges reach the scan
     per_minute = activity.by_wait_class(tagged, MINUTE, average=True, keep=("side",))
     values = ["snapshots"] + [activity.class_column(c) for c in labels.WAIT_CLASSES]
     return per_minute.groupBy("sample_clock").agg(

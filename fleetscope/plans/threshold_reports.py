@@ -8,6 +8,7 @@ from ..functions.nulls import differs, glue
 from ..functions.text import arrow_change
 from ..functions.times import DATE_DOTTED
 from ..operators import snapshots as N, thresholds as T
+from ..session import checkpoint
 
 
 def _monitored(hist: DataFrame, group: str) -> DataFrame:
@@ -60,8 +61,8 @@ def group_changes(hist: DataFrame, ignore_group: str = "XMON", keys: tuple[str,
 
 def readable_thresholds(hist: DataFrame, ignore_metrics: tuple[str, ...] = (), ignore_hosts: tuple[str, ...] = ()) -> DataFrame:
     """Default and exception lines with repeated labels blanked."""
-    lines = T.default_and_exceptions(T.current_settings(hist, ignore_metrics, ignore_hosts)) \
-        .withColumn("level", F.coalesce("critical_threshold", "warning_threshold"))
+    lines = checkpoint(T.default_and_exceptions(T.current_settings(hist, ignore_metrics, ignore_hosts))
+                       .withColumn("level", F.coalesce("critical_threshold", "warning_threshold")))
     order = ["level", "host_name", "target_name", "comparison_operator", "warning_threshold", "collection_frequency"]
     out = N.suppress_repeats(lines, ["target_type", "metric", "is_default", "key_value"], order)
     return out.withColumn("shown_operator", F.when(F.col("shown_metric").isNotNull(), F.col("comparison_operator"))).drop("shown_is_default", "level")
