@@ -177,7 +177,7 @@ def _(t):
 
 @query("f12_status_details", f"SELECT {DETAIL} AS details, count(*) AS cnt FROM dump GROUP BY 1")
 def _(t):
-    return A.count_by(t.dump, [labels.status_detail(D.attribute("STATE_DETAILS")).alias("details")])
+    return A.count_by(D.parsed(t.dump), [labels.status_detail(D.attribute("STATE_DETAILS")).alias("details")])
 
 
 @query("f13_duration_hours", "SELECT p_partkey, p_size * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 24 WHEN 2 THEN 168 WHEN 3 THEN 744 WHEN 4 THEN 8760 ELSE 1 END AS hours FROM part")
@@ -189,7 +189,7 @@ def _(t):
 @query("f14_version_owner_group", f"SELECT {VERSION} AS version, 'own' || (unit % 3) AS owner, 'grp' || (unit % 2) AS owner_group, count(*) AS cnt FROM dump GROUP BY 1, 2, 3")
 def _(t):
     acl = D.attribute("ACL")
-    return A.count_by(t.dump, [text.version_from_path(D.attribute("ORACLE_HOME")).alias("version"), text.acl_owner(acl).alias("owner"), text.acl_group(acl).alias("owner_group")])
+    return A.count_by(D.parsed(t.dump), [text.version_from_path(D.attribute("ORACLE_HOME")).alias("version"), text.acl_owner(acl).alias("owner"), text.acl_group(acl).alias("owner_group")])
 
 
 @query("f15_title_case", "SELECT c_mktsegment, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS title FROM customer GROUP BY 1")

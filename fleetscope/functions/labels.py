@@ -125,16 +125,20 @@ def target_state(open_mode) -> Column:
     )
 
 
+# State-detail patterns in order of precedence.
+DETAIL_RULES = {
+    "instance shutdown": "Shutdown",
+    "readonly": "Readonly",
+    "abnormal termination": "Abnorm Term",
+    "fast-start failover": "FastFailover",
+    "mount": "Mounted",
+    "running from old": "Open from old OH",
+}
+
+
 def status_detail(details) -> Column:
     """Short state from the state-details text; the first matching rule wins."""
     text = F.regexp_replace(F.regexp_replace(col(details), r",HOME=.*$", ""), r"\),.*$", ")")
-    low = F.lower(text)
-    return (
-        F.when(low.contains("instance shutdown"), "Shutdown")
-        .when(low.contains("readonly"), "Readonly")
-        .when(low.contains("abnormal termination"), "Abnorm Term")
-        .when(low.contains("fast-start failover"), "FastFailover")
-        .when(low.contains("mount"), "Mounted")
-        .when(low.contains("running from old"), "Open from old OH")
-        .when(text != "", text)
-    )
+    rules = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(v).alias("label")) for p, v in DETAIL_RULES.items()])
+    hits = F.filter(rules, lambda r: F.contains(F.lower(text), r["pattern"]))
+    return F.coalesce(F.try_element_at(hits, F.lit(1))["label"], F.nullif(text, F.lit("")))

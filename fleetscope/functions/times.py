@@ -78,19 +78,13 @@ def duration_hours_col(c) -> Column:
 NEVER_HOURS = 999999999999  # fixed value: "never restarted"
 
 
-def hours_since(c, now) -> Column:
-    """Hours from a date text (MM/dd/yyyy HH:mm:ss or epoch seconds) to now."""
-    text = F.rtrim(col(c))
-    now = ts(now)
-    epoch = text.try_cast("bigint")
+def hours_since(c, now: str) -> Column:
+    """Whole hours from a date text (MM/dd/yyyy HH:mm:ss or epoch seconds) to now; NEVER, 0 and blanks are endless."""
+    text, epoch = F.rtrim(col(c)), dt.datetime(1970, 1, 1)
     stamp = F.try_to_timestamp(text, F.lit("MM/dd/yyyy HH:mm:ss")).cast("timestamp_ntz")
-    since_epoch = F.call_function("div", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), now) - epoch,
-                                  F.lit(3600).cast("bigint"))
-    return (
-        F.when(text.isNull() | text.isin("NEVER", "", "0"), F.lit(NEVER_HOURS))
-        .when(epoch.isNotNull(), since_epoch)
-        .otherwise(F.timestamp_diff("HOUR", stamp, now))
-    )
+    second = F.coalesce(F.nullif(text.try_cast("bigint"), F.lit(0).cast("bigint")), F.timestamp_diff("SECOND", ts(epoch), stamp))
+    until = int((dt.datetime.fromisoformat(now) - epoch).total_seconds())
+    return F.coalesce(F.call_function("div", F.lit(until).cast("bigint") - second, F.lit(3600).cast("bigint")), F.lit(NEVER_HOURS))
 
 
 def as_instant(c) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import differs, ne_or_null
 from ..functions.times import ts as stamp
+from ..session import checkpoint
 
 DATE = "date_collected"
 
@@ -63,6 +64,12 @@ def previous_snapshot(df: DataFrame, c: str = DATE) -> DataFrame:
     return df.where(F.col(c) == snapshot_dates(df, c).select("previous").scalar())
 
 
+def last_two_snapshots(df: DataFrame, c: str = DATE) -> tuple[DataFrame, DataFrame]:
+    """Rows of the latest and of the previous date. Both days are written out once, since comparisons read them several times."""
+    both = checkpoint(df.join(last_dates(df, 2, c), c, "left_semi"))
+    return latest_snapshot(both, c=c), previous_snapshot(both, c)
+
+
 def _null_safe(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 

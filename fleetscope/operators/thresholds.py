@@ -28,6 +28,9 @@ def threshold_snapshot(targets: DataFrame, settings: DataFrame, collections: Dat
     blank = lambda c: null_if_empty(F.trim(c))
     named = groups.where(F.col("group_type") == "composite").groupBy(F.col("member_guid").alias("target_guid")).agg(agg_list("group_name").alias("groups_grid"))
     label = titles.groupBy("metric_guid").agg(F.min(F.trim("metric_label")).alias("metric_title"))
+    # schedules repeat a lot: parse every text once
+    plans = collections.select("schedule_xml").distinct().withColumn("collection_frequency", schedule("schedule_xml"))
+    collections = collections.join(plans, "schedule_xml", "left").drop("schedule_xml")
     full = (
         targets.join(settings, "target_guid", "left")
         .join(collections, ["target_guid", "metric_guid", "collection_name"], "left")
@@ -40,7 +43,7 @@ def threshold_snapshot(targets: DataFrame, settings: DataFrame, collections: Dat
         labels.metric_label("column_label", "metric_name", "collection_name", "metric_title").alias("metric"),
         blank(key).alias("key_value"), labels.comparison_label("critical_operator", "warning_operator").alias("comparison_operator"),
         blank("warning_threshold").alias("warning_threshold"), blank("critical_threshold").alias("critical_threshold"),
-        "occurrence_count", schedule("schedule_xml").alias("collection_frequency"), "is_enabled", *[c for c in ("line_id",) if c in settings.columns]))
+        "occurrence_count", "collection_frequency", "is_enabled", *[c for c in ("line_id",) if c in settings.columns]))
 
 
 def user_metrics(current: DataFrame, thresholds: DataFrame, on: list[str], label: str, key: str) -> DataFrame:

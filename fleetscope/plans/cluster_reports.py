@@ -50,12 +50,14 @@ def service_matrix(states: DataFrame, within_hours: int = DAY_HOURS, nodes: list
 
 def database_matrix(states: DataFrame, within_hours: int = DAY_HOURS, nodes: list[str] | None = None) -> DataFrame:
     """Databases with version, home and role, and their pluggable databases."""
-    db = states.where("kind = 'DB'").withColumn(
-        "database_type", F.concat_ws("", "database_type", F.when(F.col("role") == "PRIMARY", " (P)").otherwise(" (S)")))
-    db = _cells(db.withColumn("part", F.lit(None).cast("string")), F.col("details"), health_class("details", "target", "started_hours", within_hours))
-    pdb = states.where("kind = 'PDB'").withColumns({"database_type": F.lit("PDB"), "version": F.lit(None).cast("string"), "home": F.lit(None).cast("string")})
-    pdb = _cells(pdb, F.col("state"), health_class("state", "target", "started_hours", within_hours))
-    return _matrix(db.unionByName(pdb), ["database", "part", "version", "home", "database_type"], nodes).withColumnRenamed("part", "pdb")
+    is_db = F.col("kind") == "DB"
+    role = F.when(F.col("role") == "PRIMARY", " (P)").otherwise(" (S)")
+    rows = states.where(F.col("kind").isin("DB", "PDB")).withColumns({
+        "shown": F.when(is_db, F.col("details")).otherwise(F.col("state")),
+        "part": F.when(~is_db, F.col("part")), "version": F.when(is_db, F.col("version")), "home": F.when(is_db, F.col("home")),
+        "database_type": F.when(is_db, F.concat_ws("", "database_type", role)).otherwise("PDB")})
+    cells = _cells(rows, F.col("shown"), health_class("shown", "target", "started_hours", within_hours))
+    return _matrix(cells, ["database", "part", "version", "home", "database_type"], nodes).withColumnRenamed("part", "pdb")
 
 
 def homes(states: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _shown(enabled: str, frequency: str):
 
 def threshold_changes(hist: DataFrame, ignore_group: str = "XMON") -> DataFrame:
     """Thresholds and schedules that changed since the previous collection, for targets present in both."""
-    cur, prev = (f(hist).where(~F.col("groups_grid").eqNullSafe(ignore_group)) for f in (N.latest_snapshot, N.previous_snapshot))
+    cur, prev = (_monitored(d, ignore_group) for d in N.last_two_snapshots(hist))
     cur = cur.join(N.added(prev, cur, "target_name"), "target_name", "left_anti")
     prev = prev.join(N.removed(prev, cur, "target_name"), "target_name", "left_anti")
     values = ["comparison_operator", "warning_threshold", "critical_threshold", "collection_frequency", "is_enabled", "date_collected"]
@@ -48,7 +48,7 @@ def threshold_changes(hist: DataFrame, ignore_group: str = "XMON") -> DataFrame:
 def group_changes(hist: DataFrame, ignore_group: str = "XMON", keys: tuple[str, ...] = ("target_name",)) -> DataFrame:
     """Targets added, deleted, or moved to other groups since the previous collection."""
     cols = ["target_type", "target_name", "host_name", "groups_grid"]
-    cur, prev = (f(hist).where(~F.col("groups_grid").eqNullSafe(ignore_group)).select("date_collected", *cols).distinct() for f in (N.latest_snapshot, N.previous_snapshot))
+    cur, prev = (_monitored(d, ignore_group).select("date_collected", *cols).distinct() for d in N.last_two_snapshots(hist))
     d = N.diff_snapshots(prev, cur, list(keys), [c for c in ("date_collected", *cols) if c not in keys])
     both = lambda c: F.col(c) if c in keys else F.coalesce(f"previous_{c}", f"current_{c}")
     moved = differs("previous_groups_grid", "current_groups_grid", "0")

@@ -13,8 +13,7 @@ RECORD_BREAK = "BREAK_HERE\n"  # fixed value: separator line of saved dumps
 
 # The name ending that tells the kind of a resource; anything else is technical.
 KINDS = {"db": "DB", "pdb": "PDB", "lsnr": "LISTENER", "svc": "SERVICE"}
-STATIC = ["ACL", "ORACLE_HOME", "DATABASE_TYPE", "ROLE", "ENDPOINTS", "PLUGGABLE_DATABASE", "PDB_NAME", "USR_ORA_VIP", "VOLUME_DEVICE", "ENABLED"]
-DYNAMIC = ["ACL", "LAST_SERVER", "STATE", "TARGET", "USR_ORA_OPEN_MODE", "LAST_RESTART", "LAST_STATE_CHANGE", "STATE_DETAILS"]
+DYNAMIC = ["LAST_SERVER", "STATE", "TARGET", "USR_ORA_OPEN_MODE", "LAST_RESTART", "LAST_STATE_CHANGE", "STATE_DETAILS"]
 # End of fixed values.
 
 
@@ -23,33 +22,37 @@ def read_resource_dump(spark: SparkSession, path: str, separator: str = RECORD_B
     return spark.read.text(path, lineSep=separator).where(F.col("value").contains("NAME="))
 
 
-def attribute(key: str, c: str = "value") -> Column:
-    """Value of the first KEY=VALUE line."""
-    return null_if_empty(F.regexp_extract(c, rf"(?m)^{key}=(.*)$", 1))
+def attribute(key: str | Column, keys: str = "keys", values: str = "vals") -> Column:
+    """Value of the first line with this key."""
+    key = F.lit(key) if isinstance(key, str) else key
+    return null_if_empty(F.try_element_at(F.col(values), F.array_position(keys, key).cast("int") + 1))
 
 
-def _named(records: DataFrame) -> DataFrame:
-    """Every record with its resource name, kind, name parts and changing attributes."""
-    raw = records.select(
-        "value", null_if_empty(F.regexp_extract("value", r"(?m)^NAME=(?:ora\.)?([^(\n]*)", 1)).alias("plain"),
-        *[attribute(k).alias(k) for k in DYNAMIC]).where("plain IS NOT NULL")
-    split = raw.withColumns({
-        "resource": F.regexp_replace("plain", r"\.[A-Za-z0-9]*$", ""), "ending": F.substring_index("plain", ".", -1)})
-    return split.withColumn("kind", labels.map_code("ending", KINDS, "TECH"))
+def parsed(records: DataFrame, *keep: Column) -> DataFrame:
+    """Each record's KEY=VALUE lines as two arrays in line order; the values start with an empty one for absent keys."""
+    line = F.lit(r"(?m)^([^=\n]+)=(.*)$")
+    values = F.concat(F.array(F.lit("")), F.regexp_extract_all("value", line, F.lit(2)))
+    return records.select(*keep, F.regexp_extract_all("value", line, F.lit(1)).alias("keys"), values.alias("vals"))
 
 
-def _profile(named: DataFrame) -> DataFrame:
-    """Static attributes of a resource, from its record that has an access list."""
-    text = named.where("ACL IS NOT NULL").groupBy("plain").agg(F.max("value").alias("value"))
-    keys = F.regexp_extract_all("value", F.lit(r"(?m)^ENABLED@SERVERNAME\((.*?)\)="), F.lit(1))
-    flags = F.regexp_extract_all("value", F.lit(r"(?m)^ENABLED@SERVERNAME\(.*?\)=(.*)$"), F.lit(1))
-    raw = text.select("plain", F.map_from_arrays(keys, flags).alias("enabled_at"), *[attribute(k).alias(k) for k in STATIC])
+def _having(records: DataFrame, key: str) -> DataFrame:
+    """Records with a value for key, parsed, with the plain resource name.
+
+    The test runs on the raw text and the name is never NULL, so no filter repeats the parsing.
+    """
+    plain = F.coalesce(F.regexp_extract("value", r"(?m)^NAME=(?:ora\.)?([^(\n]*)", 1), F.lit(""))
+    return parsed(records.where(F.col("value").rlike(rf"(?m)^{key}=.")), plain.alias("plain"))
+
+
+def _profile(records: DataFrame) -> DataFrame:
+    """Static attributes of a resource, from its record that has an access list; the key arrays serve the per-server flags."""
+    raw = _having(records, "ACL").groupBy("plain").agg(F.max(F.struct("keys", "vals")).alias("r")).select("plain", "r.keys", "r.vals")
     return raw.select(
-        "plain", acl_owner("ACL").alias("owner"), acl_group("ACL").alias("owner_group"),
-        F.col("ORACLE_HOME").alias("home"), version_from_path("ORACLE_HOME").alias("version"),
-        F.col("DATABASE_TYPE").alias("database_type"), F.col("ROLE").alias("role"), F.col("ENDPOINTS").alias("port"),
-        F.col("PLUGGABLE_DATABASE").alias("pluggable"), F.col("PDB_NAME").alias("pdb_name"), F.col("USR_ORA_VIP").alias("vip"),
-        F.lower("VOLUME_DEVICE").alias("device"), F.col("ENABLED").alias("enabled"), "enabled_at")
+        "plain", acl_owner(attribute("ACL")).alias("owner"), acl_group(attribute("ACL")).alias("owner_group"),
+        attribute("ORACLE_HOME").alias("home"), version_from_path(attribute("ORACLE_HOME")).alias("version"),
+        attribute("DATABASE_TYPE").alias("database_type"), attribute("ROLE").alias("role"), attribute("ENDPOINTS").alias("port"),
+        attribute("PLUGGABLE_DATABASE").alias("pluggable"), attribute("PDB_NAME").alias("pdb_name"), attribute("USR_ORA_VIP").alias("vip"),
+        F.lower(attribute("VOLUME_DEVICE")).alias("device"), F.col("keys").alias("profile_keys"), F.col("vals").alias("profile_vals"))
 
 
 def resource_states(records: DataFrame, now: str) -> DataFrame:
@@ -57,22 +60,25 @@ def resource_states(records: DataFrame, now: str) -> DataFrame:
 
     For databases the target comes from the open mode.
     """
-    named = _named(records)
-    is_db = F.col("kind") == "DB"
-    states = named.where("LAST_SERVER IS NOT NULL").select(
+    raw = _having(records, "LAST_SERVER").select(
+        "plain", F.regexp_replace("plain", r"\.[A-Za-z0-9]*$", "").alias("resource"), F.substring_index("plain", ".", -1).alias("ending"),
+        labels.map_code(F.substring_index("plain", ".", -1), KINDS, "TECH").alias("kind"), *[attribute(k).alias(k) for k in DYNAMIC])
+    states = raw.select(
         "plain", "kind", "resource", F.when(F.col("kind").isin("DB", "PDB", "SERVICE"), F.substring_index("resource", ".", 1)).alias("database"),
         F.when(F.col("kind").isin("PDB", "SERVICE"), F.regexp_replace("resource", r"^[^.]*\.", "")).alias("part"),
         F.when(F.col("kind") == "TECH", F.col("ending")).alias("tech_type"),
         F.col("LAST_SERVER").alias("node"), F.regexp_replace("STATE", r" on .*$", "").alias("state"),
-        F.coalesce(F.when(is_db, labels.target_state("USR_ORA_OPEN_MODE")), F.col("TARGET")).alias("target"),
+        F.coalesce(F.when(F.col("kind") == "DB", labels.target_state("USR_ORA_OPEN_MODE")), F.col("TARGET")).alias("target"),
         F.least(hours_since("LAST_RESTART", now), hours_since("LAST_STATE_CHANGE", now)).alias("started_hours"),
         labels.status_detail("STATE_DETAILS").alias("details"))
-    enabled = F.coalesce(F.try_element_at("enabled_at", F.col("node")), F.col("enabled"), F.lit("1"))
-    return states.join(_profile(named), "plain", "left").withColumn("disabled", enabled == "0").drop("enabled_at", "enabled", "plain")
+    at_server = F.concat(F.lit("ENABLED@SERVERNAME("), F.col("node"), F.lit(")"))
+    flag = lambda key: attribute(key, "profile_keys", "profile_vals")
+    enabled = F.coalesce(flag(at_server), flag("ENABLED"), F.lit("1"))
+    return states.join(_profile(records), "plain", "left").withColumn("disabled", enabled == "0").drop("profile_keys", "profile_vals", "plain")
 
 
 def explode_status_lists(records: DataFrame) -> DataFrame:
     """Four-line records with comma lists: one row per position, target next to state."""
     listed = lambda key: F.split(F.regexp_replace(attribute(key), r" *, *", ","), ",")
-    rows = records.select(attribute("NAME").alias("name"), attribute("TYPE").alias("type"), listed("TARGET").alias("t"), listed("STATE").alias("s"))
+    rows = parsed(records).select(attribute("NAME").alias("name"), attribute("TYPE").alias("type"), listed("TARGET").alias("t"), listed("STATE").alias("s"))
     return rows.select("name", "type", F.inline(F.arrays_zip(F.col("t").alias("target"), F.col("s").alias("state")))).where("target IS NOT NULL")
