@@ -180,7 +180,7 @@ def _(t):
     return A.count_by(D.parsed(t.dump), [labels.status_detail(D.attribute("STATE_DETAILS")).alias("details")])
 
 
-@query("f13_duration_hours", "SELECT p_partkey, p_size * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 24 WHEN 2 THEN 168 WHEN 3 THEN 744 WHEN 4 THEN 8760 ELSE 1 END AS hours FROM part")
+@query("f13_duration_hours", "SELECT p_partkey, CAST(p_size AS BIGINT) * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 24 WHEN 2 THEN 168 WHEN 3 THEN 744 WHEN 4 THEN 8760 ELSE 1 END AS hours FROM part")
 def _(t):
     unit = F.try_element_at(F.array(*[F.lit(u) for u in "hdwmy"]), (F.col("p_partkey") % 6 + 1).cast("int"))
     return t.part.select("p_partkey", times.duration_hours_col(F.concat(F.col("p_size").cast("string"), F.coalesce(unit, F.lit("")))).alias("hours"))

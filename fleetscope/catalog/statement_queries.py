@@ -135,7 +135,7 @@ def _(t):
         .select("inst_id", "sql_id", "plan_hash_value", "first_load_time", "parse_calls", "executions")
 
 
-@query("j29_capped_join_count", """SELECT least(sum(a.n * b.n), 1999999) AS cnt FROM (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a
+@query("j29_capped_join_count", """SELECT CAST(least(sum(a.n * b.n), 1999999) AS BIGINT) AS cnt FROM (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a
   JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) b USING (l_suppkey)""")
 def _(t):
     return J.capped_join_count(t.lineitem.where("l_returnflag = 'R'"), t.lineitem, "l_suppkey", 1999999)
