@@ -141,8 +141,8 @@ def _(t):
     return N.last_dates(t.param_hist, 5)
 
 
-RUNNING = "SELECT DISTINCT o_custkey AS inst_id, o_orderpriority AS name, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 2 = 0"
-STORED = "SELECT DISTINCT o_custkey AS inst_id, o_orderpriority AS name, o_orderstatus AS value FROM orders WHERE o_orderkey % 2 = 1"
+RUNNING = "SELECT DISTINCT o_custkey AS inst_id, o_orderpriority AS name, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS value FROM orders WHERE o_orderstatus <> 'P'"
+STORED = "SELECT DISTINCT o_custkey AS inst_id, o_orderpriority AS name, o_orderstatus AS value FROM orders WHERE o_orderstatus <> 'F'"
 
 
 def _match_sql(strict):

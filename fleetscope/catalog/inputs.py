@@ -102,15 +102,15 @@ SELECT DISTINCT c_mktsegment, 'PASSWORD_GRACE_TIME', '7' FROM {customer} WHERE c
 VIEWS["objects"] = """
 SELECT p_partkey AS object_id, concat('OWN', CAST(p_size % 5 AS STRING)) AS owner, concat('OBJ', CAST(p_partkey AS STRING)) AS object_name,
   CASE WHEN p_partkey % 4 = 0 THEN concat('P', CAST(p_size AS STRING)) END AS subobject_name,
-  CASE WHEN p_partkey % 2 = 0 THEN 'INDEX' ELSE 'TABLE' END AS object_type,
+  CASE WHEN p_size <= 25 THEN 'INDEX' ELSE 'TABLE' END AS object_type,
   CASE WHEN p_partkey % 9 = 0 THEN 'INVALID' ELSE 'VALID' END AS status
-FROM {part} WHERE p_partkey % 10 <> 7
+FROM {part} WHERE p_size <> 7
 """
 
 VIEWS["indexes"] = """
 SELECT concat('OWN', CAST(p_size % 5 AS STRING)) AS owner, concat('OBJ', CAST(p_partkey AS STRING)) AS index_name,
   'APP' AS table_owner, concat('T', CAST(p_partkey AS STRING)) AS table_name
-FROM {part} WHERE p_partkey % 2 = 0 AND p_partkey % 10 <> 7
+FROM {part} WHERE p_size <= 25 AND p_size <> 7
 """
 
 VIEWS["statements"] = """
@@ -123,7 +123,7 @@ FROM {part}
 VIEWS["cursor_area"] = """
 SELECT concat('q', CAST(p_partkey AS STRING)) AS sql_id, 1000 + p_partkey * 10 AS plan_hash_value, 1 + p_partkey % 2 AS inst_id,
   concat('2024-01-', lpad(CAST(1 + p_size % 28 AS STRING), 2, '0')) AS first_load_time
-FROM {part} WHERE p_partkey % 3 <> 0
+FROM {part} WHERE p_size > 15
 """
 
 VIEWS["sessions"] = """
@@ -134,7 +134,7 @@ SELECT c_custkey AS sid, c_custkey * 7 + 1 AS serial, 1 + c_custkey % 2 AS inst_
   CASE WHEN c_acctbal > 4000 THEN 'ACTIVE' ELSE 'INACTIVE' END AS status,
   CASE c_nationkey % 3 WHEN 0 THEN 'Idle' WHEN 1 THEN 'User I/O' ELSE 'Commit' END AS wait_class,
   CAST(concat('2024-01-', lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0'), ' 08:00:00') AS TIMESTAMP_NTZ) AS logon_time
-FROM {customer} WHERE c_custkey % 3 = 0
+FROM {customer} WHERE c_nationkey < 9
 """
 
 VIEWS["snapshots"] = """
@@ -218,7 +218,7 @@ SELECT s_suppkey AS target_guid, s_name AS target_name, CASE WHEN s_suppkey % 3
 
 VIEWS["target_groups"] = """
 SELECT DISTINCT l_suppkey AS member_guid, concat('G', CAST(l_orderkey % 4 AS STRING)) AS group_name,
-  CASE WHEN l_linenumber = 1 THEN 'composite' ELSE 'other' END AS group_type FROM {lineitem} WHERE l_suppkey % 5 <> 0
+  CASE WHEN l_linenumber = 1 THEN 'composite' ELSE 'other' END AS group_type FROM {lineitem} WHERE l_linestatus = 'F'
 """
 
 VIEWS["settings"] = """
@@ -237,11 +237,11 @@ SELECT DISTINCT l_suppkey AS target_guid, l_partkey AS metric_guid, concat('coll
   l_linenumber % 2 AS is_enabled,
   CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN concat('<Schedule START_TIME="10:00:00"><IntervalSchedule INTERVAL="', CAST(l_linenumber AS STRING), '" TIME_UNIT="Hr"/></Schedule>')
     ELSE concat('<Schedule><IntervalSchedule INTERVAL="', CAST(l_linenumber AS STRING), '"/></Schedule>') END AS schedule_xml
-FROM {lineitem} WHERE l_suppkey % 4 <> 0
+FROM {lineitem} WHERE l_linestatus = 'O'
 """
 
 VIEWS["metric_titles"] = """
-SELECT p_partkey AS metric_guid, CASE WHEN p_size % 11 = 0 THEN 'Incident' ELSE concat(p_brand, ' ') END AS metric_label FROM {part} WHERE p_partkey % 6 <> 0
+SELECT p_partkey AS metric_guid, CASE WHEN p_size % 11 = 0 THEN 'Incident' ELSE concat(p_brand, ' ') END AS metric_label FROM {part} WHERE p_size <> 6
 """
 
 VIEWS["audit"] = """
@@ -259,7 +259,7 @@ FROM {orders}
 """
 
 VIEWS["extents"] = """
-SELECT l_orderkey AS file_id, l_partkey AS block_id, CAST(l_quantity AS BIGINT) AS blocks FROM {lineitem} WHERE l_orderkey % 10 <> 0
+SELECT l_orderkey AS file_id, l_partkey AS block_id, CAST(l_quantity AS BIGINT) AS blocks FROM {lineitem} WHERE l_quantity > 5
 """
 
 VIEWS["tablespaces"] = """
