@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fleetscope.catalog import load
 from tools.check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, EXPECTED = entry.queries(), entry.oracle_sql()
+QUERIES, EXPECTED = load().QUERIES, load().EXPECTED
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,7 @@ def con():
 
 def test_every_query_has_expected_sql():
     assert set(QUERIES) == set(EXPECTED)
+    assert set(QUERIES) <= set(entry.queries()) and set(EXPECTED) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from fleetscope.catalog import load
 from fleetscope.operators import filters, snapshots
 from fleetscope.plans import activity_reports
 
@@ -16,9 +16,9 @@ def plan(df):
 EAGER = ("j17", "j18", "j19", "r09", "r10", "r21", "a29", "st", "s02", "s07", "s05", "s08", "s10_dump", "s13", "j12_not_in")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(EAGER)])
+@pytest.mark.parametrize("name", [n for n in load().QUERIES if not n.startswith(EAGER)])
 def test_no_python_and_no_pairwise_join(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(load().QUERIES[name](spark, FOLDER))
     for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in text
 
