@@ -24,7 +24,7 @@ def create(uri: str, name: str):
     """A binary stream that writes uri/name."""
     system, path = store(uri)
     system.create_dir(path, recursive=True)
-    return system.open_output_stream(f"{path}/{name}")
+    return system.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def opened(uri: str, name: str):

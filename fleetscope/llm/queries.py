@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, quality, simhash, token_files
+from . import debruijn, decontaminate, kd_shards, licences, mixing, quality, simhash, token_files, url_model, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EXPECTED: dict[str, str] = {}
@@ -42,6 +42,30 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.positions(table(spark, folder, "documents").select("doc_id", "source"))
 
 
+SHARDS = 40
+
+
+@query("op3_kd_shards")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    placed = kd_shards.shard(table(spark, folder, "documents"), SHARDS, ["n_chars", "doc_id", "source", "lang"])
+    return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_model.judge(pages, URL_RULES, url_model.train(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return debruijn.digests(table(spark, folder, "documents"))
+
+
 @query("op6_simhash")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.classes(table(spark, folder, "documents"))
@@ -54,6 +78,18 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op8_licences")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs)).select("doc_id", F.array_join("licences", ",").alias("licences"), "notices")
+
+
+@query("op9_warc_bundles")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc_bundles.read(warc_bundles.written(table(spark, folder, "pages")))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUALITY_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
                   list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
