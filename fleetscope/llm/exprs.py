@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return session.scratch_dir(spark, name)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows: int, per_task: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows: int, per_task: int = 4_000) -> DataFrame:
     """Adds out: 0, 1, 2 ... within each group, without bringing a group together in one task.
 
     Rows are dealt into buckets by the hash of the first order column; a running sum over the counts of the
