@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .exprs import numbered, stored
 
@@ -78,17 +78,18 @@ def tempered(df: DataFrame, source: str = "source", temper: float = TEMPER) -> d
     return {r[0]: r[1] ** temper for r in df.groupBy(source).count().collect()}
 
 
-def positions(df: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source",
-              block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """df with block, epoch, slot and place: a row for each time the mix uses the row; (slot, place) orders the mix."""
-    spark, own = df.sparkSession, "_mix_source"
+OWN = ("block", "epoch", "slot", "place")
+
+
+def _placed(df: DataFrame, weights: Mapping[str | None, float] | None, key: str, source: str, block_rows: int, period: int) -> DataFrame:
+    """_mix_row (a row of df as a struct) with block, epoch, slot and place; df has rows."""
+    spark = df.sparkSession
     weights = tempered(df, source) if weights is None else weights
-    counted = df.groupBy(source).count()
-    counts = {r[0]: r[1] for r in counted.collect()}  # one row per source, as the weights are
+    counts = {r[0]: r[1] for r in df.groupBy(source).count().collect()}  # a row per source, as the weights are
     if missing := set(counts) - set(weights):
         raise ValueError(f"no weight for {sorted(map(str, missing))[:5]}")
-    if not counts:
-        return df.withColumns({"block": F.lit(0).cast("long"), "epoch": F.lit(0).cast("long"), "slot": F.lit(0).cast("long"), "place": F.lit(0).cast("long")}).limit(0)
+    rows = df.select(F.struct(*df.columns).alias("_mix_row"), F.col(key).alias("_mix_key"), F.col(source).alias("_mix_source"),
+                     F.xxhash64(*df.columns).alias("_mix_tie"))
     parts = parts_of({s: weights[s] for s in counts}, period)
     plan = schedule(spark, parts)
     sizes = spark.createDataFrame([(s, n, -(-n // block_rows)) for s, n in counts.items()], "source string, n long, blocks long")
@@ -96,18 +97,30 @@ def positions(df: DataFrame, weights: Mapping[str | None, float] | None = None,
     slot = lambda i: F.floor(i / F.col("parts")) * F.col("period") + F.get("slots", (i % F.col("parts")).cast("int"))
     whole = lambda t: F.floor(t / F.col("period")) * F.col("parts") + F.size(F.filter("slots", lambda x: x < t % F.col("period")))
     end = plan.agg(F.max(slot(F.col("blocks") - 1))).first()[0] + 1
-    plan = plan.select(F.col("source").alias(own), "parts", "period", "slots", "blocks", whole(F.lit(end)).alias("runs"))
-    ranked = numbered(df, [source], [key, *[c for c in df.columns if c != key]], "_rank", sum(counts.values()))
-    met = ranked.join(plan, ranked[source].eqNullSafe(plan[own]))
-    block = F.floor(F.col("_rank") / block_rows)
-    used = met.withColumn("block", block).withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("runs") - 1 - F.col("block")) / F.col("blocks")))))
-    return used.withColumn("slot", slot(F.col("epoch") * F.col("blocks") + F.col("block"))).withColumn(
-        "place", F.col("_rank") % block_rows).select(*[df[c] for c in df.columns], "block", "epoch", "slot", "place")
+    plan = plan.select("source", "parts", "period", "slots", "blocks", whole(F.lit(end)).alias("runs"))
+    ranked = numbered(rows, ["_mix_source"], ["_mix_key", "_mix_tie"], "rank", sum(counts.values()))
+    met = ranked.join(plan, ranked["_mix_source"].eqNullSafe(plan["source"])).withColumn("block", F.floor(F.col("rank") / block_rows))
+    epochs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("runs") - 1 - F.col("block")) / F.col("blocks")))
+    used = met.withColumn("epoch", F.explode(epochs))
+    return used.select("_mix_row", "block", "epoch", slot(F.col("epoch") * F.col("blocks") + F.col("block")).alias("slot"), (F.col("rank") % block_rows).alias("place"))
+
+
+def positions(df: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source",
+              block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """df with block, epoch, slot and place: a row for each time the mix uses the row; (slot, place) orders the mix.
+
+    Columns of df with these names are replaced.
+    """
+    rest = [c for c in df.columns if c.lower() not in OWN or c in (key, source)]
+    if df.isEmpty():
+        return df.select(*rest, *[F.lit(0).cast("long").alias(c) for c in OWN])
+    placed = _placed(df, weights, key, source, block_rows, period)
+    return placed.select(*[F.col(f"_mix_row.{c}").alias(c) for c in rest], *OWN)
 
 
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source",
         block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """The rows of the mix in its order, columns as they were: a written copy keeps the order of files and rows."""
-    mixed = positions(df, weights, key, source, block_rows, period)
-    return mixed.orderBy("slot", "place").select(*df.columns)
+    if df.isEmpty():
+        return df
+    return _placed(df, weights, key, source, block_rows, period).orderBy("slot", "place").select("_mix_row.*")

@@ -153,7 +153,7 @@ def with_revisits(pages: DataFrame, key: str, payload: str) -> DataFrame:
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> Bundles:
     """A record for every row of pages, in bundles below folder."""
     kind = pages.schema[key].dataType.simpleString()
-    rows = with_revisits(pages, key, payload).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col("_body").alias("body"),
+    rows = with_revisits(pages.select(*dict.fromkeys([key, url, payload])), key, payload).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col("_body").alias("body"),
                                                      F.col("_own").alias("digest"), F.col("_refers").alias("refers"))
 
     def part(batches: Iterator) -> Iterator:
