@@ -150,8 +150,12 @@ def _hit(bitmap, a, bits: int):
     return (bitmap.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def contents(docs: DataFrame, known, k: int, gram: int) -> DataFrame:
-    """(a, s, firsts): for the contents of paths with a repeated window, the first coordinates (doc, at) of each window."""
+def occurrences(docs: DataFrame, known, k: int, gram: int) -> DataFrame:
+    """(a, s, doc, at, c, windows) of every path under a repeated minimizer.
+
+    In each batch one occurrence of a content, the first one, has c > 0, the number of its occurrences in the batch,
+    and the hashes of its windows; these rows are the pre-aggregated contents.
+    """
     kind = docs.schema[0].dataType.simpleString()
 
     def scan(rows: Iterator) -> Iterator:
@@ -161,29 +165,39 @@ def contents(docs: DataFrame, known, k: int, gram: int) -> DataFrame:
         bitmap = known.value
         for batch in _each(rows, k, gram):
             seen: dict[tuple[int, int], list] = {}
+            out, keys, base = [], [], 0
             for key, (a, first, n, hashes, words) in batch:
                 hit = np.flatnonzero(_hit(bitmap, a, MAP_BITS))
                 if not len(hit):
                     continue
-                windows = _signed(gram_hashes(hashes, k))
-                for x, s, i, m in zip(_signed(a[hit]).tolist(), _signed(_contents(words, first[hit], n[hit], k)).tolist(), first[hit].tolist(), n[hit].tolist()):
-                    if (old := seen.get((x, s))) is None:
-                        seen[x, s] = [1, key, i, windows[i:i + m]]
+                windows, a, first, n = gram_hashes(hashes, k).view(np.int64), _signed(a[hit]), first[hit], n[hit]
+                s = _signed(np.array(_contents(words, first, n, k), np.uint64))
+                out.append((a, s, first))
+                keys += [key] * len(hit)
+                for j, (pair, i, m) in enumerate(zip(zip(a.tolist(), s.tolist()), first.tolist(), n.tolist()), base):
+                    if (old := seen.get(pair)) is None:
+                        seen[pair] = [1, key, i, windows[i:i + m], j]
                     else:
                         old[0] += 1
                         if (key, i) < (old[1], old[2]):
-                            old[1], old[2] = key, i
-            if seen:
-                v = list(seen.values())
-                sizes = np.concatenate([[0], np.cumsum([len(x[3]) for x in v])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in seen], pa.int64()), pa.array([s for _, s in seen], pa.int64()), pa.array([x[0] for x in v], pa.int64()),
-                     pa.array([x[1] for x in v]), pa.array([x[2] for x in v], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([x[3] for x in v])))],
-                    names=["a", "s", "c", "doc", "at", "windows"])
-
-    found = docs.mapInArrow(scan, f"a long, s long, c long, doc {kind}, at long, windows array<long>")
-    one = found.repartition("a").groupBy("a", "s").agg(F.sum("c").alias("c"), F.min(F.struct("doc", "at")).alias("first"), F.first("windows").alias("windows"))
+                            old[1:] = key, i, windows[i:i + m], j
+                base += len(hit)
+            if out:
+                a, s, at = (np.concatenate(x) for x in zip(*out))
+                count, sizes, parts = np.zeros(base, np.int64), np.zeros(base + 1, np.int64), []
+                for c, _, _, w, j in sorted(seen.values(), key=lambda x: x[4]):
+                    count[j], sizes[j + 1] = c, len(w)
+                    parts.append(w)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(keys), pa.array(at, pa.int64()), pa.array(count), lists],
+                                                 names=["a", "s", "doc", "at", "c", "windows"])
+
+    return docs.mapInArrow(scan, f"a long, s long, doc {kind}, at long, c long, windows array<long>")
+
+
+def contents(found: DataFrame) -> DataFrame:
+    """(a, s, firsts): for the contents of paths with a repeated window, the first coordinates (doc, at) of each window."""
+    one = found.where("c > 0").repartition("a").groupBy("a", "s").agg(F.sum("c").alias("c"), F.min(F.struct("doc", "at")).alias("first"), F.first("windows").alias("windows"))
     one = one.withColumn("m", F.count("*").over(Window.partitionBy("a"))).where("c > 1 or m > 1")
     each = one.select("a", "s", "c", "first", F.posexplode("windows").alias("o", "w"))
     own = F.struct(F.col("first.doc").alias("doc"), (F.col("first.at") + F.col("o")).alias("at"))
@@ -192,37 +206,15 @@ def contents(docs: DataFrame, known, k: int, gram: int) -> DataFrame:
     return back.where("c > 1 or moved").select("a", "s", F.transform("x", lambda x: x["f"]).alias("firsts"))
 
 
-def occurrences(docs: DataFrame, known, k: int, gram: int) -> DataFrame:
-    """(a, s, doc, at) of every path under a repeated minimizer."""
-    kind = docs.schema[0].dataType.simpleString()
-
-    def scan(rows: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        bitmap = known.value
-        for batch in _each(rows, k, gram):
-            out, keys = [], []
-            for key, (a, first, n, _, words) in batch:
-                hit = np.flatnonzero(_hit(bitmap, a, MAP_BITS))
-                if len(hit):
-                    out.append((_signed(a[hit]), _signed(np.array(_contents(words, first[hit], n[hit], k), np.uint64)), first[hit]))
-                    keys += [key] * len(hit)
-            if out:
-                a, s, at = (pa.array(np.concatenate(x)) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([a, s, pa.array(keys), at.cast(pa.int64())], names=["a", "s", "doc", "at"])
-
-    return docs.mapInArrow(scan, f"a long, s long, doc {kind}, at long")
-
-
 def spans(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
     """(doc, hits): for documents with repeated windows, struct(at, mask): window at + o is repeated if bit o of mask is one.
 
     docs has the key as its first column and the text as its second.
     """
     known = docs.sparkSession.sparkContext.broadcast(bit_map(repeated_minimizers(docs, k, gram)))  # 2 ** MAP_BITS / 8 bytes
-    first = stored(contents(docs, known, k, gram), "debruijn-contents")
-    met = occurrences(docs, known, k, gram).join(first, ["a", "s"])
+    found = stored(occurrences(docs, known, k, gram), "debruijn-paths")
+    first = stored(contents(found), "debruijn-contents")
+    met = found.select("a", "s", "doc", "at").join(first, ["a", "s"])
     bit = F.transform("firsts", lambda f, o: F.when((f["doc"] == F.col("doc")) & (f["at"] == F.col("at") + o), 0).otherwise(F.expr("1L")).cast("long"))
     mask = F.aggregate(F.reverse(bit), F.lit(0).cast("long"), lambda s, x: s * 2 + x)
     return met.select("doc", "at", mask.alias("mask")).where("mask != 0").groupBy("doc").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
