@@ -91,10 +91,10 @@ def _(t):
     return t.samples.select("event", "wait_class").distinct()
 
 
-@query("s01_weighted_samples", "SELECT sample_id, session_id, 10 AS weight FROM samples WHERE inst_id = 2")
+@query("s01_weighted_samples", "SELECT sample_id, session_id, 10 AS weight FROM samples")
 def _(t):
     from ..sources.samples import weighted
-    return weighted(t.samples, 10).where("inst_id = 2").select("sample_id", "session_id", "weight")
+    return weighted(t.samples, 10).select("sample_id", "session_id", "weight")
 
 
 @query("s14_lookup_newest_first", "SELECT sample_time, session_id, event FROM samples WHERE sql_id = 'q3' AND program LIKE '%LGWR%'")
@@ -276,9 +276,9 @@ def _(t):
     return A.count_by(t.samples, ["event"]).withColumn("share", numbers.share("cnt", t.samples.agg(F.count(F.lit(1))).scalar()))
 
 
-@query("t01_sort_with_null_placement", "SELECT session_id, sample_id, temp_space_allocated FROM samples WHERE sql_id = 'q5'")
+@query("t01_sort_with_null_placement", "SELECT session_id, sample_id, temp_space_allocated FROM samples")
 def _(t):
-    return t.samples.where("sql_id = 'q5'").select("session_id", "sample_id", "temp_space_allocated") \
+    return t.samples.select("session_id", "sample_id", "temp_space_allocated") \
         .orderBy(F.col("temp_space_allocated").desc_nulls_last(), asc("sample_id"), asc("session_id"))
 
 
@@ -289,23 +289,22 @@ def _(t):
 # ---- functions ---------------------------------------------------------------------------
 
 HEX = "CASE WHEN session_state = 'WAITING' THEN lpad(upper(to_hex({c})), 16, '0') END AS {c}hex"
-PROGRAM2 = r"""CASE WHEN session_type = 'BACKGROUND' OR regexp_matches(program, '.*\([PJ]\d+\)')
-    THEN regexp_replace(substr(program, greatest(instr(program, '('), 1)), '\d', 'n', 'g')
-    ELSE '(' || regexp_replace(regexp_replace(program, '(.*)@(.*)(\(.*\))', '\1'), '\d', 'n', 'g') || ')' END || ' '"""
+_ROLE = r"regexp_extract(coalesce(program, ''), '\([^(]*$')"
+PROGRAM_LABEL = rf"""regexp_replace(CASE WHEN session_type = 'BACKGROUND' OR regexp_matches({_ROLE}, '^\([JP]\d+\)') THEN coalesce(nullif({_ROLE}, ''), program, '')
+    ELSE '(' || split_part(coalesce(program, ''), '@', 1) || ')' END, '\d', 'n', 'g') || ' '"""
 CLASS_NAMES = ", ".join(f"'{c}'" for c in BUFFER_CLASSES)
-EVENT2 = f"""coalesce(event, session_state) || CASE WHEN event IN ('buffer busy waits', 'gc buffer busy', 'gc buffer busy acquire', 'gc buffer busy release')
-    THEN ' [' || coalesce(CASE WHEN p3 <= {len(BUFFER_CLASSES)} THEN CASE WHEN p3 >= 1 THEN ([{CLASS_NAMES}])[CAST(p3 AS INT)] END
-       WHEN ((p3 & 65535) - 17) % 2 = 0 THEN 'undo header' WHEN ((p3 & 65535) - 17) % 2 = 1 THEN 'undo data' ELSE 'error' END, '') || ']' ELSE '' END"""
+EVENT_TEXT = f"""coalesce(event, session_state) || CASE WHEN starts_with(event, 'buffer busy') OR starts_with(event, 'gc buffer busy') THEN ' [' ||
+    coalesce(CASE WHEN p3 BETWEEN 0 AND {len(BUFFER_CLASSES)} THEN ([{CLASS_NAMES}])[p3] ELSE 'undo ' || if(p3 % 2 = 1, 'header', 'data') END, '') || ']' ELSE '' END"""
 
 
-@query("f08_program_labels", f"SELECT program, session_type, {PROGRAM2} AS program2, count(*) AS cnt FROM samples GROUP BY 1, 2, 3")
+@query("f08_program_labels", f"SELECT program, session_type, {PROGRAM_LABEL} AS program_role, count(*) AS cnt FROM samples GROUP BY 1, 2, 3")
 def _(t):
-    return A.count_by(t.samples, ["program", "session_type", text.program_label("program", "session_type").alias("program2")])
+    return A.count_by(t.samples, ["program", "session_type", text.program_label("program", "session_type").alias("program_role")])
 
 
-@query("f09_event_labels_with_buffer_class", f"SELECT {EVENT2} AS event2, p3, count(*) AS cnt FROM samples GROUP BY 1, 2")
+@query("f09_event_labels_with_buffer_class", f"SELECT {EVENT_TEXT} AS event_text, p3, count(*) AS cnt FROM samples GROUP BY 1, 2")
 def _(t):
-    return A.count_by(t.samples, [labels.event_label("event", "session_state", "p3", BUFFER_CLASSES).alias("event2"), "p3"])
+    return A.count_by(t.samples, [labels.event_label("event", "session_state", "p3", BUFFER_CLASSES).alias("event_text"), "p3"])
 
 
 @query("f03_hex_parameters", f"SELECT sample_id, session_id, {HEX.format(c='p1')}, {HEX.format(c='p3')} FROM samples")
@@ -374,15 +373,15 @@ def _(t):
 
 @query("r03_activity_by_dimensions", f"""SELECT total_seconds, {rounded('total_seconds', '1296000', 1)} AS aas,
     lpad(CAST(CAST((200 * total_seconds + sum(total_seconds) OVER ()) // (2 * sum(total_seconds) OVER ()) AS BIGINT) AS VARCHAR) || '%', 5, ' ') AS share,
-    username, program2, event2, objt, first_seen, last_seen, executions FROM (
-  SELECT count(*) AS total_seconds, u.username, {PROGRAM2} AS program2, {EVENT2} AS event2, o.objt,
+    username, program_role, event_text, objt, first_seen, last_seen, executions FROM (
+  SELECT count(*) AS total_seconds, u.username, {PROGRAM_LABEL} AS program_role, {EVENT_TEXT} AS event_text, o.objt,
     strftime(min(sample_time), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(sample_time), '%Y-%m-%d %H:%M:%S') AS last_seen,
     count(DISTINCT coalesce(strftime(sql_exec_start, '%Y-%m-%d %H:%M:%S'), '') || ':' || coalesce(CAST(sql_exec_id AS VARCHAR), '')) AS executions
   FROM samples s LEFT JOIN users u ON u.user_id = s.user_id LEFT JOIN (SELECT object_id, owner || '.' || object_name || ' [' || object_type || ']' AS objt FROM objects) o ON o.object_id = s.current_obj
   WHERE sample_time BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' AND session_type = 'FOREGROUND' GROUP BY 2, 3, 4, 5) g
-  ORDER BY total_seconds DESC, username ASC NULLS LAST, program2 ASC NULLS LAST, event2 ASC NULLS LAST, objt ASC NULLS LAST LIMIT 15""")
+  ORDER BY total_seconds DESC, username ASC NULLS LAST, program_role ASC NULLS LAST, event_text ASC NULLS LAST, objt ASC NULLS LAST LIMIT 15""")
 def _(t):
-    return R.activity_report(t.samples, ["username", "program2", "event2", "objt"], "session_type = 'FOREGROUND'", START, END,
+    return R.activity_report(t.samples, ["username", "program_role", "event_text", "objt"], "session_type = 'FOREGROUND'", START, END,
                              users=t.users, objects=t.objects, classes=BUFFER_CLASSES)
 
 
@@ -477,11 +476,11 @@ def _(t):
 
 
 @query("r11_top_sessions", f"""SELECT CASE WHEN l.sid IS NULL THEN 'DISCONNECTED' ELSE 'CONNECTED' END AS status, session_id, u.username, b.program, on_cpu, in_wait, on_io, total
-  FROM (SELECT session_id, session_serial, user_id, program, {TOP_ACTIVITY} FROM samples WHERE sample_time > TIMESTAMP '2024-01-28 00:00:00' GROUP BY ALL
+  FROM (SELECT session_id, session_serial, user_id, program, {TOP_ACTIVITY} FROM samples GROUP BY ALL
     ORDER BY total DESC, session_id, session_serial, user_id, program LIMIT 9) b JOIN users u ON u.user_id = b.user_id
   LEFT JOIN sessions l ON l.sid = session_id AND l.serial = session_serial""")
 def _(t):
-    return R.top_sessions(P.last(t.samples, AS_OF, "3 days"), t.users, t.sessions)
+    return R.top_sessions(t.samples, t.users, t.sessions)
 
 
 @query("j28_live_sessions_in_last_sample", """SELECT l.wait_class, l.status, s.event, count(*) AS cnt FROM sessions l JOIN samples s ON s.session_id = l.sid

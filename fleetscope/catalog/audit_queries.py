@@ -12,7 +12,8 @@ MESSAGE = """CASE returncode WHEN 28000 THEN 'Account is locked' WHEN 28001 THEN
   WHEN 1045 THEN 'User lacks CREATE SESSION privilege' END"""
 FAILED = """SELECT CAST(date_trunc('day', event_time) AS TIMESTAMP) AS day, username, userhost, returncode, count(*) AS cnt FROM audit
   WHERE returncode <> 0 AND event_time >= TIMESTAMP '2024-01-02 00:00:00' AND event_time < TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1, 2, 3, 4 HAVING count(*) > {n}"""
-ROLLED = f"""SELECT day, username, returncode, {MESSAGE} AS message, CAST(sum(cnt) AS BIGINT) AS attempts, string_agg(userhost, ',' ORDER BY userhost) AS hosts FROM ({FAILED.format(n=0)}) f GROUP BY 1, 2, 3"""
+FEW = 1
+ROLLED = f"""SELECT day, username, returncode, {MESSAGE} AS message, CAST(sum(cnt) AS BIGINT) AS attempts, string_agg(userhost, ',' ORDER BY userhost) AS hosts FROM ({FAILED.format(n=FEW)}) f GROUP BY 1, 2, 3"""
 
 
 def _limit(name):
@@ -29,7 +30,7 @@ def _state(when):
 
 @query("a21_failed_login_rollup", f"SELECT day, username, returncode, attempts, hosts FROM ({ROLLED}) r")
 def _(t):
-    return R.failed_logins(t.audit, t.users, t.profiles, "2024-01-02 00:00:00", "2024-01-30 00:00:00", more_than=0).select("day", "username", "returncode", "attempts", "hosts")
+    return R.failed_logins(t.audit, t.users, t.profiles, "2024-01-02 00:00:00", "2024-01-30 00:00:00", more_than=FEW).select("day", "username", "returncode", "attempts", "hosts")
 
 
 @query("r24_failed_logins", f"""SELECT r.*, CASE returncode WHEN 28001 THEN {_state(DATE.format(c='expiry_date'))} WHEN 28000 THEN {_state(DATE.format(c='lock_date'))}
@@ -37,7 +38,7 @@ def _(t):
     WHEN 1017 THEN coalesce({STATE.format(x='account_status')}, '<User does not exist>') END AS account,
     CASE returncode WHEN 28001 THEN {_limit('PASSWORD_LIFE_TIME')} WHEN 28000 THEN {_limit('FAILED_LOGIN_ATTEMPTS')} END AS profile_setting FROM ({ROLLED}) r""")
 def _(t):
-    return R.failed_logins(t.audit, t.users, t.profiles, "2024-01-02 00:00:00", "2024-01-30 00:00:00", more_than=0)
+    return R.failed_logins(t.audit, t.users, t.profiles, "2024-01-02 00:00:00", "2024-01-30 00:00:00", more_than=FEW)
 
 
 HOURLY = f"SELECT CAST(date_trunc('hour', event_time) AS TIMESTAMP) AS at, username, userhost, returncode, count(*) AS attempts, {MESSAGE} AS message FROM audit WHERE returncode <> 0 GROUP BY 1, 2, 3, 4"
@@ -104,9 +105,10 @@ def _(t):
     return R.instance_summary(t.sessions, t.orders.select(F.col("o_orderdate").alias("switch_time")))
 
 
-@query("r30_instance_check", SUMMARY.replace("FROM sessions", "FROM sessions WHERE inst_id = 2"))
+@query("r30_instance_check", f"""SELECT 'summary' AS section, NULL AS user_name, total_sessions AS sessions, active_sessions AS active, connected_since, last_switch FROM ({SUMMARY}) s
+  UNION ALL SELECT 'user', user_name, sessions, active, NULL, NULL FROM (SELECT {USER} AS user_name, count(*) AS sessions, {ACTIVE} AS active FROM sessions GROUP BY 1) u""")
 def _(t):
-    return R.instance_summary(t.sessions.where("inst_id = 2"), t.orders.select(F.col("o_orderdate").alias("switch_time")))
+    return R.instance_check(t.sessions, t.orders.select(F.col("o_orderdate").alias("switch_time")))
 
 
 def _checks(t):
@@ -158,7 +160,9 @@ def _(t):
     return S.rename_commands(t.files, "P01", "Q01")
 
 
-@query("p14_recompile_commands", """SELECT 'alter ' || lower(object_type) || ' "' || owner || '"."' || object_name || '" compile' AS line FROM objects WHERE status = 'INVALID'""")
+@query("p14_recompile_commands", """SELECT CASE object_type WHEN 'PACKAGE BODY'
+    THEN 'alter package "' || owner || '"."' || object_name || '" compile body' ELSE 'alter ' || lower(object_type) || ' "' || owner || '"."' || object_name || '" compile' END AS line
+  FROM objects WHERE status = 'INVALID' AND object_type NOT IN ('INDEX', 'TABLE')""")
 def _(t):
     return S.recompile_commands(t.objects)
 

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.nulls import glue
 from ..operators import blocking as B
-from .activity_queries import END, PROGRAM2, START
+from .activity_queries import END, PROGRAM_LABEL, START
 from .registry import query, rounded
 
 LEVEL_COLS = ("inst_id", "session_id", "session_serial", "sql_id", "event")
@@ -20,16 +21,16 @@ def _(t):
 
 
 @query("j15_blocker_object", """SELECT a.sample_id, a.session_id, CASE WHEN b.current_obj IS NULL OR b.current_obj = -1 THEN a.current_obj ELSE b.current_obj END AS contended_obj
-  FROM samples a LEFT JOIN samples b ON b.session_id = a.blocking_session AND b.session_serial = a.blocking_session_serial
+  FROM samples a LEFT JOIN samples b ON b.inst_id = a.blocking_inst_id AND b.session_id = a.blocking_session AND b.session_serial = a.blocking_session_serial
     AND b.sample_id = CASE WHEN a.time_waited = 0 THEN a.sample_id - 1 ELSE a.sample_id END WHERE a.event = 'enq: TX - index contention'""")
 def _(t):
     return B.blocker_object(t.samples, "enq: TX - index contention").select("sample_id", "session_id", "contended_obj")
 
 
 @query("j16_held_by", """SELECT s.sample_id, s.session_id, s.event, h.blocked_sessions FROM samples s JOIN
-  (SELECT inst_id, blocking_session, blocking_session_serial, sample_id, count(*) AS blocked_sessions FROM samples
+  (SELECT blocking_inst_id, blocking_session, blocking_session_serial, sample_id, count(*) AS blocked_sessions FROM samples
    WHERE blocking_session IS NOT NULL AND event IN ('library cache lock', 'latch free') GROUP BY ALL) h
-  ON s.session_id = h.blocking_session AND s.session_serial = h.blocking_session_serial AND s.sample_id = h.sample_id""")
+  ON s.inst_id = h.blocking_inst_id AND s.session_id = h.blocking_session AND s.session_serial = h.blocking_session_serial AND s.sample_id = h.sample_id""")
 def _(t):
     return B.held_by(t.samples, ["library cache lock", "latch free"]).select("sample_id", "session_id", "event", "blocked_sessions")
 
@@ -47,7 +48,7 @@ def _climb(cond, label):
 
 
 EVENT_LABEL = "coalesce(event, 'ON CPU') || ' '"
-CHAIN_LABEL = f"{PROGRAM2} || {EVENT_LABEL}"
+CHAIN_LABEL = f"{PROGRAM_LABEL} || {EVENT_LABEL}"
 
 
 def _chain_report(weight, tail):
@@ -62,7 +63,7 @@ IDLE = " || CASE WHEN blocking_session IS NULL THEN '' ELSE ' -> [idle blocker '
 
 
 def _label():
-    return F.concat(text.program_label("program", "session_type"), F.coalesce("event", F.lit("ON CPU")), F.lit(" "))
+    return glue(text.program_label("program", "session_type"), F.coalesce("event", F.lit("ON CPU")), F.lit(" "))
 
 
 @query("j17_blocker_paths", f"{_climb('session_id IS NOT NULL', EVENT_LABEL)} SELECT sample_id, start_id AS session_id, lvl AS length, chain FROM ends WHERE from_end = 1")
@@ -99,7 +100,7 @@ HANG = """WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM samples WHERE sample_i
     FROM tree p JOIN s c ON c.sample_id = p.sample_id AND c.blocking_session = p.session_id AND c.blocking_session_serial = p.session_serial AND c.blocking_inst_id = p.inst_id
       AND NOT list_contains(p.seen, c.session_id))
   SELECT t.sample_id, t.root_session, t.level, t.session_id, CASE WHEN EXISTS (SELECT 1 FROM s c WHERE c.sample_id = t.sample_id AND c.blocking_session = t.session_id
-      AND list_contains(t.seen, c.session_id)) THEN 'YES' ELSE 'NO' END AS in_cycle, coalesce(a.event, 'Not in wait.') AS wait_event, a.time_waited, substr(q.sql_text, 1, 20) AS sql_text
+      AND list_contains(t.seen, c.session_id)) THEN 'YES' ELSE 'NO' END AS in_cycle, coalesce(a.event, 'Not in wait.') AS wait_event, a.time_waited, q.sql_text
   FROM tree t JOIN s a ON a.sample_id = t.sample_id AND a.session_id = t.session_id LEFT JOIN statements q ON q.sql_id = a.sql_id"""
 HANG_COLS = ["sample_id", "root_session", "level", "session_id", "in_cycle", "wait_event", "time_waited", "sql_text"]
 
@@ -117,9 +118,9 @@ def _(t):
 
 
 @query("r10_blockers_of_hangs", """SELECT s.sample_time, s.session_id, s.event, s.program, h.blocked_sessions FROM samples s JOIN
-  (SELECT inst_id, blocking_session, blocking_session_serial, sample_id, count(*) AS blocked_sessions FROM samples
+  (SELECT blocking_inst_id, blocking_session, blocking_session_serial, sample_id, count(*) AS blocked_sessions FROM samples
    WHERE blocking_session IS NOT NULL AND event IN ('library cache lock', 'library cache: mutex X') GROUP BY ALL) h
-  ON s.session_id = h.blocking_session AND s.session_serial = h.blocking_session_serial AND s.sample_id = h.sample_id""")
+  ON s.inst_id = h.blocking_inst_id AND s.session_id = h.blocking_session AND s.session_serial = h.blocking_session_serial AND s.sample_id = h.sample_id""")
 def _(t):
     return B.held_by(t.samples, ["library cache lock", "library cache: mutex X"]) \
         .select("sample_time", "session_id", "event", "program", "blocked_sessions").orderBy(F.col("blocked_sessions").desc(), "sample_time", "session_id")
@@ -140,7 +141,7 @@ def _(t):
 CONTENTION = f"""SELECT contended_obj AS current_obj, CAST(sum(cnt) AS BIGINT) AS sessions_sum, count(*) AS sample_times, max(mean_us) AS max_us, avg(mean_us) AS avg_us,
     CASE WHEN max(mean_us) > 5000000 THEN 10 ELSE 1 END AS factor FROM (
   SELECT CASE WHEN b.current_obj IS NULL OR b.current_obj = -1 THEN a.current_obj ELSE b.current_obj END AS contended_obj, a.sample_time, count(*) AS cnt, avg(nullif(a.time_waited, 0)) AS mean_us
-  FROM samples a LEFT JOIN samples b ON b.session_id = a.blocking_session AND b.session_serial = a.blocking_session_serial
+  FROM samples a LEFT JOIN samples b ON b.inst_id = a.blocking_inst_id AND b.session_id = a.blocking_session AND b.session_serial = a.blocking_session_serial
     AND b.sample_id = CASE WHEN a.time_waited = 0 THEN a.sample_id - 1 ELSE a.sample_id END
   WHERE a.event = 'enq: TX - index contention' GROUP BY 1, 2) p GROUP BY 1"""
 
@@ -150,6 +151,12 @@ def _(t):
     return B.contention_by_object(B.blocker_object(t.samples, "enq: TX - index contention")).withColumnRenamed("contended_obj", "current_obj")
 
 
+@query("a30_contention_recent_waits", CONTENTION.replace("GROUP BY 1, 2)", f"AND a.{RECENT} GROUP BY 1, 2)"))
+def _(t):
+    recent = B.blocker_object(t.samples, "enq: TX - index contention", waits=F.expr(RECENT))  # holders may lie before the window
+    return B.contention_by_object(recent).withColumnRenamed("contended_obj", "current_obj")
+
+
 @query("r23_contention_metric", f"""SELECT {rounded('sessions_sum * factor', 'sample_times')} AS samples, {NAME} AS index_name, round(avg_us / 1e6, 1) AS avg_wait_sec,
     CASE WHEN avg_us * 2 < max_us THEN round(max_us / 1e6, 1) END AS max_wait_sec, {rounded('sessions_sum', 'sample_times')} AS avg_sessions
   FROM ({CONTENTION}) a {NAMED}

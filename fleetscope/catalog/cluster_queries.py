@@ -135,7 +135,7 @@ def _(t):
                            (F.col("event_id") % 17).alias("rest"), F.col("event_id").bitwiseAND(255).alias("low"))
 
 
-@query("f03_hex_and_numbers", "SELECT p_partkey, lpad(upper(to_hex(p_partkey)), 16, '0') AS hexed, p_partkey AS back, TRY_CAST(p_name AS DECIMAL(38,4)) AS not_a_number, CAST(CAST(CAST(p_size AS VARCHAR) AS DECIMAL(38,4)) AS DOUBLE) AS number FROM part")
+@query("f03_hex_and_numbers", "SELECT p_partkey, lpad(upper(to_hex(p_partkey)), 16, '0') AS hexed, CAST(p_partkey AS DECIMAL(20,0)) AS back, TRY_CAST(p_name AS DECIMAL(38,4)) AS not_a_number, CAST(CAST(CAST(p_size AS VARCHAR) AS DECIMAL(38,4)) AS DOUBLE) AS number FROM part")
 def _(t):
     hexed = numbers.hex16("p_partkey")
     return t.part.select("p_partkey", hexed.alias("hexed"), numbers.from_hex(hexed).alias("back"), numbers.to_number("p_name").alias("not_a_number"),

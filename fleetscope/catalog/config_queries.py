@@ -29,28 +29,45 @@ def _(t):
     return N.pending_sources(N.live_instances(t.instances), t.param_hist, DAY).select("id", "instance_name")
 
 
-def _sources(t):
-    """One source per nation; the reader of nation 24 fails on purpose."""
-    registry = t.nation.select(F.col("n_nationkey").alias("id"), "n_name")
+@query("s02_collect_fleet", f"SELECT c_custkey, c_name, CAST(c_nationkey AS INT) AS id, {DAY_SQL} AS date_collected FROM customer WHERE c_nationkey <> 24")
+def _(t):
+    """Sources landed as files, one folder per nation; nation 24 is not registered."""
+    from ..session import scratch_dir
+    path = scratch_dir(t.spark, "landing")
+    t.customer.select("c_custkey", "c_name", F.col("c_nationkey").alias("id")).write.partitionBy("id").parquet(path)
+    return fleet.collect_landing(t.spark, path, t.nation.where("n_nationkey <> 24").select(F.col("n_nationkey").alias("id")), DAY).withColumn("id", F.col("id").cast("int"))
+
+
+FLEET = 70
+
+
+def _collected(t):
+    """Orders from FLEET sources; source 5 can't be opened, source 9 fails while it is read, source 3 is collected twice. Returns rows and errors."""
+    from ..session import scratch_dir
+    path, rows = scratch_dir(t.spark, "fleet"), t.orders.select((F.col("o_custkey") % FLEET).alias("src"), "o_orderkey", "o_totalprice")
 
     def read(row):
-        if row["id"] == 24:
-            raise ConnectionError("source not reachable")
-        return t.customer.where(F.col("c_nationkey") == row["id"]).select("c_custkey", "c_name")
+        if row["id"] == 5:
+            raise ConnectionError("source not reachable\nno listener")
+        own = rows.where(F.col("src") == row["id"]).drop("src")
+        return own if row["id"] != 9 else own.withColumn("o_totalprice", F.when(F.col("o_orderkey") >= 0, F.raise_error(F.lit("link closed while reading"))).cast("double"))
 
-    return list(fleet.collect_fleet(registry, read, DAY, "customers"))
+    registry = t.spark.range(FLEET)
+    errors = fleet.collect_fleet(registry, read, DAY, path, "orders")
+    fleet.collect_fleet(registry.where("id = 3"), read, DAY, path, "orders")
+    return t.spark.read.parquet(path), errors
 
 
-@query("s02_collect_fleet", f"SELECT c_custkey, c_name, c_nationkey AS inst_id, {DAY_SQL} AS date_collected FROM customer WHERE c_nationkey <> 24")
+@query("s02_collect_each_source", f"SELECT o_orderkey, CAST(o_custkey % {FLEET} AS INT) AS inst_id, {DAY_SQL} AS date_collected FROM orders WHERE o_custkey % {FLEET} NOT IN (5, 9)")
 def _(t):
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), [c.data for c in _sources(t)]).withColumn("inst_id", F.col("inst_id").cast("int"))
+    return _collected(t)[0].select("o_orderkey", F.col("inst_id").cast("int").alias("inst_id"), F.col("date_collected").cast("timestamp_ntz").alias("date_collected"))
 
 
-@query("s07_collection_errors", f"SELECT CAST(n_nationkey AS BIGINT) AS inst_id, 'customers' AS collector, 'source not reachable' AS error, {DAY_SQL} AS date_collected FROM nation WHERE n_nationkey = 24")
+@query("s07_collection_errors", f"""SELECT DISTINCT CAST(o_custkey % {FLEET} AS BIGINT) AS inst_id, 'orders' AS collector, {DAY_SQL} AS date_collected,
+    CASE WHEN o_custkey % {FLEET} = 5 THEN 'source not reachable' || chr(10) || 'no listener' ELSE 'link closed while reading' END AS error FROM orders WHERE o_custkey % {FLEET} IN (5, 9)""")
 def _(t):
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), [c.errors for c in _sources(t)])
+    said = F.regexp_extract("error", r"link closed while reading", 0)  # the rest of that text is about the job
+    return _collected(t)[1].withColumn("error", F.when(said != "", said).otherwise(F.col("error")))
 
 
 @query("s05_idempotent_snapshot_write", "SELECT inst_id, date_collected, param_name, param_value FROM param_hist")
@@ -59,14 +76,18 @@ def _(t):
     path = scratch_dir(t.spark, "snapshot")
     rows = t.param_hist.select("inst_id", "date_collected", "param_name", "param_value")
     fleet.write_snapshot(rows, path)
-    fleet.write_snapshot(rows.where(F.col("date_collected") == F.lit(DAY).cast("timestamp_ntz")), path)  # collected again
+    fleet.write_snapshot(rows.where((F.col("date_collected") == F.lit(DAY).cast("timestamp_ntz")) & (F.col("inst_id") % 2 == 0)), path)  # some sources collected again
     return t.spark.read.parquet(path).select("inst_id", F.col("date_collected").cast("timestamp_ntz").alias("date_collected"), "param_name", "param_value")
 
 
 @query("s06_purge_rows", f"SELECT inst_id, date_collected, param_name FROM param_hist WHERE NOT coalesce(param_isdefault IS NOT NULL AND date_collected = {DAY_SQL}, false)")
 def _(t):
-    stale = F.col("param_isdefault").isNotNull() & (F.col("date_collected") == F.lit(DAY).cast("timestamp_ntz"))
-    return fleet.purge_snapshot(t.param_hist, stale).select("inst_id", "date_collected", "param_name")
+    from ..session import scratch_dir
+    path, kept = scratch_dir(t.spark, "history"), scratch_dir(t.spark, "history")
+    fleet.write_snapshot(t.param_hist.select("inst_id", "date_collected", "param_name", "param_isdefault"), path, ("date_collected",))
+    stale = F.col("param_isdefault").isNotNull() & (F.col("date_collected").cast("timestamp_ntz") == F.lit(DAY).cast("timestamp_ntz"))
+    fleet.purge_stored(t.spark, path, kept, stale, ("date_collected",))
+    return t.spark.read.parquet(kept).select("inst_id", F.col("date_collected").cast("timestamp_ntz").alias("date_collected"), "param_name")
 
 
 @query("s08_saved_extract", "SELECT sample_id, session_id, event FROM samples WHERE sql_id = 'q3'")

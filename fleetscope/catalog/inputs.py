@@ -15,7 +15,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS: dict[str, str] = {}
 
 # One row per (sample_id, inst_id, session_id). Blockers: mostly the previous session of the
-# sample, sometimes the next one (which closes cycles), sometimes one that is not sampled.
+# sample, sometimes the next one (which closes cycles), sometimes one that is not sampled. Time and
+# snapshot are computed innermost and partition both windows, so filters on them reach the scan.
 VIEWS["samples"] = """
 SELECT sample_id, sample_time, snap_id, inst_id, session_id, session_serial, session_type, event, wait_class,
   session_state, time_waited, program, module, action, machine, user_id, p1, p2, p3,
@@ -34,12 +35,10 @@ SELECT sample_id, sample_time, snap_id, inst_id, session_id, session_serial, ses
   units * 40000 AS pga_allocated, CASE WHEN event_id % 3 = 0 THEN units * 90000 END AS temp_space_allocated
 FROM (
   SELECT b.*, CASE WHEN event IS NULL THEN NULL WHEN event_id % 11 = 0 THEN 1000000 + session_id
-      WHEN event_id % 13 = 0 THEN lead(session_id) OVER (PARTITION BY sample_id ORDER BY session_id)
-      ELSE lag(session_id) OVER (PARTITION BY sample_id ORDER BY session_id) END AS blocking_session
+      WHEN event_id % 13 = 0 THEN lead(session_id) OVER (PARTITION BY sample_time, snap_id, sample_id ORDER BY session_id)
+      ELSE lag(session_id) OVER (PARTITION BY sample_time, snap_id, sample_id ORDER BY session_id) END AS blocking_session
   FROM (
-    SELECT event_id, CAST(extract(YEAR FROM ts) * 8784 + extract(DOY FROM ts) * 24 + extract(HOUR FROM ts) AS BIGINT) AS sample_id,
-      CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS sample_time,
-      CAST(extract(YEAR FROM ts) * 366 + extract(DOY FROM ts) AS BIGINT) AS snap_id,
+    SELECT event_id, sample_id, sample_time, snap_id,
       1 + user_id % 2 AS inst_id, user_id AS session_id, user_id * 7 + 1 AS session_serial,
       CASE WHEN user_id % 5 < 2 THEN 'BACKGROUND' ELSE 'FOREGROUND' END AS session_type,
       CASE event_type
@@ -53,7 +52,7 @@ FROM (
       CASE WHEN event_type = 'view' THEN 'ON CPU' ELSE 'WAITING' END AS session_state,
       CASE WHEN event_type = 'view' OR event_id % 5 = 0 THEN 0 ELSE CAST(round(value * 100) AS BIGINT) * 1000 END AS time_waited,
       CASE user_id % 5 WHEN 0 THEN 'db@h1 (LGWR)' WHEN 1 THEN 'db@h1 (DBW0)' WHEN 2 THEN 'db@h1 (P003)'
-        WHEN 3 THEN 'app12@h2 (TNS V1-V3)' ELSE 'batch@h3 (J001)' END AS program,
+        WHEN 3 THEN CASE WHEN event_id % 41 <> 0 THEN 'app12@h2 (TNS V1-V3)' END ELSE 'batch@h3 (J001)' END AS program,
       concat('mod', CAST(user_id % 3 AS STRING)) AS module,
       CASE WHEN event_id % 19 = 0 THEN 'ORA$AT_OS_OPT_SY_1' ELSE concat('act', CAST(event_id % 2 AS STRING)) END AS action,
       concat('h', CAST(user_id % 7 AS STRING)) AS machine, user_id,
@@ -69,8 +68,11 @@ FROM (
       CASE WHEN event_id % 3 = 0 THEN 'N' ELSE 'Y' END AS in_sql_execution,
       CASE WHEN event_id % 29 = 0 THEN -1 WHEN event_id % 31 = 0 THEN NULL ELSE event_id % 40 END AS current_obj,
       event_id % 1000 AS seq_no, CAST(round(value * 100) AS BIGINT) AS units,
-      row_number() OVER (PARTITION BY date_trunc('HOUR', ts), user_id ORDER BY event_id) AS rn
-    FROM {events}) b
+      row_number() OVER (PARTITION BY sample_time, snap_id, sample_id, user_id ORDER BY event_id) AS rn
+    FROM (SELECT *, CAST(extract(YEAR FROM ts) * 8784 + extract(DOY FROM ts) * 24 + extract(HOUR FROM ts) AS BIGINT) AS sample_id,
+        CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS sample_time,
+        CAST(extract(YEAR FROM ts) * 366 + extract(DOY FROM ts) AS BIGINT) AS snap_id
+      FROM {events}) e) b
   WHERE rn = 1) s
 """
 
@@ -102,7 +104,8 @@ SELECT DISTINCT c_mktsegment, 'PASSWORD_GRACE_TIME', '7' FROM {customer} WHERE c
 VIEWS["objects"] = """
 SELECT p_partkey AS object_id, concat('OWN', CAST(p_size % 5 AS STRING)) AS owner, concat('OBJ', CAST(p_partkey AS STRING)) AS object_name,
   CASE WHEN p_partkey % 4 = 0 THEN concat('P', CAST(p_size AS STRING)) END AS subobject_name,
-  CASE WHEN p_size <= 25 THEN 'INDEX' ELSE 'TABLE' END AS object_type,
+  CASE WHEN p_size <= 25 THEN 'INDEX' WHEN p_partkey % 9 <> 0 THEN 'TABLE'
+    ELSE CASE p_partkey % 4 WHEN 0 THEN 'PACKAGE BODY' WHEN 1 THEN 'VIEW' WHEN 2 THEN 'SYNONYM' ELSE 'TABLE' END END AS object_type,
   CASE WHEN p_partkey % 9 = 0 THEN 'INVALID' ELSE 'VALID' END AS status
 FROM {part} WHERE p_size <> 7
 """

@@ -1,6 +1,6 @@
 """Statement and metric history queries."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.numbers import GIB, ratio
 from ..operators import activity as A, filters as P, joins as J, statements as S
@@ -72,11 +72,11 @@ def _(t):
 
 
 @query("j04_full_outer_compare", """SELECT coalesce(a.plan_hash_value, b.plan_hash_value) AS plan_hash_value, a.n AS first_n, b.n AS second_n FROM
-  (SELECT plan_hash_value, count(*) AS n FROM stmt_stat WHERE sql_id = 'Brand#1' AND loaded_versions = 1 GROUP BY 1) a FULL JOIN
-  (SELECT plan_hash_value, count(*) AS n FROM stmt_stat WHERE sql_id = 'Brand#2' AND loaded_versions = 2 GROUP BY 1) b ON a.plan_hash_value = b.plan_hash_value""")
+  (SELECT plan_hash_value, count(*) AS n FROM stmt_stat WHERE instance_number = 1 GROUP BY 1) a FULL JOIN
+  (SELECT plan_hash_value, count(*) AS n FROM stmt_stat WHERE instance_number = 2 GROUP BY 1) b ON a.plan_hash_value = b.plan_hash_value""")
 def _(t):
-    side = lambda brand, v: A.count_by(t.stmt_stat.where((F.col("sql_id") == brand) & (F.col("loaded_versions") == v)), ["plan_hash_value"], "n")
-    return J.compare(side("Brand#1", 1), side("Brand#2", 2), ["plan_hash_value"], ("first", "second"))
+    side = lambda node: A.count_by(t.stmt_stat.where(F.col("instance_number") == node), ["plan_hash_value"], "n")
+    return J.compare(side(1), side(2), ["plan_hash_value"], ("first", "second"))
 
 
 @query("a14_statement_totals", f"""SELECT sql_id, CAST(sum(executions) AS BIGINT) AS executions, {rounded('sum(elapsed_time)', '60000000')} AS elapsed_min,
@@ -146,10 +146,12 @@ def _(t):
     return J.capped_join_count(t.orders, t.orders, "o_custkey", 5_000_000_000 - 1)
 
 
-@query("t05_numeric_order_of_text", "SELECT inst_id, value FROM measures WHERE name = '5-LOW' ORDER BY CAST(value AS DECIMAL(38,4)) DESC NULLS LAST, inst_id, date_collected LIMIT 20")
+@query("t05_numeric_order_of_text", """SELECT inst_id, name, value, date_collected, dense_rank() OVER (PARTITION BY name
+  ORDER BY CAST(value AS DECIMAL(38,4)) DESC NULLS LAST) AS place FROM measures""")
 def _(t):
     from ..functions.numbers import to_number
-    return t.measures.where("name = '5-LOW'").orderBy(to_number("value").desc_nulls_last(), "inst_id", "date_collected").limit(20).select("inst_id", "value")
+    place = F.dense_rank().over(Window.partitionBy("name").orderBy(to_number("value").desc_nulls_last()))
+    return t.measures.select("inst_id", "name", "value", "date_collected", place.cast("bigint").alias("place"))
 
 
 @query("a42_counts_and_ratios", f"""SELECT tablespace_name, autoextensible, count(*) AS cnt, {rounded('sum(blocks)', '1073741824', 6)} AS blocks_g FROM files GROUP BY 1, 2""")

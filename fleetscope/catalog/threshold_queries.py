@@ -73,19 +73,17 @@ def _(t):
 
 
 def _only(a, b, year_a, year_b):
-    return f"SELECT DISTINCT target_name FROM thresholds WHERE date_collected = {a} AND metric = 'Brand#1' AND target_name NOT IN (SELECT target_name FROM thresholds WHERE date_collected = {b} AND metric = 'Brand#1')"
+    return f"SELECT DISTINCT target_name FROM thresholds WHERE date_collected = {a} AND target_name NOT IN (SELECT target_name FROM thresholds WHERE date_collected = {b})"
 
 
 @query("j11_new_targets", _only(LAST, PREV, 0, 0))
 def _(t):
-    one = lambda f: f(t.thresholds).where("metric = 'Brand#1'")
-    return N.added(one(N.previous_snapshot), one(N.latest_snapshot), "target_name")
+    return N.added(N.previous_snapshot(t.thresholds), N.latest_snapshot(t.thresholds), "target_name")
 
 
 @query("j11_deleted_targets", _only(PREV, LAST, 0, 0))
 def _(t):
-    one = lambda f: f(t.thresholds).where("metric = 'Brand#1'")
-    return N.removed(one(N.previous_snapshot), one(N.latest_snapshot), "target_name")
+    return N.removed(N.previous_snapshot(t.thresholds), N.latest_snapshot(t.thresholds), "target_name")
 
 
 COLS = ["metric", "key_value", "comparison_operator", "warning_threshold", "critical_threshold"]

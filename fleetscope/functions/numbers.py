@@ -14,30 +14,32 @@ MIB = 1024 * 1024
 GIB = 1024 * MIB
 
 
-def _whole(c, digits: int) -> Column:
-    c = F.lit(c) if isinstance(c, int) else col(c)
-    return c.cast(f"decimal({digits},0)")
+def _whole(c) -> Column:
+    return (F.lit(c) if isinstance(c, int) else col(c)).cast("decimal(38,0)")
 
 
-def _rounded(q: Column, scale: int) -> Column:
-    q = F.round(q, scale)
-    return q.cast("bigint") if scale == 0 else q.cast("double")
+#: Decimal digits that one step of the long division appends.
+STEP = 7
 
 
 def ratio(num, den, scale: int = 0) -> Column:
-    """num/den of whole numbers rounded to scale digits; NULL when den is zero.
+    """num/den of whole numbers rounded once to scale digits, half away from zero; NULL when den is zero.
 
-    The quotient carries 18 decimal digits, so rounding is exact while 2 * den * 10**scale < 10**18.
+    Long division: the remainder gives STEP more digits at a time, so every divisor up to 10**30 is exact.
+    The whole part must fit a bigint.
     """
-    return _rounded(F.try_divide(_whole(num, 20), _whole(den, 17)), scale)
-
-
-def big_ratio(num, den, scale: int = 0) -> Column:
-    """ratio for products that outgrow 20 digits (non-negative): whole-number division throughout."""
-    n, d = _whole(num, 38), _whole(den, 38)
-    twice = n * F.lit(2 * 10**scale).cast("decimal(38,0)") + d
-    q = F.when(d != 0, F.call_function("div", twice, d * F.lit(2).cast("decimal(38,0)")))
-    return q if scale == 0 else q / F.lit(float(10**scale))
+    n, d = _whole(num), _whole(den)
+    size = F.nullif(F.abs(d), F.lit(0).cast("decimal(38,0)"))
+    rest, whole, left = F.abs(n) % size, F.call_function("div", F.abs(n), size), scale
+    value = whole.cast("decimal(38,0)")
+    while left:
+        k = min(left, STEP)
+        more = rest * F.lit(10**k).cast("decimal(8,0)")
+        value = value * F.lit(10**k).cast("decimal(8,0)") + F.call_function("div", more, size).cast("decimal(38,0)")
+        rest, left = more.cast("decimal(38,0)") % size, left - k
+    value = value + F.when(rest * 2 >= size, 1).otherwise(0)
+    signed = F.when((n < 0) != (d < 0), -value).otherwise(value)
+    return signed.cast("bigint") if scale == 0 else signed.cast("double") / F.lit(float(10**scale))
 
 
 def avg_nz(c) -> Column:
@@ -76,7 +78,8 @@ def hex16(c) -> Column:
 
 
 def from_hex(c) -> Column:
-    return F.conv(col(c), 16, 10).cast("bigint")
+    """The unsigned number that up to sixteen hexadecimal digits say."""
+    return F.conv(col(c), 16, 10).cast("decimal(20,0)")
 
 
 def share(part, total) -> Column:

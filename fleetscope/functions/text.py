@@ -12,12 +12,17 @@ def digits_to_n(c) -> Column:
 
 
 def program_label(program, session_type) -> Column:
-    """Background and worker programs by their bracketed role, others by the name before '@'."""
-    p = col(program)
-    role = digits_to_n(F.substring(p, F.greatest(F.instr(p, "("), F.lit(1)), F.length(p)))
-    owner = digits_to_n(F.regexp_replace(p, r"(.*)@(.*)(\(.*\))", "$1"))
-    background = (col(session_type) == "BACKGROUND") | p.rlike(r".*\([PJ]\d+\)")
-    return F.concat(F.when(background, role).otherwise(F.concat(F.lit("("), owner, F.lit(")"))), F.lit(" "))
+    """Background and worker programs by their role, all others by the name before the host, in brackets.
+
+    The role is the last bracket of the program's text and marks a worker if it is J or P and a number. Numbers
+    become n. A missing program has an empty name.
+    """
+    p = F.coalesce(col(program), F.lit(""))
+    role = F.regexp_extract(p, r"\([^(]*$", 0)
+    name = F.substring_index(p, "@", 1)
+    worker = role.rlike(r"^\([JP]\d+\)")
+    label = F.when((col(session_type) == "BACKGROUND") | worker, F.when(role == "", p).otherwise(role)).otherwise(F.concat(F.lit("("), name, F.lit(")")))
+    return F.concat(digits_to_n(label), F.lit(" "))
 
 
 def title_case(c) -> Column:
@@ -26,8 +31,9 @@ def title_case(c) -> Column:
 
 
 def version_from_path(c) -> Column:
-    """Software version inside a home path, such as 19.0.0."""
-    return null_if_empty(F.regexp_extract(col(c), r"[1-9][0-9]\.[0-9]\.?[0-9]?\.?[0-9]?", 0))
+    """The part of a home path that is a dotted version number, such as 19.0.0."""
+    dotted = F.filter(F.split(col(c), "/"), lambda x: x.rlike(r"^\d{2}(\.\d+)+$"))
+    return F.get(dotted, F.lit(0))
 
 
 def acl_owner(c) -> Column:

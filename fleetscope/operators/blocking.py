@@ -46,30 +46,36 @@ def blocking_levels(s: DataFrame, levels: int = 3, carry: tuple[str, ...] = ("sq
     return blocked.unionByName(free, allowMissingColumns=True)
 
 
-def blocker_object(s: DataFrame, event: str) -> DataFrame:
-    """Waits on event with the object of the blocker; an open wait (no time yet) uses the blocker's previous sample."""
-    waits = s.where(F.col("event") == event)
+def blocker_object(s: DataFrame, event: str, waits: Column | None = None) -> DataFrame:
+    """Waits on event with the object of the blocker; an open wait (no time yet) uses the blocker's previous sample.
+
+    waits restricts the waits only, to a trailing window for instance: their holders may lie before it.
+    """
+    found = s.where(F.col("event") == event)
+    if waits is not None:
+        found = found.where(waits)
     holder = s.select(
-        F.col("session_id").alias("blocking_session"), F.col("session_serial").alias("blocking_session_serial"),
-        F.col("sample_id").alias("_at"), F.col("current_obj").alias("_obj"))
+        F.col("inst_id").alias("blocking_inst_id"), F.col("session_id").alias("blocking_session"),
+        F.col("session_serial").alias("blocking_session_serial"), F.col("sample_id").alias("_at"), F.col("current_obj").alias("_obj"))
     at = F.when(F.col("time_waited") == 0, F.col("sample_id") - 1).otherwise(F.col("sample_id"))
-    keys = ["blocking_session", "blocking_session_serial", "_at"]
+    keys = ["blocking_inst_id", "blocking_session", "blocking_session_serial", "_at"]
     return (
-        waits.withColumn("_at", at).join(holder, keys, "left")
+        found.withColumn("_at", at).join(holder, keys, "left")
         .withColumn("contended_obj", F.when(F.col("_obj").isNull() | (F.col("_obj") == -1), F.col("current_obj")).otherwise(F.col("_obj")))
         .drop("_at", "_obj")
     )
 
 
 def held_by(s: DataFrame, events: list[str]) -> DataFrame:
-    """Samples of blockers with the number of sessions they hold on the given events."""
+    """Samples of blockers with the number of sessions, of all instances, that they hold on the given events."""
     held = (
         s.where(F.col("blocking_session").isNotNull() & F.col("event").isin(events))
-        .groupBy("inst_id", "blocking_session", "blocking_session_serial", "sample_id")
+        .groupBy("blocking_inst_id", "blocking_session", "blocking_session_serial", "sample_id")
         .agg(F.count(F.lit(1)).alias("blocked_sessions"))
-        .select(F.col("blocking_session").alias("session_id"), F.col("blocking_session_serial").alias("session_serial"), "sample_id", "blocked_sessions")
+        .select(F.col("blocking_inst_id").alias("inst_id"), F.col("blocking_session").alias("session_id"),
+                F.col("blocking_session_serial").alias("session_serial"), "sample_id", "blocked_sessions")
     )
-    return s.join(held, ["session_id", "session_serial", "sample_id"])
+    return s.join(held, ["inst_id", "session_id", "session_serial", "sample_id"])
 
 
 def _node(inst: str, sid: str, serial: str) -> Column:
@@ -195,12 +201,12 @@ def wait_chains(s: DataFrame, start: Column, label: Column, begin: str, end: str
         ratio(F.col("cnt") * weight, seconds, 1).alias("aas"), F.col("chain").alias("wait_chain"))
 
 
-def hang_tree(s: DataFrame, texts: DataFrame | None = None, roots: Column | None = None) -> DataFrame:
+def hang_tree(s: DataFrame, texts: DataFrame | None = None, roots: Column | None = None, text_chars: int | None = None) -> DataFrame:
     """For samples with a hang participant: every session under each of its direct and indirect blockers.
 
     A row says that session is reached from root at level (1 = the root itself). Without roots all
     sessions are roots, as in the procedural original; in_cycle marks the row whose session blocks
-    the root it was reached from.
+    the root it was reached from. text_chars cuts the statement text for print; whole texts otherwise.
     """
     flagged = s.where(F.col("hangchain_info") == "Y").select("sample_id").distinct()
     rows = s.join(flagged, "sample_id", "left_semi")
@@ -222,7 +228,8 @@ def hang_tree(s: DataFrame, texts: DataFrame | None = None, roots: Column | None
     if roots is not None:
         out = out.where(roots)
     if texts is not None:
-        out = out.join(texts.select("sql_id", F.substring("sql_text", 1, 20).alias("sql_text")), "sql_id", "left")
+        shown = F.col("sql_text") if text_chars is None else F.substring("sql_text", 1, text_chars)
+        out = out.join(texts.select("sql_id", shown.alias("sql_text")), "sql_id", "left")
     return out
 
 
@@ -267,9 +274,10 @@ def contention_by_object(waits: DataFrame) -> DataFrame:
     )
 
 
-def contention_metric(s: DataFrame, event: str, objects: DataFrame, indexes: DataFrame, exclude: list[str] = (), k: int = 3) -> DataFrame:
-    """The k most contended objects, small values left out."""
-    per_object = contention_by_object(blocker_object(s, event)).withColumnRenamed("contended_obj", "current_obj")
+def contention_metric(s: DataFrame, event: str, objects: DataFrame, indexes: DataFrame, exclude: list[str] = (), k: int = 3,
+                      waits: Column | None = None) -> DataFrame:
+    """The k most contended objects, small values left out; waits as in blocker_object."""
+    per_object = contention_by_object(blocker_object(s, event, waits)).withColumnRenamed("contended_obj", "current_obj")
     peak = F.col("sessions_sum") * F.col("factor") / F.col("sample_times")
     named = _named(per_object, objects, indexes)
     if exclude:

@@ -279,7 +279,7 @@ def top5_waiting(s: DataFrame, n: int = 5, ties: str = "row_number") -> DataFram
 def top2_statement_lines(s: DataFrame) -> DataFrame:
     """Two busiest statement plan lines per sample, with parse and execution states and read rate."""
     line = ["sql_id", "sql_plan_hash_value", "sql_plan_line_id", "sql_plan_operation", "sql_plan_options"]
-    read_rate = numbers.big_ratio(F.sum("delta_read_io_bytes").cast("decimal(38,0)") * F.count("delta_time") * 1000000,
+    read_rate = numbers.ratio(F.sum("delta_read_io_bytes").cast("decimal(38,0)") * F.count("delta_time") * 1000000,
                       F.sum("delta_time").cast("decimal(38,0)") * MIB, 2)
     per_line = s.groupBy("sample_time", *line).agg(
         F.count(F.lit(1)).alias("sessions"),
@@ -324,8 +324,8 @@ def ash_dimensions(s: DataFrame, classes: list[str]) -> DataFrame:
     """Computed dimensions: event with buffer class, normalised program, hexadecimal parameters, plan operation."""
     hexed = lambda c: numbers.hex16(F.when(F.col("session_state") == "WAITING", F.col(c)))
     return s.withColumns({
-        "event2": labels.event_label("event", "session_state", "p3", classes),
-        "program2": text.program_label("program", "session_type"),
+        "event_text": labels.event_label("event", "session_state", "p3", classes),
+        "program_role": text.program_label("program", "session_type"),
         "p1hex": hexed("p1"), "p2hex": hexed("p2"), "p3hex": hexed("p3"),
     })
 

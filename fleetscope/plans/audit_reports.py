@@ -116,6 +116,14 @@ def instance_summary(sessions: DataFrame, switches: DataFrame | None = None) ->
     return out
 
 
+def instance_check(sessions: DataFrame, switches: DataFrame) -> DataFrame:
+    """The summary line and the sessions of every user, as one report."""
+    top = instance_summary(sessions, switches).select(
+        F.lit("summary").alias("section"), F.lit(None).cast("string").alias("user_name"), F.col("total_sessions").alias("sessions"),
+        F.col("active_sessions").alias("active"), "connected_since", "last_switch")
+    return top.unionByName(sessions_by_user(sessions, None).withColumn("section", F.lit("user")), allowMissingColumns=True)
+
+
 def check(df: DataFrame, name: str, expected: int) -> DataFrame:
     """One compliance check: does the relation hold exactly the expected number of rows."""
     return df.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("check_name"), "found", F.lit(expected).cast("bigint").alias("expected"))

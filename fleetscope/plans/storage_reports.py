@@ -44,10 +44,14 @@ def rename_commands(files: DataFrame, old: str, new: str) -> DataFrame:
     return files.select(render("alter database rename file '{}' to '{}';", F.col("file_name"), F.replace(F.col("file_name"), F.lit(old), F.lit(new))).alias("line"))
 
 
+# The types of objects that can be compiled.
+COMPILED = ("PACKAGE BODY", "PACKAGE", "FUNCTION", "PROCEDURE", "TRIGGER", "VIEW", "MATERIALIZED VIEW", "SYNONYM")
+
+
 def recompile_commands(objects: DataFrame) -> DataFrame:
-    """Compile command of every invalid object; public synonyms and package bodies have their own form."""
+    """Compile command of every invalid object of a compiled type; public synonyms and package bodies have their own form."""
     kind, owner, name = F.col("object_type"), F.col("owner"), F.col("object_name")
-    return objects.where("status = 'INVALID'").select(
+    return objects.where((F.col("status") == "INVALID") & kind.isin(*COMPILED)).select(
         F.when((kind == "SYNONYM") & (owner == "PUBLIC"), render('alter public synonym "{}" compile', name))
         .when(kind == "PACKAGE BODY", render('alter package "{}"."{}" compile body', owner, name))
         .otherwise(render('alter {} "{}"."{}" compile', F.lower(kind), owner, name)).alias("line"))

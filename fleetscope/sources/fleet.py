@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
@@ -14,43 +13,27 @@ from ..operators.snapshots import DATE
 ERROR_SCHEMA = "inst_id long, collector string, error string"
 
 
-@dataclass(frozen=True)
-class Collected:
-    data: DataFrame | None
-    errors: DataFrame
+def collect_fleet(registry: DataFrame, reader: Callable[[Row], DataFrame], date, path: str, collector: str = "collector",
+                  parallel: int = 8) -> DataFrame:
+    """Read the same relation from every registered source into the snapshot of the day below path.
 
-
-def collect_fleet(registry: DataFrame, reader: Callable[[Row], DataFrame], date, collector: str = "collector") -> Iterator[Collected]:
-    """Read the same relation from every registered source, tagged with source and date.
-
-    The registry is streamed in batches of BATCH sources; each batch becomes one union whose parts
-    Spark reads in parallel. A source that cannot be opened yields an error row, not a failed run.
+    Each source is read by a job of its own, `parallel` of them at a time, and replaces its own part of the day
+    (partitions by date and source) as it arrives, so a repeated source touches no other one. A source that can't be
+    opened, or that fails while it is read, keeps its former rows and becomes a row of the result, with the whole
+    error text. Sources that land as files are read in one scan by `collect_landing` instead.
     """
     spark = registry.sparkSession
-    batch: list[Row] = []
-    for row in registry.toLocalIterator():
-        batch.append(row)
-        if len(batch) == BATCH:
-            yield _collect_batch(spark, batch, reader, date, collector)
-            batch = []
-    if batch:
-        yield _collect_batch(spark, batch, reader, date, collector)
-
-
-BATCH = 64
 
-
-def _collect_batch(spark: SparkSession, rows: list[Row], reader, date, collector: str) -> Collected:
-    parts, errors = [], []
-    for row in rows:
+    def one(row: Row) -> tuple | None:
         try:
-            df = reader(row)
-            df.schema  # resolve now, so that a broken source is reported here
-            parts.append(df.withColumns({"inst_id": F.lit(row["id"]).cast("bigint"), DATE: ts(date)}))
+            write_snapshot(reader(row).withColumns({"inst_id": F.lit(row["id"]).cast("bigint"), DATE: ts(date)}), path)
         except Exception as e:  # any failure of one source must not stop the others
-            errors.append((row["id"], collector, str(e).splitlines()[0]))
-    data = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
-    return Collected(data, spark.createDataFrame(errors, ERROR_SCHEMA).withColumn(DATE, ts(date)))
+            return row["id"], collector, str(e) or type(e).__name__
+        return None
+
+    with ThreadPoolExecutor(parallel) as pool:
+        errors = [e for e in pool.map(one, registry.toLocalIterator()) if e]
+    return spark.createDataFrame(errors, ERROR_SCHEMA).withColumn(DATE, ts(date))
 
 
 def jdbc_reader(spark: SparkSession, table: str, url: Callable[[Row], str], **options) -> Callable[[Row], DataFrame]:
@@ -68,11 +51,16 @@ def collect_landing(spark: SparkSession, root: str, registry: DataFrame, date, c
     return spark.read.option("basePath", root).parquet(root).join(registry.select(c), c, "left_semi").withColumn(DATE, ts(date))
 
 
-def write_snapshot(df: DataFrame, path: str, by: tuple[str, ...] = (DATE,)) -> None:
-    """Replace the partitions present in df, keep all others; running it again changes nothing."""
+def write_snapshot(df: DataFrame, path: str, by: tuple[str, ...] = (DATE, "inst_id")) -> None:
+    """Replace the partitions present in df (by default the day of each source), keep all others; running it again changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def purge_stored(spark: SparkSession, path: str, new_path: str, pred: Column, by: tuple[str, ...] = (DATE, "inst_id")) -> None:
+    """Write the stored history without the rows that meet pred to new_path; readers switch to it when it is complete."""
+    write_snapshot(purge_snapshot(spark.read.parquet(path), pred), new_path, by)
+
+
 def purge_snapshot(df: DataFrame, pred: Column) -> DataFrame:
     """Rows that stay when those meeting pred are deleted."""
     return df.where(~F.coalesce(pred, F.lit(False)))

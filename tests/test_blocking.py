@@ -110,3 +110,16 @@ def test_long_wait_multiplies_the_metric(spark):
     s = spark.createDataFrame([sample(1, i, None, "enq", waited=6_000_000 if i == 1 else 0, obj=3) for i in range(1, 4)], SCHEMA)
     r = B.contention_by_object(B.blocker_object(s, "enq")).first()
     assert (r["sessions_sum"], r["sample_times"], r["factor"]) == (3, 1, 10)
+
+
+def test_holders_on_two_nodes(spark):
+    """Waiters of both nodes on one holder; the other node has a session of the same id."""
+    cols = "inst_id long, session_id long, session_serial long, sample_id long, event string, time_waited long, current_obj long, blocking_inst_id long, blocking_session long, blocking_session_serial long"
+    e = "enq: TX - index contention"
+    s = spark.createDataFrame([
+        (1, 10, 1, 4, None, 0, 9, None, None, None), (1, 10, 1, 5, None, 0, 9, None, None, None), (2, 10, 1, 5, None, 0, 77, None, None, None),
+        (1, 20, 1, 5, e, 8, 3, 1, 10, 1), (2, 30, 1, 5, e, 0, 4, 1, 10, 1)], cols)
+    held = B.held_by(s, [e]).select("inst_id", "session_id", "sample_id", "blocked_sessions").collect()
+    assert [tuple(r) for r in held] == [(1, 10, 5, 2)]
+    got = B.blocker_object(s, e, waits=F.col("sample_id") >= 5).select("session_id", "contended_obj").collect()
+    assert sorted(tuple(r) for r in got) == [(20, 9), (30, 9)]

@@ -26,7 +26,22 @@ def test_ratio(spark, num, den, scale, want):
 
 def test_big_ratio_beyond_twenty_digits(spark):
     n = F.lit("1" + "0" * 25).cast("decimal(38,0)")
-    assert one(spark, numbers.big_ratio(n, F.lit("1" + "0" * 24).cast("decimal(38,0)"), 1)) == 10.0
+    assert one(spark, numbers.ratio(n, F.lit("1" + "0" * 24).cast("decimal(38,0)"), 1)) == 10.0
+
+
+@pytest.mark.parametrize("num, den, scale", [(10**30, 3 * 10**29, 8), (-7 * 10**29, 10**30, 3), (5 * 10**17, 10**18, 0), (2 * 10**29 - 1, 4 * 10**29, 0), (123456789012345678, 10**12 + 1, 8)])
+def test_ratio_with_wide_divisors(spark, num, den, scale):
+    from decimal import ROUND_HALF_UP, localcontext
+
+    with localcontext(prec=80):
+        want = (Decimal(num) / Decimal(den)).quantize(Decimal(1).scaleb(-scale), ROUND_HALF_UP)
+    got = one(spark, numbers.ratio(F.lit(str(num)).cast("decimal(38,0)"), F.lit(str(den)).cast("decimal(38,0)"), scale))
+    assert got == (int(want) if scale == 0 else float(want))
+
+
+def test_hex_is_unsigned(spark):
+    assert one(spark, numbers.from_hex(F.lit("F" * 16))) == 2**64 - 1
+    assert one(spark, numbers.from_hex(F.lit("0A"))) == 10
 
 
 def test_null_rules(spark):
@@ -42,9 +57,14 @@ def test_unsigned_signature(spark):
     assert df.where(F.col("s") == F.lit("10602832839598511493").cast("decimal(20,0)")).count() == 1
 
 
-@pytest.mark.parametrize("program, kind, want", [("db@h1 (P003)", "FOREGROUND", "(Pnnn) "), ("db@h (LGWR)", "BACKGROUND", "(LGWR) "), ("app7@h2 (TNS V1-V3)", "FOREGROUND", "(appn) "), ("tool", "FOREGROUND", "(tool) ")])
+@pytest.mark.parametrize("program, kind, want", [("db@h1 (P003)", "FOREGROUND", "(Pnnn) "), ("db@h (LGWR)", "BACKGROUND", "(LGWR) "), ("app7@h2 (TNS V1-V3)", "FOREGROUND", "(appn) "), ("tool", "FOREGROUND", "(tool) "), (None, "FOREGROUND", "() "), (None, "BACKGROUND", " ")])
 def test_program_label(spark, program, kind, want):
-    assert one(spark, text.program_label(F.lit(program), F.lit(kind))) == want
+    assert one(spark, text.program_label(F.lit(program).cast("string"), F.lit(kind))) == want
+
+
+@pytest.mark.parametrize("path, want", [("/u01/app/oracle/product/19.0.0/db_1", "19.0.0"), ("/u01/12.2.0.1/grid", "12.2.0.1"), ("/u01/home2", None), (None, None)])
+def test_version_from_path(spark, path, want):
+    assert one(spark, text.version_from_path(F.lit(path).cast("string"))) == want
 
 
 @pytest.mark.parametrize("xml, want", [("<Schedule><IntervalSchedule INTERVAL='24' TIME_UNIT='Hr'/></Schedule>", "24 Hr"), ('<Schedule A="1"><IntervalSchedule INTERVAL="5"/></Schedule>', "5 Min"), ("", None), (None, None), ("  ", None)])
@@ -191,14 +211,23 @@ def test_agg_list_skips_nulls(spark):
     assert df.where("x IS NULL").agg(agg_list("x")).first()[0] is None
 
 
-def test_collect_fleet_isolates_failures(spark):
-    reg = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+def test_collect_fleet_keeps_other_sources(spark, tmp_path):
+    path, state = str(tmp_path / "day"), {"value": 1}
 
     def read(row):
-        return spark.read.parquet("/no/such/place") if row["id"] == 2 else spark.range(3).withColumnRenamed("id", "x")
-
-    (got,) = list(fleet.collect_fleet(reg, read, "2024-01-01", "demo"))
-    assert got.data.count() == 3 and rows(got.errors, "inst_id", "collector") == [(2, "demo")]
+        if row["id"] == 2:
+            raise RuntimeError("down\nfor long")
+        if row["id"] == 3:
+            raise ConnectionError()
+        df = spark.createDataFrame([(row["id"] * 10 + state["value"],)], "v long")
+        return df.withColumn("v", F.when(F.col("v") > 0, F.raise_error(F.lit("lost"))).cast("long")) if row["id"] == 4 else df
+
+    errors = {r["inst_id"]: r["error"] for r in fleet.collect_fleet(spark.range(1, 76), read, "2024-01-01", path, "demo").collect()}
+    assert set(errors) == {2, 3, 4} and errors[2] == "down\nfor long" and errors[3] == "ConnectionError" and "lost" in errors[4]
+    state["value"] = 2
+    fleet.collect_fleet(spark.range(7, 8), read, "2024-01-01", path, "demo")
+    got = {r["inst_id"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {i: i * 10 + (2 if i == 7 else 1) for i in range(1, 76) if i not in (2, 3, 4)}
 
 
 def test_snapshot_write_is_idempotent(spark, tmp_path):
