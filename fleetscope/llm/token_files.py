@@ -182,8 +182,9 @@ def write(df: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text:
     tokenizer: a file of the tokenizers library that every executor can open.
     """
     dtype, kind = id_type(max(vocabulary, end_id + 1)), df.schema[key].dataType.simpleString()
-    order = order or [key, text]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    ties = [] if order else [text]
+    order = order or [key]  # ranges go by the order alone: their samples come to the driver
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order, *ties).select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def part(rows: Iterator) -> Iterator:
         import pyarrow as pa
