@@ -10,6 +10,8 @@ or before the first session it already contains.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import asc, glue, nz
@@ -111,18 +113,20 @@ def blocker_paths(s: DataFrame, label: Column) -> DataFrame:
     nodes = _nodes(s, label)
     edges = nodes.where(F.col("next").isNotNull()).select("at", *[c.alias(n) for c, n in zip(_key("next"), ("inst", "sid"))]).distinct()
     keyed = nodes.withColumns({"inst": F.col("node.inst"), "sid": F.col("node.sid")})
-    paths = checkpoint(
+    base = checkpoint(
         keyed.join(edges, ["at", "inst", "sid"]).select(
             "at", "node", F.array("node").alias("path"), F.array("label").alias("labels"), "next",
             F.when(F.col("next").isNull(), "leaf").otherwise("open").alias("end"))
     )
-    while not paths.where("end = 'open'").isEmpty():
-        step = paths.select("at", *[c.alias(n) for c, n in zip(_key("node"), ("inst", "sid"))],
+    # finished paths stay where they were written; a round joins and writes the open ones alone
+    finished, open_ = [base.where("end <> 'open'")], base.where("end = 'open'")
+    while not open_.isEmpty():
+        known = reduce(DataFrame.unionByName, finished, open_)
+        step = known.select("at", *[c.alias(n) for c, n in zip(_key("node"), ("inst", "sid"))],
                             F.struct("path", "labels", "next", "end").alias("r"))
-        open_ = (paths.where("end = 'open'").withColumns({"inst": F.col("next.inst"), "sid": F.col("next.sid")})
-                 .join(step, ["at", "inst", "sid"], "left"))
+        met = open_.withColumns({"inst": F.col("next.inst"), "sid": F.col("next.sid")}).join(step, ["at", "inst", "sid"], "left")
         cut, again = _append(F.col("path"), F.col("r.path"))
-        grown = open_.withColumns({"cut": cut, "again": again}).select(
+        grown = checkpoint(met.withColumns({"cut": cut, "again": again}).select(
             "at", "node",
             F.when(F.col("r").isNull(), F.col("path"))
             .otherwise(F.concat("path", F.slice(F.col("r.path"), F.lit(1), F.coalesce(F.col("cut"), F.size("r.path"))))).alias("path"),
@@ -130,9 +134,10 @@ def blocker_paths(s: DataFrame, label: Column) -> DataFrame:
             .otherwise(F.concat("labels", F.slice(F.col("r.labels"), F.lit(1), F.coalesce(F.col("cut"), F.size("r.path"))))).alias("labels"),
             F.when(F.col("r").isNull(), F.col("next")).when(F.col("cut").isNotNull(), F.col("again")).otherwise(F.col("r.next")).alias("next"),
             F.when(F.col("r").isNull(), "idle").when(F.col("cut").isNotNull(), "cycle").otherwise(F.col("r.end")).alias("end"),
-        )
-        paths = checkpoint(paths.where("end <> 'open'").unionByName(grown))
-    return paths
+        ))
+        finished.append(grown.where("end <> 'open'"))
+        open_ = grown.where("end = 'open'")
+    return reduce(DataFrame.unionByName, finished)
 
 
 def session_paths(s: DataFrame, label: Column, paths: DataFrame, keep: list[str] = ()) -> DataFrame:

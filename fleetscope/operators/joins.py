@@ -49,26 +49,23 @@ def not_in(df: DataFrame, other: DataFrame, cols: list[str], null_safe: bool = T
 
 
 def _not_in_with_nulls(df: DataFrame, other: DataFrame, cols: list[str]) -> DataFrame:
-    """NOT IN by null pattern: one equi anti join per pair of patterns that occurs, over the columns set on both sides."""
-    def pattern(names):
-        return F.concat(*[F.when(F.isnull(c), "0").otherwise("1") for c in names])
-
-    combos = other.select(*cols).distinct().withColumn("_p", pattern(cols))
-    left = df.withColumn("_p", pattern(cols))
-    patterns = [r[0] for r in combos.select("_p").distinct().collect()]  # at most 2 ** len(cols) values
-    mine = [r[0] for r in left.select("_p").distinct().collect()]
-    out = None
-    for m in mine:
-        part = left.where(F.col("_p") == m)
-        for p in patterns:
-            both = [c for c, x, y in zip(cols, m, p) if x == "1" and y == "1"]
-            rest = combos.where(F.col("_p") == p)
-            if both:
-                part = part.join(rest.select(*both).distinct(), both, "left_anti")
-            else:
-                part = part.where(F.lit(False))  # nothing to compare: equality is unknown for every row
-        out = part if out is None else out.unionByName(part)
-    return (df.limit(0) if out is None else out.drop("_p"))
+    """NOT IN where a NULL may stand for any value, with a plan of constant size.
+
+    Two combinations could be equal if they agree in the columns that both have set. Which columns those are follows
+    from the two null patterns, so every distinct combination gets one key per pattern of the other side that occurs:
+    both patterns, and its values in the common columns. One equi semi join of the keys finds the combinations to drop.
+    """
+    pattern = F.concat(*[F.when(F.isnull(c), "0").otherwise("1") for c in cols])
+
+    def keyed(d: DataFrame, against: DataFrame, mine_first: bool) -> DataFrame:
+        theirs = against.select(F.array_sort(F.collect_set(pattern))).scalar()  # 2 ** len(cols) at most
+        out = d.select(*cols).distinct().select(*cols, pattern.alias("_mine"), F.explode(theirs).alias("_theirs"))
+        common = F.array(*[F.when(F.substring("_theirs", i, 1) == "1", F.col(c).cast("string")) for i, c in enumerate(cols, 1)])
+        pair = ("_mine", "_theirs") if mine_first else ("_theirs", "_mine")
+        return out.select(*cols, F.struct(*[F.col(x).alias(n) for x, n in zip(pair, "lr")], common.alias("v")).alias("_key"))
+
+    dropped = keyed(df, other, True).join(keyed(other, df, False).select("_key").distinct(), "_key", "left_semi").select(*cols).distinct()
+    return not_in(df, dropped, cols)
 
 
 def match_running_stored(running: DataFrame, stored: DataFrame, multi: list[str], keys: tuple[str, ...] = (),
