@@ -103,10 +103,15 @@ def average_active(samples: Column, seconds: int, weight: int = 1) -> Column:
     return ratio(samples * weight, seconds, 1)
 
 
+def execution() -> Column:
+    """Which execution of its statement a sample belongs to; one value for all samples without execution data."""
+    stamp = F.date_format("sql_exec_start", "yyyy-MM-dd HH:mm:ss")
+    return glue(stamp, F.lit(":"), F.col("sql_exec_id"))
+
+
 def distinct_executions() -> Column:
     """Executions seen; rows without execution data count as one."""
-    stamp = F.date_format("sql_exec_start", "yyyy-MM-dd HH:mm:ss")
-    return F.count_distinct(glue(stamp, F.lit(":"), F.col("sql_exec_id")))
+    return F.count_distinct(execution())
 
 
 def count_by(df: DataFrame, dims: list[Column | str], name: str = "cnt") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels, numbers, text
@@ -336,22 +337,32 @@ def activity_report(s: DataFrame, dims: list[str], where: str | None, start: str
     from ..operators.joins import enrich
 
     rows = ash_dimensions(filters.between_time(s, start, end), list(classes))
+    late = None
+    try:
+        rows = rows if not where else rows.where(where)
+    except AnalysisException:
+        late = where  # it is about users or objects
+    # samples shrink to one row per raw key and execution before the joins, so a frequent object or user is one key of many equal rows no more
+    joined = [c for c, d in (("user_id", users), ("current_obj", objects)) if d is not None]
+    keys = dict.fromkeys([*(rows.columns if late else [d for d in dims if d in rows.columns]), *joined])
+    rows = rows.groupBy(*keys, activity.execution().alias("_exec")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("sample_time").alias("_first"), F.max("sample_time").alias("_last"))
     if users is not None:
         rows = enrich(rows, users.select("user_id", "username"), "user_id")
     if objects is not None:
         rows = enrich(rows, objects.withColumn("obj", F.concat_ws(".", "owner", "object_name"))
                       .select(F.col("object_id").alias("current_obj"), "owner", "object_name", "obj",
                               F.concat(F.col("obj"), F.lit(" ["), F.col("object_type"), F.lit("]")).alias("objt")), "current_obj")
-    if where:
-        rows = rows.where(where)
+    if late:
+        rows = rows.where(late)
     seconds = F.timestamp_diff("SECOND", ts(start), ts(end))
     grouped = rows.groupBy(*dims).agg(
-        F.count(F.lit(1)).alias("total_seconds"),
-        F.date_format(F.min("sample_time"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
-        F.date_format(F.max("sample_time"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
-        activity.distinct_executions().alias("executions"),
+        F.sum("_n").alias("total_seconds"),
+        F.date_format(F.min("_first"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
+        F.date_format(F.max("_last"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
+        F.count_distinct("_exec").alias("executions"),
     )
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    total = rows.agg(F.sum("_n")).scalar()
     return topn.top_k(
         grouped.select(
             (F.col("total_seconds") * weight).alias("total_seconds"),

@@ -4,6 +4,7 @@ import pytest
 
 from fleetscope.catalog import load
 from fleetscope.operators import filters, snapshots
+from fleetscope.operators.joins import not_in
 from fleetscope.plans import activity_reports
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,10 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-EAGER = ("j17", "j18", "j19", "r09", "r10", "r21", "a29", "st", "s02", "s07", "s05", "s08", "s10_dump", "s13", "j12_not_in")
-
-
-@pytest.mark.parametrize("name", [n for n in load().QUERIES if not n.startswith(EAGER)])
+@pytest.mark.parametrize("name", load().QUERIES)
 def test_no_python_and_no_pairwise_join(spark, name):
     text = plan(load().QUERIES[name](spark, FOLDER))
     for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -57,3 +55,16 @@ def test_per_sample_reports_scan_once(saved, report):
 
 def test_latest_snapshot_filters_by_subquery(saved):
     assert "Join" not in plan(snapshots.latest_snapshot(saved, c="snap_id"))
+
+
+@pytest.mark.parametrize("name", ["p01_between_time", "p03_snapshot_range", "p03_snapshot_list", "a09_average_active", "r02_top3_with_both_writers", "r08_wait_classes_two_days"])
+def test_catalogue_filters_lie_below_the_sample_windows(spark, name):
+    text = plan(load().QUERIES[name](spark, FOLDER))
+    below = text[text.rfind("Window ["):]
+    assert "Window [" in text and "Filter (" in below and "DataFilters: []" not in below
+
+
+def test_not_in_reads_a_fixed_number_of_times(spark):
+    df = spark.read.parquet(f"{FOLDER}/orders.parquet").selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') a", "nullif(o_custkey % 3, 1) b", "nullif(o_shippriority, 9) c")
+    text = plan(not_in(df, df.where("o_orderkey % 7 = 0"), ["a", "b", "c"], null_safe=False))
+    assert text.count("FileScan") <= 8
