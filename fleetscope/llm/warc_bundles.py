@@ -182,6 +182,8 @@ def read(made: Bundles) -> DataFrame:
     """
     folder, kind = made.folder, made.key_type
     frames = made.index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))  # a frame's records are bounded
+    spark = frames.sparkSession
+    frames = frames.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # few rows, much to read
     number = kind in ("bigint", "int", "smallint", "tinyint")
 
     def part(batches: Iterator) -> Iterator:
