@@ -120,9 +120,10 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, least_preci
     right, threshold = 0, 1.0
     for n, (p, ok) in enumerate(held, 1):
         right += ok
-        if right >= least_precision * n:
+        tied = n < len(held) and held[n][0] == p
+        if not tied and right >= least_precision * n:
             threshold = p
-    return Model(classes, model.bias, weights, round(threshold, 6))
+    return Model(classes, model.bias, weights, threshold)
 
 
 def predict(paragraph: Column, model: Model) -> Column:
