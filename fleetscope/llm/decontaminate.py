@@ -17,6 +17,7 @@ import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 RATE = 0.2
 MIN_WORDS = 6
@@ -133,6 +134,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}"
     schema = f"{kinds}, distance int, first_word long, end_word long"
     slim, out = docs.select(F.col(key), F.col(text)), None
+    kind = to_arrow_type(items.schema[item].dataType)
     for block in blocks(items, item, item_text):
         def scan(rows: Iterator, block=block) -> Iterator:
             import pyarrow as pa
@@ -145,7 +147,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                         ids.append(i)
                         found.append(hit)
                 cols = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(cols[0], kind), pa.array(cols[1], pa.int32()),
                                                   pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                                                  names=[key, item, "distance", "first_word", "end_word"])
 

@@ -12,6 +12,9 @@ sources alone; the slot of any block follows by arithmetic.
 The mix ends when each source has been used up once. Sources that come to their end earlier start again from
 their first block (a new epoch), so no row is lost and the weights hold to the end.
 
+Sources are what weights are given for: one row each comes to the driver, and the fold takes time with the square of
+their number, so group hosts or the like into some thousand sources at most.
+
 Null sources are a source of their own; rows with null keys and repeated rows are ordinary rows. Sources without
 a weight, or with weight zero, are an error: they could never end. An empty table gives an empty mix.
 """

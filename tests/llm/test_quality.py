@@ -50,7 +50,7 @@ def test_clean_keeps_rows_and_columns(spark, rows):
 
 
 def test_order_rules(spark):
-    df = spark.createDataFrame([("## " * 80,)] * 40 + [(" ".join(f"x{i}" for i in range(80)),)] * 10, "text string")
+    df = spark.createDataFrame([("# " * 80,)] * 40 + [(" ".join(f"x{i}" for i in range(80)),)] * 10, "text string")
     order = quality.order_rules(df)
     assert set(order) == set(quality.RULES)
     rejecting = {"symbols", "repetitive", "odd_words"}
