@@ -395,6 +395,9 @@ def _(t):
     return R.activity_report(t.samples, ["sql_id"], None, START, END, weight=10)
 
 
+SIGNATURES = ["4479854810611774685", "6199011555372230014", "10602832839598511493", "7722310109089591007"]
+
+
 def _profile_sql():
     cnt = lambda cond: f"count(*) FILTER (WHERE {cond})"
     m = [f"{cnt('event IS NULL')} AS on_cpu"]
@@ -402,7 +405,7 @@ def _profile_sql():
     m += [f"{cnt(chr(39).join(['in_hard_parse = ', 'Y', '']))} AS in_hard_parse", f"{cnt(chr(39).join(['in_parse = ', 'Y', '']))} AS in_parse"]
     m += [f"{cnt(f'event = {e!r}')} AS on_{k}" for k, e in R.PROFILE_EVENTS.items()]
     m += [f"{cnt(f'event = {chr(39)}latch free{chr(39)} AND p2 = {p}')} AS on_latch_free_{p}" for p in R.PROFILE_LATCHES]
-    m += [f"{cnt(f'force_matching_signature = {x}')} AS signature_{x}" for x in R.PROFILE_SIGNATURES]
+    m += [f"{cnt(f'force_matching_signature = {x}')} AS signature_{x}" for x in SIGNATURES]
     dbw = "program LIKE '%(DBW%'"
     m += [f"CASE WHEN {cnt(dbw)} > 0 THEN {cnt(dbw + ' AND event IS NULL')} END AS dbw_on_cpu"]
     m += [f"CASE WHEN {cnt(dbw)} > 0 THEN {cnt(dbw + f' AND event = {e!r}')} END AS dbw_on_{k}" for k, e in R.PROFILE_DB_WRITER_EVENTS.items()]
@@ -427,7 +430,7 @@ def _profile_sql():
 
 @query("r04_wide_profile", _profile_sql())
 def _(t):
-    return R.wide_profile(t.samples)
+    return R.wide_profile(t.samples, SIGNATURES)
 
 
 WAITING = "SELECT sample_time, event, count(*) AS sessions FROM samples WHERE session_state = 'WAITING' GROUP BY 1, 2"

@@ -146,13 +146,13 @@ RESIZE = "'alter database datafile ''' || file_name || ''' resize ' || (min_mb +
 
 @query("p15_shrink_sizes", f"SELECT file_id, min_mb, current_mb, saving_mb FROM ({SHRINK}) s")
 def _(t):
-    return S.shrink_candidates(t.files, t.extents, t.tablespaces).select("file_id", "min_mb", "current_mb", "saving_mb")
+    return S.shrink_candidates(t.files, t.extents, t.tablespaces, exclude="/lfs%").select("file_id", "min_mb", "current_mb", "saving_mb")
 
 
 @query("r28_shrink_candidates", f"""SELECT file_id, file_name, min_mb, current_mb, saving_mb, {RESIZE} AS script,
     CASE WHEN autoextensible = 'NO' THEN 'alter database datafile ''' || file_name || ''' autoextend on next 10M maxsize ' || current_mb || 'M;' END AS script2 FROM ({SHRINK}) s""")
 def _(t):
-    return S.shrink_candidates(t.files, t.extents, t.tablespaces)
+    return S.shrink_candidates(t.files, t.extents, t.tablespaces, exclude="/lfs%")
 
 
 @query("p14_rename_commands", "SELECT 'alter database rename file ''' || file_name || ''' to ''' || replace(file_name, 'P01', 'Q01') || ''';' AS line FROM files")
@@ -176,7 +176,7 @@ def _(t):
 def _(t):
     from ..session import scratch_dir
     path = scratch_dir(t.spark, "script")
-    scripts.write_script(S.shrink_candidates(t.files, t.extents, t.tablespaces).select(F.col("script").alias("line")), path)
+    scripts.write_script(S.shrink_candidates(t.files, t.extents, t.tablespaces, exclude="/lfs%").select(F.col("script").alias("line")), path)
     return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 

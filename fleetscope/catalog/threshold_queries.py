@@ -188,7 +188,7 @@ def _freq(x):
     ON p.target_name = c.target_name AND p.metric = c.metric AND p.key_value IS NOT DISTINCT FROM c.key_value
   WHERE {W} OR {K} OR coalesce(c.is_enabled, 1) <> coalesce(p.is_enabled, 1) OR {_ne('c.collection_frequency', 'p.collection_frequency')}""")
 def _(t):
-    return C.threshold_changes(t.thresholds)
+    return C.threshold_changes(t.thresholds, "XMON")
 
 
 def _members(src):

@@ -52,9 +52,11 @@ def user_metrics(current: DataFrame, thresholds: DataFrame, on: list[str], label
     return mine.join(thresholds.select(*on), on, "left_semi").select(label, key).distinct()
 
 
-def current_settings(hist: DataFrame, ignore_metrics: tuple[str, ...] = (), ignore_hosts: tuple[str, ...] = (), ignore_group: str = "XMON") -> DataFrame:
+def current_settings(hist: DataFrame, ignore_metrics: tuple[str, ...] = (), ignore_hosts: tuple[str, ...] = (), ignore_group: str | None = None) -> DataFrame:
     """Latest thresholds, one row per target, metric and key, with disabled collections marked."""
-    rows = latest_snapshot(hist).where(~F.col("groups_grid").eqNullSafe(ignore_group))
+    rows = latest_snapshot(hist)
+    if ignore_group is not None:
+        rows = rows.where(~F.col("groups_grid").eqNullSafe(ignore_group))
     if ignore_hosts:
         rows = rows.where(~F.col("host_name").isin(list(ignore_hosts)))
     if ignore_metrics:

@@ -7,6 +7,7 @@ holding partial sums, then ranked and rolled up to one row per sample.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -183,7 +184,6 @@ PROFILE_WAITS = {
     "log_file_parallel_write": "log file parallel write",
     "lgwr_wait_for_redo_copy": "LGWR wait for redo copy",
 }
-PROFILE_SIGNATURES = ["4479854810611774685", "6199011555372230014", "10602832839598511493", "7722310109089591007"]
 PROFILE_DB_WRITER_EVENTS = {
     "db_file_parallel_write": "db file parallel write",
     "db_file_async_io_submit": "db file async I/O submit",
@@ -194,7 +194,7 @@ PROFILE_LOG_WRITER, PROFILE_DB_WRITER = "%(LG%", "%(DBW%"
 # End of fixed values.
 
 
-def profile_measures() -> dict[str, Measure]:
+def profile_measures(signatures: Sequence[str]) -> dict[str, Measure]:
     event, wait_class = F.col("event"), F.col("wait_class")
     stats, dbw = F.col("action").like(STATISTICS_ACTION), F.col("program").like(PROFILE_DB_WRITER)
     out = {"on_cpu": counted(event.isNull())}
@@ -203,7 +203,7 @@ def profile_measures() -> dict[str, Measure]:
     out |= {f"on_{k}": counted(event == e) for k, e in PROFILE_EVENTS.items()}
     out |= {f"on_latch_free_{p}": counted((event == "latch free") & (F.col("p2") == p)) for p in PROFILE_LATCHES}
     out |= {"statistics_sessions": counted(stats), "statistics_read": when(stats, F.col("delta_read_io_bytes"))}
-    out |= {f"signature_{x}": counted(F.col("force_matching_signature") == F.lit(x).cast("decimal(20,0)")) for x in PROFILE_SIGNATURES}
+    out |= {f"signature_{x}": counted(F.col("force_matching_signature") == F.lit(x).cast("decimal(20,0)")) for x in signatures}
     for k, e in PROFILE_WAITS.items():
         out[f"wait_{k}"] = when(event == e, nz("time_waited"))
         out[f"wait_{k}_n"] = when((event == e) & (F.col("time_waited") != 0))
@@ -222,9 +222,9 @@ def profile_measures() -> dict[str, Measure]:
     return out | _writer("lgw", PROFILE_LOG_WRITER) | _writer("dbw", PROFILE_DB_WRITER)
 
 
-def wide_profile(s: DataFrame) -> DataFrame:
-    """Five busiest events per sample with the full set of conditional columns."""
-    measures = profile_measures()
+def wide_profile(s: DataFrame, signatures: Sequence[str] = ()) -> DataFrame:
+    """Five busiest events per sample with the full set of conditional columns; signatures: statements to count on their own."""
+    measures = profile_measures(signatures)
     # names of the log writers' waits, repeated as often as they occur; at most one entry per event here
     lgw_events = F.array_join(
         F.flatten(F.transform(

@@ -14,7 +14,6 @@ from ..operators.aggregates import agg_list
 # The profile limit behind a return code, and the display order of users.
 LIFE_TIME, ATTEMPTS = "PASSWORD_LIFE_TIME", "FAILED_LOGIN_ATTEMPTS"
 USER_ORDER = ["_BACKGROUND", "SYS", "DBSNMP", "SYSRAC", "_USER"]
-MONITORING_USERS = ["ORAMOD", "DBSNMP", "DBSPI", "SPOT"]
 JOB_PROGRAM = "oracle%(J%"
 # End of fixed values.
 
@@ -69,7 +68,7 @@ def failed_by_host(audit: DataFrame, start: str) -> DataFrame:
     return audit.where((F.col("returncode") != 0) & (F.col("event_time") > ts(start))).groupBy("userhost", "username").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def dead_sessions(audit: DataFrame, live: DataFrame, start: str, exclude: list[str] = tuple(MONITORING_USERS)) -> DataFrame:
+def dead_sessions(audit: DataFrame, live: DataFrame, start: str, exclude: list[str] = ()) -> DataFrame:
     """Successful logins without logoff whose session is gone."""
     rows = audit.where(F.col("logoff_time").isNull() & (F.col("event_time") > ts(start)) & (F.col("returncode") == 0) & ~F.col("username").isin(list(exclude)))
     return rows.join(live.select(F.col("audsid").alias("sessionid")), "sessionid", "left_anti")

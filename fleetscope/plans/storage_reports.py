@@ -14,13 +14,14 @@ def _mb(blocks: Column) -> Column:
     return F.ceil(blocks * F.col("block_size") / F.lit(MIB)).cast("bigint")
 
 
-def shrink_candidates(files: DataFrame, extents: DataFrame, tablespaces: DataFrame, min_mb: int = MIN_SAVING_MB, exclude: str = "/lfs%") -> DataFrame:
+def shrink_candidates(files: DataFrame, extents: DataFrame, tablespaces: DataFrame, min_mb: int = MIN_SAVING_MB, exclude: str | None = None) -> DataFrame:
     """Files whose end is unused, with the smallest possible size, the saving, and resize commands.
 
-    Extents are reduced to one high-water mark per file before the join.
+    Extents are reduced to one high-water mark per file before the join. exclude: pattern of file names to leave out.
     """
     high = extents.groupBy("file_id").agg(F.max(F.col("block_id") + F.col("blocks") - 1).alias("hwm"))
-    sized = (files.where(~F.col("file_name").like(exclude)).join(tablespaces, "tablespace_name").join(high, "file_id", "left")
+    kept = files if exclude is None else files.where(~F.col("file_name").like(exclude))
+    sized = (kept.join(tablespaces, "tablespace_name").join(high, "file_id", "left")
              .withColumns({"min_mb": _mb(F.coalesce("hwm", F.lit(1))), "current_mb": _mb(F.col("blocks"))})
              .withColumn("saving_mb", F.col("current_mb") - F.col("min_mb")).where(F.col("saving_mb") > min_mb))
     worth = F.col("saving_mb") > RESIZE_ABOVE_MB

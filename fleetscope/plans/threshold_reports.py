@@ -11,15 +11,15 @@ from ..operators import snapshots as N, thresholds as T
 from ..session import checkpoint
 
 
-def _monitored(hist: DataFrame, group: str) -> DataFrame:
-    return hist.where(~F.col("groups_grid").eqNullSafe(group))
+def _monitored(hist: DataFrame, group: str | None) -> DataFrame:
+    return hist if group is None else hist.where(~F.col("groups_grid").eqNullSafe(group))
 
 
 def _shown(enabled: str, frequency: str):
     return F.when(F.col(enabled) == 0, "Disabled").otherwise(F.col(frequency))
 
 
-def threshold_changes(hist: DataFrame, ignore_group: str = "XMON") -> DataFrame:
+def threshold_changes(hist: DataFrame, ignore_group: str | None = None) -> DataFrame:
     """Thresholds and schedules that changed since the previous collection, for targets present in both."""
     cur, prev = (_monitored(d, ignore_group) for d in N.last_two_snapshots(hist))
     cur = cur.join(N.added(prev, cur, "target_name"), "target_name", "left_anti")
@@ -45,7 +45,7 @@ def threshold_changes(hist: DataFrame, ignore_group: str = "XMON") -> DataFrame:
     ).orderBy("target_name", "metric", "key_value")
 
 
-def group_changes(hist: DataFrame, ignore_group: str = "XMON", keys: tuple[str, ...] = ("target_name",)) -> DataFrame:
+def group_changes(hist: DataFrame, ignore_group: str | None = None, keys: tuple[str, ...] = ("target_name",)) -> DataFrame:
     """Targets added, deleted, or moved to other groups since the previous collection."""
     cols = ["target_type", "target_name", "host_name", "groups_grid"]
     cur, prev = (_monitored(d, ignore_group).select("date_collected", *cols).distinct() for d in N.last_two_snapshots(hist))
@@ -79,7 +79,7 @@ def target_history(hist: DataFrame, target: str, null_safe: bool = True) -> Data
     return shape(latest).unionByName(shape(earlier)).orderBy(F.col("date_collected").desc(), "metric", "key_value")
 
 
-def latest_flat(hist: DataFrame, metric: str | None = None, ignore_group: str = "XMON") -> DataFrame:
+def latest_flat(hist: DataFrame, metric: str | None = None, ignore_group: str | None = None) -> DataFrame:
     """Latest thresholds as a flat list, for all metrics or one."""
     rows = _monitored(N.latest_snapshot(hist), ignore_group)
     if metric:
