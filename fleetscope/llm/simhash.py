@@ -138,13 +138,19 @@ def families(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     return fps.select("key").join(root, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("component"))
 
 
+#: So many keys at most are sent to every executor.
+BROADCAST_KEYS = 500_000
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """df without the rows whose family has a smaller key; of rows that repeat that key one stays.
 
     Rows with a null key stay. Columns are as they were.
     """
     found = stored(families(df, key, text, shingle), "families")
-    gone = found.where("key != component").select(F.col("key").alias("_simhash_gone")).distinct()
+    gone = stored(found.where("key != component").select(F.col("key").alias("_simhash_gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)  # else both sides are shuffled
     rest = df.join(gone, df[key] == gone["_simhash_gone"], "left_anti")
     again = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("_simhash_again"))
     again = stored(again, "repeated-keys")
