@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .debruijn import mix as spread
+from .debruijn import gram_hashes, mix as spread
 from .exprs import stored
 
 SEED = 42
@@ -100,41 +100,143 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     return fp.join(per_fp, "fp").select("key", "fp", "component")
 
 
-#: The long fingerprint: segments of so many bits, and the bits in which near copies may differ. Texts whose
-#: five-word similarity is 0.8 differ in about 38 of 320 bits.
+#: The 320-bit rule that `families` had before; tests/llm/test_simhash.py still describes it.
 SEGMENTS, SEGMENT_BITS, RADIUS = 8, 40, 38
 
+#: Words of a shingle, and the least share of common shingles (4 of 5), of near copies.
+WORDS = 5
+#: Documents, about, whose shingles tell which ones are common, and how many common ones are sent to every executor.
+#: Both change only the order in which shingles are compared, never what is found.
+COMMON_FROM, COMMON_MOST = 10_000, 200_000
 
-def families(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """key and component of every row with a key, by a long fingerprint: for near copies that differ in more than two bits of 64.
 
-    Around each of the eight segments' values the ball of radius one is enumerated, so two texts meet if any segment
-    differs in two bits or fewer: always if they differ in 23 bits of 320 or fewer, and mostly up to `RADIUS`.
-    In each segment a text takes the least key it meets as its candidate, so candidates are eight per text at most,
-    however many near copies there are. The complete distance of candidates decides whether they link.
-    """
-    kind = df.schema[key].dataType.simpleString()
+def _normal(text: str | None) -> bytes:
+    """The words of a text, A-Z in lower case, with one space between them."""
+    return b" ".join((text or "").encode().lower().split())  # bytes: A-Z and the six ASCII spaces only
+
+
+def shingles(text: bytes, shingle: int = WORDS):
+    """Sorted distinct hashes of each so many consecutive words of a normal text, of the whole text if it has fewer; none of a blank one."""
+    import numpy as np
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    found = np.array([h(w, SEED) for w in text.split()], np.uint64)
+    return np.unique(gram_hashes(found, min(shingle, len(found)))) if len(found) else found
+
+
+def _prefix(grams, common, times):
+    """The shingles of a set of n of which two sets that are 4/5 alike share one: n - ceil(4n / 5) + 1, the rarest first."""
+    import numpy as np
+
+    seen = np.zeros(len(grams), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        seen = np.where(common[at] == grams, times[at], 0)
+    order = np.lexsort((grams, seen))
+    return grams[order[:len(grams) - -(-4 * len(grams) // 5) + 1]]
+
+
+def _common(rows: DataFrame, shingle: int):
+    """Sorted hashes of shingles that several documents of a sample have, and in how many."""
+    import numpy as np
 
     def batches(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in rows:
-            found = [segments(t.as_py(), shingle, SEGMENTS, SEGMENT_BITS) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "fps"])
+            found = [shingles(_normal(t.as_py()), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["z"])
+
+    few = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, rows.count() // COMMON_FROM))) == 0).select("text")
+    top = few.mapInArrow(batches, "z long").groupBy("z").count().where("count > 1").orderBy(F.desc("count"), "z").limit(COMMON_MOST).toArrow()
+    z, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(z)
+    return z[order], n[order]
 
+
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, which are stored, to be sent to every executor if they are few; else both sides of their join are shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Those pairs (a, b) of keys whose texts have at least four fifths of their distinct shingles in common."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    pairs = stored(pairs, "candidates")
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("_asked")).distinct(), "asked")
+    texts = rows.join(_small(asked), F.col("key") == F.col("_asked"), "left_semi")
+    side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"{c}_text"))
+
+    def batches(found: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        last, one = None, None  # a text often comes in many rows on end
+        for b in found:
+            good = []
+            for x, y in zip(b.column("a_text"), b.column("b_text")):
+                if (x := _normal(x.as_py())) != last:
+                    last, one = x, shingles(x, shingle)
+                two = shingles(_normal(y.as_py()), shingle)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(5 * both >= 4 * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    return stored(met.mapInArrow(batches, f"a {kind}, b {kind}"), "alike")
+
+
+def families(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS) -> DataFrame:
+    """key and component of every row with a key: two texts link if four fifths or more of their distinct shingles are common.
+
+    All such links count, none is missed and no other one is made. Words are compared with A-Z in lower case; texts of
+    fewer words than a shingle link to equal ones only, blank and null texts to each other.
+
+    Two sets with a share of 4/5 or more have one of their first n - ceil(4n / 5) + 1 shingles in common, in any order of
+    all shingles (prefix filtering); here common shingles come last, so passages that many texts share don't bring them
+    together. Texts with the same words are one. Each text that meets others is first compared with the least key that it
+    meets, which joins large groups of near copies without listing their pairs. Then, under every shingle, the texts that
+    are not yet in its largest group are compared with all others but their own group. Pairs that meet in shingles that
+    leave too few for a link are not compared.
+    """
+    import numpy as np
+
+    kind = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    fps = stored(rows.mapInArrow(batches, f"key {kind}, fps array<long>"), "fingerprints")
-    own = stored(fps.groupBy("fps").agg(F.min("key").alias("least")), "distinct-fingerprints")
-    copies = fps.join(own, "fps").where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
-    keys = own.select("least", F.posexplode("fps").alias("j", "fp")).select(
-        "least", "j", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f).bitwiseOR(F.shiftleft(F.col("j").cast("long"), 56)))).alias("z"))
-    met = keys.select("least", F.shiftright("z", 56).alias("j"), F.min("least").over(Window.partitionBy("z")).alias("a"))
-    pairs = met.where("a != least").groupBy("least", "j").agg(F.min("a").alias("a")).select("a", F.col("least").alias("b")).distinct()
-    side = lambda c: own.select(F.col("least").alias(c), F.col("fps").alias(f"{c}_fps"))
-    apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= RADIUS).select("a", "b")
-    root = components(copies.unionByName(near))
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+
+    def batches(rows: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        for b in rows:
+            texts = [_normal(t.as_py()) for t in b.column(1)]
+            sets = [shingles(t, shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([_prefix(s, *common.value).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["key", "digest", "n", "grams"])
+
+    fps = stored(rows.mapInArrow(batches, f"key {kind}, digest binary, n int, grams array<long>"), "shingles")
+    own = stored(fps.groupBy("digest").agg(F.min("key").alias("least")), "distinct-texts")
+    copies = stored(fps.select("key", "digest").join(own, "digest").where("key != least").select("key", "digest", "least").distinct(), "copies")
+    first = fps.join(_small(copies.select("key", "digest")), ["key", "digest"], "left_anti")
+    grams = first.select("key", "n", F.posexplode("grams").alias("at", "z")).select("z", "key", "n", (F.col("n") - F.col("at")).alias("rest"))
+    same = Window.partitionBy("z")
+    met = grams.select("*", F.min("key").over(same).alias("a"), F.max("key").over(same).alias("last")).where("a != last").drop("last")
+    met = stored(met, "common-shingles")
+    near = _alike(met.where("a != key").groupBy("key").agg(F.min("a").alias("a")).select("a", F.col("key").alias("b")), rows, shingle)
+    group = stored(components(near), "first-groups")
+    named = met.drop("a").join(group, met["key"] == group["node"], "left").select("z", "key", "n", "rest", F.coalesce("root", "key").alias("group"))
+    sizes = named.groupBy("z", "group").count().groupBy("z").agg(F.max_by("group", F.struct("count", "group")).alias("most"), F.count("*").alias("groups"))
+    loose = stored(named.join(sizes.where("groups > 1").drop("groups"), "z"), "loose")
+    x, y = loose.where("group != most").alias("x"), loose.alias("y")
+    pairs = x.join(y, (F.col("x.z") == F.col("y.z")) & (F.col("x.group") != F.col("y.group"))
+                   & ((F.col("y.group") == F.col("y.most")) | (F.col("x.key") < F.col("y.key")))
+                   & (9 * F.least("x.rest", "y.rest") >= 4 * (F.col("x.n") + F.col("y.n"))))
+    more = _alike(pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), rows, shingle)
+    root = components(copies.select(F.col("least").alias("a"), F.col("key").alias("b")).unionByName(near).unionByName(more))
     return fps.select("key").join(root, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("component"))
 
 
@@ -142,15 +244,14 @@ def families(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 BROADCAST_KEYS = 500_000
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS) -> DataFrame:
     """df without the rows whose family has a smaller key; of rows that repeat that key one stays.
 
     Rows with a null key stay. Columns are as they were.
     """
     found = stored(families(df, key, text, shingle), "families")
     gone = stored(found.where("key != component").select(F.col("key").alias("_simhash_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)  # else both sides are shuffled
+    gone = _small(gone)
     rest = df.join(gone, df[key] == gone["_simhash_gone"], "left_anti")
     again = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("_simhash_again"))
     again = stored(again, "repeated-keys")
