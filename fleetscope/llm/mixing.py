@@ -5,15 +5,14 @@ of slots, one block each. With weight w, block i (from 0) of a source is release
 before slot ceil((i + 1) / w); in every slot, the released block with the earliest deadline runs. Then, at every
 slot t, each source has had more than w * t - 1 and fewer than w * t + 1 blocks.
 
-Weights are whole parts of a period: after `period` slots every source has had exactly its parts and the schedule
-starts again. So only one period is scheduled, by a fold over its slots, whose size depends on the number of
-sources alone; the slot of any block follows by arithmetic.
+Release and deadline of every block follow from the weights as given, as exact fractions, so the distance from them does
+not grow with the input. The order of the blocks is made on the driver, one step of two heaps a block and none for its
+rows, and written to the shared folder in pieces of bounded size; rows get their slots by a join over block numbers.
 
 The mix ends when each source has been used up once. Sources that come to their end earlier start again from
 their first block (a new epoch), so no row is lost and the weights hold to the end.
 
-Sources are what weights are given for: one row each comes to the driver, and the fold takes time with the square of
-their number, so group hosts or the like into some thousand sources at most.
+Sources are what weights are given for: one row each comes to the driver, so group hosts or the like.
 
 Null sources are a source of their own; rows with null keys and repeated rows are ordinary rows. Sources without
 a weight, or with weight zero, are an error: they could never end. An empty table gives an empty mix.
@@ -21,12 +20,14 @@ a weight, or with weight zero, are an error: they could never end. An empty tabl
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .exprs import numbered, stored
+from .exprs import numbered, shared_folder
 
 BLOCK_ROWS = 16
 PERIOD = 1000
@@ -49,8 +50,73 @@ def parts_of(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[
     return parts
 
 
+def turns(weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> Iterator[str | None]:
+    """The source of each slot, until each source had all of its blocks once."""
+    if any(not w > 0 or math.isinf(w) for w in weights.values()):
+        raise ValueError("weights must be positive")
+    order = sorted(weights, key=lambda s: (s is None, s))
+    exact = [Fraction(weights[s]) for s in order]
+    whole = math.lcm(*(x.denominator for x in exact))
+    part = [int(x * whole) for x in exact]
+    total, ran, left = sum(part), [0] * len(order), sum(n > 0 for n in blocks.values())
+    coming, ready, t = [(0, s) for s in range(len(order))], [], 0
+    while left:
+        while coming and coming[0][0] <= t:
+            s = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (-(-(ran[s] + 1) * total // part[s]), s))
+        s = heapq.heappop(ready)[1]
+        ran[s] += 1
+        heapq.heappush(coming, (ran[s] * total // part[s], s))
+        left -= ran[s] == blocks[order[s]]
+        t += 1
+        yield order[s]
+
+
+#: Slots that are written at a time.
+PIECE = 1_000_000
+
+
+def written_turns(spark: SparkSession, weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> tuple[DataFrame, int]:
+    """(source, block, epoch, slot) of every block of the mix, stored, and how many there are."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = sorted(weights, key=lambda s: (s is None, s))
+    number = {s: i for i, s in enumerate(order)}
+    size, ran = np.array([blocks[s] for s in order], np.int64), np.zeros(len(order), np.int64)
+    path, piece, slots = shared_folder(spark, "mix-turns"), [], 0
+
+    def write() -> None:
+        nonlocal slots
+        who = np.array(piece, np.int32)
+        by = np.argsort(who, kind="stable")
+        count = np.bincount(who, minlength=len(order))
+        run = np.empty(len(who), np.int64)
+        run[by] = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        run += ran[who]
+        ran[:] += count
+        rows = pa.table({"s": who, "block": run % size[who], "epoch": run // size[who], "slot": slots + np.arange(len(who))})
+        spark.createDataFrame(rows).write.mode("append").parquet(path)
+        slots += len(who)
+        piece.clear()
+
+    for source in turns(weights, blocks):
+        piece.append(number[source])
+        if len(piece) == PIECE:
+            write()
+    if piece:
+        write()
+    names = spark.createDataFrame([(i, s) for s, i in number.items()], "s int, _turn_source string")
+    found = spark.read.schema("s int, block long, epoch long, slot long").parquet(path)
+    return found.join(F.broadcast(names), "s").drop("s"), slots
+
+
+#: So many blocks at most are sent to every executor.
+BROADCAST_BLOCKS = 500_000
+
+
 def schedule(spark, parts: Mapping[str | None, int]) -> DataFrame:
-    """One period as rows (source, parts, period, slots): the slots that each source's blocks get, in order.
+    """A schedule of whole parts that can be repeated: one period as rows (source, parts, period, slots): the slots that each source's blocks get, in order.
 
     The fold keeps, for each source, the number of blocks that ran. A source has index s in order of name.
     """
@@ -84,7 +150,7 @@ def tempered(df: DataFrame, source: str = "source", temper: float = TEMPER) -> d
 OWN = ("block", "epoch", "slot", "place")
 
 
-def _placed(df: DataFrame, weights: Mapping[str | None, float] | None, key: str, source: str, block_rows: int, period: int) -> DataFrame:
+def _placed(df: DataFrame, weights: Mapping[str | None, float] | None, key: str, source: str, block_rows: int) -> DataFrame:
     """_mix_row (a row of df as a struct) with block, epoch, slot and place; df has rows."""
     spark = df.sparkSession
     weights = tempered(df, source) if weights is None else weights
@@ -93,23 +159,16 @@ def _placed(df: DataFrame, weights: Mapping[str | None, float] | None, key: str,
         raise ValueError(f"no weight for {sorted(map(str, missing))[:5]}")
     rows = df.select(F.struct(*df.columns).alias("_mix_row"), F.col(key).alias("_mix_key"), F.col(source).alias("_mix_source"),
                      F.xxhash64(*df.columns).alias("_mix_tie"))
-    parts = parts_of({s: weights[s] for s in counts}, period)
-    plan = schedule(spark, parts)
-    sizes = spark.createDataFrame([(s, n, -(-n // block_rows)) for s, n in counts.items()], "source string, n long, blocks long")
-    plan = stored(plan.join(sizes, plan["source"].eqNullSafe(sizes["source"])).drop(sizes["source"]), "mix-plan")
-    slot = lambda i: F.floor(i / F.col("parts")) * F.col("period") + F.get("slots", (i % F.col("parts")).cast("int"))
-    whole = lambda t: F.floor(t / F.col("period")) * F.col("parts") + F.size(F.filter("slots", lambda x: x < t % F.col("period")))
-    end = plan.agg(F.max(slot(F.col("blocks") - 1))).first()[0] + 1
-    plan = plan.select("source", "parts", "period", "slots", "blocks", whole(F.lit(end)).alias("runs"))
-    ranked = numbered(rows, ["_mix_source"], ["_mix_key", "_mix_tie"], "rank", sum(counts.values()))
-    met = ranked.join(plan, ranked["_mix_source"].eqNullSafe(plan["source"])).withColumn("block", F.floor(F.col("rank") / block_rows))
-    epochs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("runs") - 1 - F.col("block")) / F.col("blocks")))
-    used = met.withColumn("epoch", F.explode(epochs))
-    return used.select("_mix_row", "block", "epoch", slot(F.col("epoch") * F.col("blocks") + F.col("block")).alias("slot"), (F.col("rank") % block_rows).alias("place"))
+    met, n = written_turns(spark, {s: weights[s] for s in counts}, {s: -(-n // block_rows) for s, n in counts.items()})
+    met = met.withColumnRenamed("block", "_turn_block")
+    ranked = numbered(rows, ["_mix_source"], ["_mix_key", "_mix_tie"], "rank", sum(counts.values())).withColumn("block", F.floor(F.col("rank") / block_rows))
+    used = ranked.join(F.broadcast(met) if n <= BROADCAST_BLOCKS else met,
+                       ranked["_mix_source"].eqNullSafe(met["_turn_source"]) & (F.col("block") == F.col("_turn_block")))
+    return used.select("_mix_row", "block", "epoch", "slot", (F.col("rank") % block_rows).alias("place"))
 
 
 def positions(df: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source",
-              block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """df with block, epoch, slot and place: a row for each time the mix uses the row; (slot, place) orders the mix.
 
     Columns of df with these names are replaced.
@@ -117,13 +176,13 @@ def positions(df: DataFrame, weights: Mapping[str | None, float] | None = None,
     rest = [c for c in df.columns if c.lower() not in OWN or c in (key, source)]
     if df.isEmpty():
         return df.select(*rest, *[F.lit(0).cast("long").alias(c) for c in OWN])
-    placed = _placed(df, weights, key, source, block_rows, period)
+    placed = _placed(df, weights, key, source, block_rows)
     return placed.select(*[F.col(f"_mix_row.{c}").alias(c) for c in rest], *OWN)
 
 
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", source: str = "source",
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of the mix in its order, columns as they were: a written copy keeps the order of files and rows."""
     if df.isEmpty():
         return df
-    return _placed(df, weights, key, source, block_rows, period).orderBy("slot", "place").select("_mix_row.*")
+    return _placed(df, weights, key, source, block_rows).orderBy("slot", "place").select("_mix_row.*")
