@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import debruijn, decontaminate, importance, kd_shards, licences, mixing, quality, simhash, token_files, url_model, warc_bundles
+from . import conversations, debruijn, decontaminate, importance, kd_shards, licences, mixing, quality, simhash, token_files, url_model, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EXPECTED: dict[str, str] = {}
@@ -143,3 +143,9 @@ FROM scored LEFT JOIN placed ON placed.r = scored.r
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op13_repair_conversations")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    said = table(spark, folder, "conversations")
+    return conversations.repair_all(said, conversations.damage(said)).withColumnRenamed("conv", "conv_id")
