@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, debruijn, decontaminate, importance, kd_shards, licences, mixing, quality, simhash, token_files, url_model, warc_bundles
+from . import conversations, debruijn, decontaminate, importance, kd_shards, licences, metric_join, mixing, quality, simhash, token_files, url_model, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EXPECTED: dict[str, str] = {}
@@ -145,6 +145,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+@query("op12_jaccard_join")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = metric_join.join(table(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @query("op13_repair_conversations")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     said = table(spark, folder, "conversations")
