@@ -9,15 +9,16 @@ are small or hold one component only.
 1. Equal texts are one. Random pivots are at distance 1 from almost all documents, where the inequality parts nothing, so
    the regions of the first level have a shingle in common: two sets that link share one of their first shingles in any
    order of all shingles, the shorter set one of even fewer. Shingles that are frequent among all documents' first
-   ones come last in the order, so passages that many documents share bring nobody together. How many are counted as
+   ones come last in the order, so passages that many documents share bring few together. How many are counted as
    frequent is bounded; that changes the regions' sizes, never what is found.
-2. Each region's least key is its first pivot, and everybody's exact distance to it is computed. Documents within tau are
-   linked to it. Of the others, and of those in the pivot's ball that can still have partners outside, only documents of
-   different components are compared.
-3. Regions that stay large get several pivots, cells and copies, round by round. Cells that don't get smaller (all are
-   equally far from each other) and small regions are compared pair by pair as Spark joins, after the windows of distance
-   to the pivot, of size, of position, and of the counts in 64 parts of all shingles (whose differences add up to no more
-   than the sets' symmetric difference). What is left is decided by the exact sizes of intersection and union.
+2. Small regions are leaves: their pairs are counted, and those that share too few first shingles to link are gone.
+   Every document is first compared with the one it shares most with, then with those that are not yet linked to it.
+3. Large regions have pivots, first their least key. Everybody's exact distance to it is computed; documents within tau
+   are linked to it, and of these only such are compared further that can have partners outside. What is still large
+   gets several pivots, cells and copies, round by round. Cells that don't get smaller (all are equally far from each
+   other) and small ones are compared pair by pair as Spark joins, after the windows of distance to the pivot, of size,
+   of position, and of the counts in 64 parts of all shingles (whose differences add up to no more than the sets'
+   symmetric difference). What is left is decided by the exact sizes of intersection and union.
 
 Sets are held as 64-bit hashes of their shingles. Fewer words than a shingle: the whole sequence is one. Null, empty and
 blank texts have an empty set and link with nothing, not even with each other. Rows with a null key keep a null component
@@ -179,20 +180,59 @@ def _firsts(first: DataFrame, texts: DataFrame, kind: str, frequent, shingle: in
     return found.where(F.size("first") > 0).unionByName(again)
 
 
-def _regions(firsts: DataFrame, percent: int) -> DataFrame:
-    """(region, pivot, key, n, rest, shorter): documents under a common first shingle, of which one can be the shorter of a pair.
+def _regions(firsts: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """(region, pivot, key, n, rest, shorter, size): documents under a common first shingle.
 
     Regions of shingles that aren't frequent are small and seen as windows; the others are aggregated and joined, which
-    Spark splits where one shingle has very many documents.
+    Spark splits where one shingle has very many documents. Large regions without a possible shorter one of a pair go.
     """
     rows = firsts.select("key", "n", F.posexplode("first").alias("at", "z"), "rare")
     rows = rows.withColumns({"rest": F.col("n") - F.col("at"), "shorter": F.col("at") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1})
     rare, often = rows.where("at < rare"), rows.where("at >= rare")
-    whole = {"pivot": F.min("key"), "last": F.max("key"), "any": F.max("shorter")}
+    whole = {"pivot": F.min("key"), "size": F.count(F.lit(1)), "least": F.min(F.when(F.col("shorter"), F.col("n")))}
     small = rare.withColumns({c: f.over(Window.partitionBy("z")) for c, f in whole.items()})
     large = often.join(often.groupBy("z").agg(*[f.alias(c) for c, f in whole.items()]), "z")
-    met = small.unionByName(large).where("any and pivot != last")
-    return stored(met.select(F.col("z").cast("string").alias("region"), "pivot", "key", "n", "rest", "shorter"), "regions")
+    met = small.unionByName(large).where((F.col("size") > 1) & (F.col("least").isNotNull() | (F.col("size") <= leaf)))
+    return stored(met.select(F.col("z").cast("string").alias("region"), "pivot", "key", "n", "rest", "shorter", "size", "least"), "regions")
+
+
+def _meeting(large: DataFrame, percent: int) -> DataFrame:
+    """Rows of large regions that can be met there first: enough is left behind the shingle for the region's smallest possible partner.
+
+    Then only the regions' new pivots and sizes count.
+    """
+    able = large.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))).drop("pivot", "size", "least")
+    ends = able.groupBy("region").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    return stored(able.join(ends, "region"), "large-regions")
+
+
+def _close(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common): pairs of small regions that can link, with the number of first shingles they share there.
+
+    Whichever list of first shingles ends first in the order, all that the two share up to there is counted, but for
+    shingles of large regions; what lies behind is bounded by the set's rest.
+    """
+    x, y = small.alias("x"), small.alias("y")
+    total = F.col("x.n") + F.col("y.n")
+    fits = ((F.col("x.region") == F.col("y.region")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
+            & (100 * F.col("x.n") >= percent * F.col("y.n")))
+    first = F.col("x.shorter") & ((100 + percent) * F.least("x.rest", "y.rest") >= percent * total)
+    met = x.join(y, fits).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).agg(
+        F.count(F.lit(1)).alias("common"), F.bool_or(first).alias("first"))
+    more = stored(large.groupBy("key").agg(F.count(F.lit(1)).alias("more")), "in-large-regions")
+    side = lambda c: more.select(F.col("key").alias(c), F.col("more").alias(f"more_{c}"))
+    met = met.where("first").join(side("a"), "a", "left").join(side("b"), "b", "left").fillna(0, ["more_a", "more_b"])
+    behind = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / F.lit(100)) - 1
+    most = F.col("common") + F.least("more_a", "more_b") + behind
+    return stored(met.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "common"), "close")
+
+
+def _nearest(close: DataFrame) -> DataFrame:
+    """The pair of every document with the one it shares most first shingles with."""
+    both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "common"))
+    best = both.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    # a pair may be the best one of both
+    return stored(close.join(best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_semi").select("a", "b"), "nearest")
 
 
 def _sets(keys: DataFrame, texts: DataFrame, kind: str, shingle: int) -> DataFrame:
@@ -259,16 +299,17 @@ def _unsettled(rows: DataFrame, links: DataFrame, tau: float) -> DataFrame:
 
 def _pairs(rows: DataFrame, sets: DataFrame, tau: float, percent: int) -> DataFrame:
     """The pairs of documents in one cell that the windows leave, one of them its own member, of different components."""
-    rows = stored(rows.join(sets.select("key", F.col("parts").alias("counts")), "key"), "leaves")
     x, y = rows.where("shorter").alias("x"), rows.alias("y")
-    apart = F.aggregate(F.zip_with("x.counts", "y.counts", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
     total = F.col("x.n") + F.col("y.n")
-    fits = ((F.col("x.region") == F.col("y.region")) & F.col("x.pivot").eqNullSafe(F.col("y.pivot")) & (F.col("x.part") != F.col("y.part"))
+    fits = ((F.col("x.region") == F.col("y.region")) & (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.part") != F.col("y.part"))
             & (F.col("x.own") | F.col("y.own")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
             & (100 * F.col("x.n") >= percent * F.col("y.n")) & (F.abs(F.col("x.d") - F.col("y.d")) <= F.lit(tau + SLACK))
             & ((100 + percent) * F.least("x.rest", "y.rest") >= percent * total))
-    near = (100 + percent) * apart <= (100 - percent) * total
-    return x.join(y, fits).where(near).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    met = x.join(y, fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), total.alias("total")).distinct()
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("parts").alias(f"parts_{c}"))
+    met = stored(met, "met").join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
+    return met.where((100 + percent) * apart <= (100 - percent) * F.col("total")).select("a", "b")
 
 
 def _cells(rows: DataFrame, sets: DataFrame, kind: str, tau: float, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -305,23 +346,36 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
     same = able.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     copies = stored(able.select("key", "digest").join(same, "digest").where("key != least").select("least", "key"), "copies")
     first = able.join(_small(copies.select(F.col("key").alias("_gone"))), F.col("key") == F.col("_gone"), "left_anti")
-    met = _regions(_firsts(first, texts, kind, _frequent(first), shingle, percent), percent)
-    sets = _sets(stored(met.select("key").distinct(), "members"), texts, kind, shingle)
-    far = stored(_measured(met, sets, kind, percent), "measured")
-    found = stored(far.where("near and pivot != key").select(F.col("pivot").alias("a"), F.col("key").alias("b")), "links")
-    cells = met.join(far.drop("near"), ["pivot", "key"]).withColumns({"own": F.lit(True), "part": F.col("key"), "before": F.lit(None).cast("long")})
+    met = _regions(_firsts(first, texts, kind, _frequent(first), shingle, percent), percent, leaf)
+    small, large = met.where(F.col("size") <= leaf), met.where(F.col("size") > leaf)
+    close = _close(small, large, percent)
+    large = _meeting(large, percent)
+    asked = close.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
+    sets = _sets(stored(asked, "members"), texts, kind, shingle)
+    one = _distances(_nearest(close), sets, kind, percent)
+    far = stored(_measured(large, sets, kind, percent), "measured")
+    found = one.where("near").select("a", "b").unionByName(far.where("near and pivot != key").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
+    found = stored(found, "links")
+    cells = large.join(far.drop("near"), ["pivot", "key"]).withColumns({"own": F.lit(True), "part": F.col("key"), "before": F.lit(None).cast("long")})
     for turn in range(ROUNDS):
+        if cells.isEmpty():
+            break
         size = Window.partitionBy("region", "pivot")
         open_ = stored(_unsettled(cells, found, tau).withColumn("size", F.count(F.lit(1)).over(size)), "unsettled")
         grown = F.coalesce(4 * F.col("size") > 3 * F.col("before"), F.lit(False)) | F.lit(turn == ROUNDS - 1)
         last = (F.col("size") <= leaf) | grown
         near = _distances(stored(_pairs(open_.where(last), sets, tau, percent), "candidates"), sets, kind, percent)
         found = stored(found.unionByName(near.where("near").select("a", "b")), "links")
-        large = open_.where(~last).drop("before").withColumnRenamed("size", "before")
-        if large.isEmpty():
+        rest = open_.where(~last).drop("before").withColumnRenamed("size", "before")
+        if rest.isEmpty():
             break
-        cells, more = _cells(large, sets, kind, tau, percent, turn)
-        found = stored(found.unionByName(more), "links")
+        cells, more = _cells(rest, sets, kind, tau, percent, turn)
+        cells, found = stored(cells, "dealt"), stored(found.unionByName(more), "links")
+    root = stored(components(found), "components")
+    side = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"part_{c}"))
+    apart = close.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    apart = apart.join(one.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    found = found.unionByName(_distances(stored(apart, "left"), sets, kind, percent).where("near").select("a", "b"))
     return told.select("key", "n"), found.unionByName(copies.select(F.col("least").alias("a"), F.col("key").alias("b")))
 
 
