@@ -27,6 +27,24 @@ def _(t):
     return B.blocker_object(t.samples, "enq: TX - index contention").select("sample_id", "session_id", "contended_obj")
 
 
+NEAREST = """SELECT a.sample_id, a.session_id, CASE WHEN b.obj IS NULL OR b.obj = -1 THEN a.current_obj ELSE b.obj END AS contended_obj FROM {s} a LEFT JOIN LATERAL
+  (SELECT current_obj AS obj FROM {s} b WHERE b.inst_id = a.blocking_inst_id AND b.session_id = a.blocking_session AND b.session_serial = a.blocking_session_serial
+     AND b.sample_id <= a.sample_id - (CASE WHEN a.time_waited = 0 THEN 1 ELSE 0 END) AND b.sample_id > a.sample_id - (CASE WHEN a.time_waited = 0 THEN 1 ELSE 0 END) - {reach}
+   ORDER BY b.sample_id DESC LIMIT 1) b ON true WHERE a.event = 'enq: TX - index contention'"""
+
+
+@query("j15_nearest_holder", NEAREST.format(s="samples", reach=30))
+def _(t):
+    return B.blocker_object_nearest(t.samples, "enq: TX - index contention", 30).select("sample_id", "session_id", "contended_obj")
+
+
+@query("j15_nearest_holder_in_archive", NEAREST.format(s="(SELECT * FROM samples WHERE sample_id % 10 = 0)", reach=100))
+def _(t):
+    """Archived samples: ids ten apart, where the sample before never has the id before."""
+    archive = t.samples.where("sample_id % 10 = 0")
+    return B.blocker_object_nearest(archive, "enq: TX - index contention", 100).select("sample_id", "session_id", "contended_obj")
+
+
 @query("j16_held_by", """SELECT s.sample_id, s.session_id, s.event, h.blocked_sessions FROM samples s JOIN
   (SELECT blocking_inst_id, blocking_session, blocking_session_serial, sample_id, count(*) AS blocked_sessions FROM samples
    WHERE blocking_session IS NOT NULL AND event IN ('library cache lock', 'latch free') GROUP BY ALL) h

@@ -11,6 +11,7 @@ from .registry import query, rounded
 LIVE = "instance_type IN ('single', 'rac') AND del_date IS NULL"
 BILLED = LIVE + " AND billing_category IS DISTINCT FROM 'None'"
 PRIMARY = BILLED + " AND standby_status IS DISTINCT FROM 'Standby'"
+ASKED = PRIMARY + " AND (instance_type = 'single' OR instance_name LIKE '%1')"
 DAY = "1998-01-01 00:00:00"
 DAY_SQL = f"TIMESTAMP '{DAY}'"
 
@@ -38,36 +39,30 @@ def _(t):
     return fleet.collect_landing(t.spark, path, t.nation.where("n_nationkey <> 24").select(F.col("n_nationkey").alias("id")), DAY).withColumn("id", F.col("id").cast("int"))
 
 
-FLEET = 70
-
-
 def _collected(t):
-    """Orders from FLEET sources; source 5 can't be opened, source 9 fails while it is read, source 3 is collected twice. Returns rows and errors."""
+    """Parameters of DAY from every instance that is collected; instances without any are not reachable. Some are collected twice."""
     from ..session import scratch_dir
-    path, rows = scratch_dir(t.spark, "fleet"), t.orders.select((F.col("o_custkey") % FLEET).alias("src"), "o_orderkey", "o_totalprice")
-
-    def read(row):
-        if row["id"] == 5:
-            raise ConnectionError("source not reachable\nno listener")
-        own = rows.where(F.col("src") == row["id"]).drop("src")
-        return own if row["id"] != 9 else own.withColumn("o_totalprice", F.when(F.col("o_orderkey") >= 0, F.raise_error(F.lit("link closed while reading"))).cast("double"))
-
-    registry = t.spark.range(FLEET)
-    errors = fleet.collect_fleet(registry, read, DAY, path, "orders")
-    fleet.collect_fleet(registry.where("id = 3"), read, DAY, path, "orders")
+    path, landing = scratch_dir(t.spark, "fleet"), scratch_dir(t.spark, "instances")
+    day = t.param_hist.where(F.col("date_collected") == F.lit(DAY).cast("timestamp_ntz"))
+    day.select(F.col("inst_id").alias("id"), "param_name", "param_value").repartition("id").write.partitionBy("id").parquet(landing)
+    registry = N.live_instances(t.instances, first_node=True, billed=True, primary=True).select("id")
+    connect = fleet.folder_rows(landing, ["param_name", "param_value"])
+    schema = "param_name string, param_value string"
+    errors = fleet.collect_at_once(registry, connect, schema, DAY, path, "parameters")
+    fleet.collect_at_once(registry.where("id % 3 = 0"), connect, schema, DAY, path, "parameters")
     return t.spark.read.parquet(path), errors
 
 
-@query("s02_collect_each_source", f"SELECT o_orderkey, CAST(o_custkey % {FLEET} AS INT) AS inst_id, {DAY_SQL} AS date_collected FROM orders WHERE o_custkey % {FLEET} NOT IN (5, 9)")
+@query("s02_collect_each_source", f"""SELECT param_name, param_value, CAST(inst_id AS INT) AS inst_id, date_collected FROM param_hist
+  WHERE date_collected = {DAY_SQL} AND inst_id IN (SELECT id FROM instances WHERE {ASKED})""")
 def _(t):
-    return _collected(t)[0].select("o_orderkey", F.col("inst_id").cast("int").alias("inst_id"), F.col("date_collected").cast("timestamp_ntz").alias("date_collected"))
+    return _collected(t)[0].select("param_name", "param_value", F.col("inst_id").cast("int").alias("inst_id"), F.col("date_collected").cast("timestamp_ntz").alias("date_collected"))
 
 
-@query("s07_collection_errors", f"""SELECT DISTINCT CAST(o_custkey % {FLEET} AS BIGINT) AS inst_id, 'orders' AS collector, {DAY_SQL} AS date_collected,
-    CASE WHEN o_custkey % {FLEET} = 5 THEN 'source not reachable' || chr(10) || 'no listener' ELSE 'link closed while reading' END AS error FROM orders WHERE o_custkey % {FLEET} IN (5, 9)""")
+@query("s07_collection_errors", f"""SELECT CAST(id AS BIGINT) AS inst_id, 'parameters' AS collector, {DAY_SQL} AS date_collected, 'source ' || id || ' has nothing to read' AS error
+  FROM instances i WHERE {ASKED} AND NOT EXISTS (SELECT 1 FROM param_hist h WHERE h.inst_id = i.id AND h.date_collected = {DAY_SQL})""")
 def _(t):
-    said = F.regexp_extract("error", r"link closed while reading", 0)  # the rest of that text is about the job
-    return _collected(t)[1].withColumn("error", F.when(said != "", said).otherwise(F.col("error")))
+    return _collected(t)[1]
 
 
 @query("s05_idempotent_snapshot_write", "SELECT inst_id, date_collected, param_name, param_value FROM param_hist")

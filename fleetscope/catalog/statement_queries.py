@@ -150,8 +150,9 @@ def _(t):
   ORDER BY CAST(value AS DECIMAL(38,4)) DESC NULLS LAST) AS place FROM measures""")
 def _(t):
     from ..functions.numbers import to_number
-    place = F.dense_rank().over(Window.partitionBy("name").orderBy(to_number("value").desc_nulls_last()))
-    return t.measures.select("inst_id", "name", "value", "date_collected", place.cast("bigint").alias("place"))
+    from ..operators.ordered import places
+    rows = t.measures.select("inst_id", "name", "value", "date_collected", to_number("value").alias("number"))
+    return places(rows, ["name"], "number", descending=True).drop("number")
 
 
 @query("a42_counts_and_ratios", f"""SELECT tablespace_name, autoextensible, count(*) AS cnt, {rounded('sum(blocks)', '1073741824', 6)} AS blocks_g FROM files GROUP BY 1, 2""")

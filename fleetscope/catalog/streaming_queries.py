@@ -61,6 +61,28 @@ def _(t):
     return _run(t, alert, "contention")
 
 
+HELD = f"""SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, contended_obj, {rounded('sessions_sum * (CASE WHEN max_us > 5000000 THEN 10 ELSE 1 END)', 'sample_times')} AS samples,
+    {rounded('sessions_sum', 'sample_times')} AS avg_sessions, max_us FROM (
+  SELECT window_start, contended_obj, CAST(sum(cnt) AS BIGINT) AS sessions_sum, count(*) AS sample_times, max(mean_us) AS max_us FROM (
+    SELECT CAST(time_bucket(INTERVAL 6 HOUR, a.sample_time, TIMESTAMP '1970-01-01 00:00:00') AS TIMESTAMP) AS window_start, a.sample_time, count(*) AS cnt,
+      CASE WHEN b.current_obj IS NULL OR b.current_obj = -1 THEN a.current_obj ELSE b.current_obj END AS contended_obj, sum(nullif(a.time_waited, 0)) / nullif(count(nullif(a.time_waited, 0)), 0) AS mean_us
+    FROM samples a LEFT JOIN samples b ON b.inst_id = a.blocking_inst_id AND b.session_id = a.blocking_session AND b.session_serial = a.blocking_session_serial
+      AND b.sample_id = CASE WHEN a.time_waited = 0 THEN a.sample_id - 1 ELSE a.sample_id END
+    WHERE a.event = 'enq: TX - index contention' GROUP BY 1, 2, 4) p GROUP BY 1, 2) w"""
+
+
+@query("st1_stream_contention_of_holders", HELD)
+def _(t):
+    """Samples as a file stream, with one sample a month later that lets the watermark pass all others."""
+    names = ["sample_id", "inst_id", "session_id", "session_serial", "event", "blocking_inst_id", "blocking_session", "blocking_session_serial", "time_waited", "current_obj"]
+    rows, path = t.samples.select(*names, as_instant("sample_time").alias("at")), scratch_dir(t.spark, "samples")
+    later = [F.lit("enq: TX - index contention").alias(c) if c == "event" else F.lit(-1).cast(rows.schema[c].dataType).alias(c) for c in names]
+    rows.unionByName(rows.agg(F.max("at").alias("at")).select(*later, (F.col("at") + F.expr("INTERVAL 30 DAYS")).alias("at"))).write.parquet(path)
+    read = lambda: t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
+    alert = S.held_contention_windows(read(), read(), "enq: TX - index contention", "6 hours", None, "1 hour", "10 minutes", "1 hour", "at", alert_above=None)
+    return _run(t, alert, "held")
+
+
 @query("st2_stream_failed_logins", f"""SELECT window_start, window_start + INTERVAL 12 HOUR AS window_end, username, attempts FROM (
   SELECT CAST(time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS TIMESTAMP) AS window_start, user_id AS username, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY 1, 2) w
   WHERE attempts > 1 AND {_closed('window_start + INTERVAL 12 HOUR', '10 MINUTE').format(cond="AND event_type = 'error'")}""")

@@ -68,6 +68,33 @@ def blocker_object(s: DataFrame, event: str, waits: Column | None = None) -> Dat
     )
 
 
+def blocker_object_nearest(s: DataFrame, event: str, reach: int, waits: Column | None = None) -> DataFrame:
+    """blocker_object for samples that lie apart, such as archived ones: the holder's latest sample within reach ids.
+
+    A wait that is over looks from its own sample back, an open one from the sample before; `_at` of the two is never met
+    exactly in an archive. Ids are cut into ranges of reach, and a holder's sample is carried over into the next range, so
+    each wait meets its candidates under one key and no session's samples are seen as a whole. The lookups are distinct
+    and the latest sample is an aggregation, so a holder that many sessions wait for is looked up once.
+    """
+    found = s.where(F.col("event") == event)
+    if waits is not None:
+        found = found.where(waits)
+    who = ["blocking_inst_id", "blocking_session", "blocking_session_serial"]
+    found = found.withColumn("_at", F.when(F.col("time_waited") == 0, F.col("sample_id") - 1).otherwise(F.col("sample_id")))
+    cut = lambda c: F.floor(F.col(c) / F.lit(reach)).cast("long")
+    asked = found.where(F.col("blocking_session").isNotNull()).select(*who, "_at").distinct().withColumn("_range", cut("_at"))
+    holder = s.select(F.col("inst_id").alias(who[0]), F.col("session_id").alias(who[1]), F.col("session_serial").alias(who[2]),
+                      F.col("sample_id").alias("_held"), F.col("current_obj").alias("_obj"))
+    holder = holder.withColumn("_range", F.explode(F.array(cut("_held"), cut("_held") + 1)))
+    met = asked.join(holder, [*who, "_range"]).where((F.col("_held") <= F.col("_at")) & (F.col("_held") > F.col("_at") - reach))
+    last = met.groupBy(*who, "_at").agg(F.max_by("_obj", "_held").alias("_obj"))
+    return (
+        found.join(last, [*who, "_at"], "left")
+        .withColumn("contended_obj", F.when(F.col("_obj").isNull() | (F.col("_obj") == -1), F.col("current_obj")).otherwise(F.col("_obj")))
+        .select(*s.columns, "contended_obj")
+    )
+
+
 def held_by(s: DataFrame, events: list[str]) -> DataFrame:
     """Samples of blockers with the number of sessions, of all instances, that they hold on the given events."""
     held = (

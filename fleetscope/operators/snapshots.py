@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.nulls import differs, ne_or_null
 from ..functions.times import ts as stamp
 from ..session import checkpoint
+from .ordered import with_previous
 
 DATE = "date_collected"
 
@@ -151,20 +152,14 @@ def coverage(reg: DataFrame, hist: DataFrame, date) -> DataFrame:
 
 
 def suppress_repeats(df: DataFrame, labels: list[str], order: list[str]) -> DataFrame:
-    """Blank a label that equals the one on the previous line of the report.
+    """Blank a label that equals the one on the previous line of the report (within the first label, which every change shows).
 
-    Only the distinct label combinations pass through a window (per first label); a line can show
-    a label only as the first line of its combination, found by aggregation. order must continue
-    the labels to a total order of the lines.
+    Lines are dealt into ranges of the report's order and the last line of a range is carried over its border, so lines of
+    one label are as many tasks' work as needed. order must continue the labels to a total order of the lines.
     """
-    rank = lambda c: F.struct(F.isnull(c), c)  # noqa: E731  (NULLs last)
-    heads = df.groupBy(*labels).agg(F.min(F.struct(*[rank(c) for c in order])).alias("_head"))
-    w = Window.partitionBy(labels[0]).orderBy(*[F.col(c).asc_nulls_last() for c in labels])
-    shows = heads.select("*", *[ne_or_null(c, F.lag(c).over(w)).alias(f"_show_{c}") if i else F.isnull(F.lag(F.lit(1)).over(w)).alias(f"_show_{c}")
-                                for i, c in enumerate(labels)])
-    rows = df.withColumn("_head", F.struct(*[rank(c) for c in order])).alias("r")
-    cond = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*labels, "_head")])
-    joined = rows.join(shows.alias("s"), cond, "left")
-    return joined.select(
-        *[F.when(F.coalesce(F.col(f"s._show_{c}"), F.lit(False)), F.col(f"r.{c}")).alias(f"shown_{c}") for c in labels],
-        *[F.col(f"r.{c}") for c in df.columns])
+    nulls_last = [F.col(c).asc_nulls_last() for c in (*labels, *order)]
+    lines = with_previous(df, nulls_last, labels)
+    top = labels[0]
+    new = ~F.col("has_previous") | ~F.col(top).eqNullSafe(F.col(f"previous_{top}"))
+    shows = {c: new | ne_or_null(c, F.col(f"previous_{c}")) if i else new for i, c in enumerate(labels)}
+    return lines.select(*[F.when(F.coalesce(shows[c], F.lit(False)), F.col(c)).alias(f"shown_{c}") for c in labels], *[F.col(c) for c in df.columns])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions.times import ts
 from ..operators.snapshots import DATE
+from ..session import scratch_dir
 
 ERROR_SCHEMA = "inst_id long, collector string, error string"
 
@@ -36,6 +38,97 @@ def collect_fleet(registry: DataFrame, reader: Callable[[Row], DataFrame], date,
     return spark.createDataFrame(errors, ERROR_SCHEMA).withColumn(DATE, ts(date))
 
 
+class SourceError(Exception):
+    """What a reader raises when its source answers, but not as it should."""
+
+
+def source_rows(registry: DataFrame, connect: Callable[[dict], Iterable], schema: str, failures: tuple[type[Exception], ...] = (OSError, SourceError),
+                tasks: int | None = None) -> DataFrame:
+    """inst_id, the columns of schema, and error: the rows of every registered source, read by one scan.
+
+    A task takes one source, or several in turn where there are more than `tasks` (four for each core by default).
+    connect runs in the source's task: it gets the registry's row and yields Arrow record batches with the columns of
+    schema, one at a time. If it raises one of failures (a connection or file that fails is an OSError), the source ends with
+    a row that has the error's text and nulls; any other exception is a fault of the program and fails the job.
+    """
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    sources = [row.asDict() for row in registry.collect()]  # a row per database
+    title, whole = f"fleet-{uuid.uuid4().hex}", f"inst_id long, {schema}, error string"
+    shape = to_arrow_schema(StructType.fromDDL(whole))
+    n = max(1, min(len(sources), tasks or 4 * registry.sparkSession.sparkContext.defaultParallelism))
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(sources[k::n]) for k in range(n)]
+
+        def read(self, partition):
+            for source in partition.value:
+                yield from one(source)
+
+    def one(source: dict) -> Iterator:
+        import pyarrow as pa
+
+        def batch(columns: dict, rows: int, error: str | None) -> pa.RecordBatch:
+            given = {"inst_id": pa.array([source["id"]] * rows, pa.int64()), "error": pa.array([error] * rows, pa.string())} | columns
+            return pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(rows, f.type) for f in shape], schema=shape)
+
+        try:
+            for found in connect(source):
+                yield batch({c: found.column(c) for c in found.schema.names}, found.num_rows, None)
+        except failures as e:
+            yield batch({}, 1, str(e) or type(e).__name__)
+
+    class Fleet(DataSource):
+        @classmethod
+        def name(cls):
+            return title
+
+        def schema(self):
+            return whole
+
+        def reader(self, schema):
+            return Reader()
+
+    registry.sparkSession.dataSource.register(Fleet)
+    return registry.sparkSession.read.format(title).load()
+
+
+def collect_at_once(registry: DataFrame, connect: Callable[[dict], Iterable], schema: str, date, path: str, collector: str = "collector",
+                    failures: tuple[type[Exception], ...] = (OSError, SourceError)) -> DataFrame:
+    """Read all sources as source_rows does, in one job, and replace their parts of the day below path; returns the errors as rows.
+
+    What was read is landed first, so nobody is asked twice. A source with an error keeps its former rows, also where it
+    gave some before it failed.
+    """
+    spark = registry.sparkSession
+    landing = scratch_dir(spark, "collected")
+    source_rows(registry, connect, schema, failures).write.parquet(landing)
+    landed = spark.read.parquet(landing)
+    errors = landed.where("error is not null").select("inst_id", F.lit(collector).alias("collector"), "error")
+    whole = landed.where("error is null").join(errors.select("inst_id"), "inst_id", "left_anti").drop("error")
+    write_snapshot(whole.withColumn(DATE, ts(date)), path)
+    return errors.withColumn(DATE, ts(date))
+
+
+def folder_rows(root: str, columns: list[str], c: str = "id") -> Callable[[dict], Iterator]:
+    """connect() for sources whose relation lies as Parquet files in root/<c>=<id>; a source without files is not reachable."""
+
+    def connect(source: dict) -> Iterator:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+        folder = f"{top}/{c}={source['id']}"
+        if system.get_file_info(folder).type == fs.FileType.NotFound:
+            raise ConnectionError(f"source {source['id']} has nothing to read")
+        yield from ds.dataset(folder, filesystem=system, format="parquet").to_batches(columns=columns)
+
+    return connect
+
+
 def jdbc_reader(spark: SparkSession, table: str, url: Callable[[Row], str], **options) -> Callable[[Row], DataFrame]:
     """Reader of one table per source database."""
     return lambda row: spark.read.format("jdbc").options(url=url(row), dbtable=table, **options).load()

@@ -123,3 +123,25 @@ def test_holders_on_two_nodes(spark):
     assert [tuple(r) for r in held] == [(1, 10, 5, 2)]
     got = B.blocker_object(s, e, waits=F.col("sample_id") >= 5).select("session_id", "contended_obj").collect()
     assert sorted(tuple(r) for r in got) == [(20, 9), (30, 9)]
+
+
+def test_nearest_holder_against_a_plain_walk(spark):
+    """Archived samples ten ids apart, with ids on the borders of ranges, open waits, and holders that are too far back."""
+    import random
+
+    r = random.Random(4)
+    names = "sample_id long, inst_id long, session_id long, session_serial long, event string, blocking_inst_id long, blocking_session long, blocking_session_serial long, time_waited long, current_obj long"
+    data = []
+    for at in range(0, 600, 10):
+        for sid in range(5):
+            if r.random() < 0.5:
+                data.append((at, 1, sid, 1, r.choice(["W", "W", None]), *r.choice([(1, r.randrange(6), 1), (None, None, None)]), r.choice([0, 5]), r.choice([-1, None, at * 10 + sid])))
+    got = B.blocker_object_nearest(spark.createDataFrame(data, names), "W", 40).collect()
+    want = []
+    for d in (d for d in data if d[4] == "W"):
+        at = d[0] - (d[8] == 0)
+        held = [h for h in data if h[1:4] == d[5:8] and at - 40 < h[0] <= at]
+        obj = max(held)[9] if held and d[6] is not None else None
+        want.append((d[0], d[2], d[9] if obj in (None, -1) else obj))
+    key = lambda t: tuple(map(str, t))
+    assert sorted(((x["sample_id"], x["session_id"], x["contended_obj"]) for x in got), key=key) == sorted(want, key=key)

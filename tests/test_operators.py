@@ -211,6 +211,35 @@ def test_agg_list_skips_nulls(spark):
     assert df.where("x IS NULL").agg(agg_list("x")).first()[0] is None
 
 
+def test_collect_at_once(spark, tmp_path):
+    """One job for all sources: those that fail become rows and keep what they had, faults of the program fail the job."""
+    path, state = str(tmp_path / "snap"), str(tmp_path / "closed")
+
+    def connect(source):
+        import os
+
+        import pyarrow as pa
+        if source["id"] == 5:
+            raise ConnectionError("not reachable\nno listener")
+        yield pa.RecordBatch.from_pydict({"v": [source["id"], source["id"] * 10], "name": ["a", None]})
+        if source["id"] == 9 and os.path.exists(state):
+            raise fleet.SourceError("link closed while reading")
+        if source["id"] == 11:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([], pa.int64()), "name": pa.array([], pa.string())})
+
+    collect = lambda ids: fleet.collect_at_once(ids, connect, "v long, name string", "2024-01-01", path, "demo")
+    first = collect(spark.range(1, 76)).collect()
+    assert [(r["inst_id"], r["collector"], r["error"]) for r in first] == [(5, "demo", "not reachable\nno listener")]
+    open(state, "w").close()
+    assert [r["error"] for r in collect(spark.range(9, 10)).collect()] == ["link closed while reading"]
+    got = spark.read.parquet(path)
+    assert rows(got, "inst_id", "v", "name") == sorted(((i, v, n) for i in range(1, 76) if i != 5 for v, n in ((i, "a"), (i * 10, None))),
+                                                       key=lambda t: tuple((x is None, str(x)) for x in t))
+    assert fleet.source_rows(spark.range(0), connect, "v long, name string").count() == 0
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        fleet.source_rows(spark.range(1), lambda source: iter([1 // source["id"]]), "v long").collect()
+
+
 def test_collect_fleet_keeps_other_sources(spark, tmp_path):
     path, state = str(tmp_path / "day"), {"value": 1}
 

@@ -52,3 +52,38 @@ def test_wait_class_columns(spark):
     df = spark.createDataFrame([(at(0), None, "ON CPU"), (at(0), "User I/O", "WAITING")], "sample_time timestamp, wait_class string, session_state string")
     r = S.wait_class_windows(df).select("total", "on_cpu", "user_io", F.col("commit")).first()
     assert tuple(r) == (2, 1, 1, 0)
+
+
+WAITS = """sample_time timestamp, sample_id long, inst_id long, session_id long, session_serial long, event string, blocking_inst_id long, blocking_session long,
+    blocking_session_serial long, time_waited long, current_obj long"""
+
+
+def _waits(minutes, late=()):
+    """Session 1 holds object 100 + sample; 2 waits for it, 3 in open waits, 4 for a session that is not sampled, 5 for one without object."""
+    out = []
+    for m in minutes:
+        out += [(at(m), m, 1, 1, 7, None, None, None, None, None, 100 + m % 3), (at(m), m, 1, 9, 7, None, None, None, None, None, -1),
+                (at(m), m, 2, 2, 7, "W", 1, 1, 7, 1000 * m + 1, 1), (at(m), m, 2, 3, 7, "W", 1, 1, 7, 0, 2),
+                (at(m), m, 1, 4, 7, "W", 1, 8, 7, 6_000_000, 3), (at(m), m, 1, 5, 7, "W", 1, 9, 7, 0, 4), (at(m), m, 1, 6, 7, "other", 1, 1, 7, 5, 5)]
+    return out
+
+
+def test_waits_meet_their_holder_in_the_stream(spark, tmp_path):
+    from fleetscope.operators import blocking as B
+
+    src, data = str(tmp_path / "in"), _waits(range(40))
+    frame = lambda rows: spark.createDataFrame(rows, WAITS)
+    frame(data + _waits([5000])).repartition(4).write.parquet(src)
+    read = lambda: spark.readStream.schema(WAITS).parquet(src)
+    how = ("W", "10 minutes", None, "1 minute", "2 minutes", "1 minute")
+    alert = lambda: S.held_contention_windows(read(), read(), *how, alert_above=None)
+    shown = ("window_start", "contended_obj", "samples", "avg_sessions", "max_us")
+    got = S.run_available(alert(), str(tmp_path / "out"), str(tmp_path / "ck"))
+    batch = S.held_contention_windows(frame(data), frame(data), *how, alert_above=None)
+    assert rows(got, *shown) == rows(batch, *shown) and got.count() > 20
+    joined = S.waits_with_holder(frame(data), frame(data), "W", "2 minutes", "1 minute")
+    exact = B.blocker_object(frame(data), "W")
+    assert rows(joined, "sample_id", "session_id", "contended_obj") == rows(exact, "sample_id", "session_id", "contended_obj")
+    assert {r[0] for r in rows(joined, "contended_obj")} >= {100, 101, 102, 2, 3, 4}
+    frame(_waits([20])).write.mode("append").parquet(src)  # far behind the watermark: dropped
+    assert rows(S.run_available(alert(), str(tmp_path / "out"), str(tmp_path / "ck")), *shown) == rows(batch, *shown)
