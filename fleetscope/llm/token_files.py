@@ -37,21 +37,23 @@ class Encoder:
     Its pre-tokenizer ends a token before every single space or line feed that stands between two other
     characters, and between Latin letters and the punctuation behind them. So the text is cut there, the ids of
     known pieces are looked up, and words not yet known go to the library's BPE model. Pieces of any other kind
-    are encoded by the whole tokenizer, and so are texts with other white space around a space. Ids come as
-    bytes of the given numpy type.
+    are encoded by the whole tokenizer, and so are texts with other white space around a space or with one of the
+    tokenizer's added tokens (such as an end-of-text sign), which get their own ids as the library gives them; with
+    added_as_text they are spelled out like any other characters. Ids come as bytes of the given numpy type.
     """
 
     class _Whole(Exception):
         pass
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, added_as_text: bool = False):
         import re
         from array import array
 
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        self.added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if dtype == "<u2" else "I"
         plain, tokenize, code = self.plain, self.tokenizer.model.tokenize, self.code
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -91,6 +93,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.plain(text)
         head, *tail = text.split(" ")
         try:
             return self.first[head] + b"".join(map(self.spaced.__getitem__, tail))

@@ -15,7 +15,6 @@ from .cases import crc, documents, frame
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -27,8 +26,17 @@ def test_encoder(whole):
         assert np.frombuffer(e.encode(s), "<u4").tolist() == whole(s), repr(s)
 
 
+def test_added_tokens(whole):
+    e = token_files.Encoder(tokenizer_path(), "<u4")
+    assert np.frombuffer(e.encode("x <|endoftext|> y"), "<u4").tolist() == whole("x <|endoftext|> y") == [87, 220, 50256, 331]
+    spelled = Tokenizer.from_file(tokenizer_path())
+    spelled.encode_special_tokens = True
+    text = token_files.Encoder(tokenizer_path(), "<u4", added_as_text=True)
+    assert np.frombuffer(text.encode("x <|endoftext|> y"), "<u4").tolist() == spelled.encode("x <|endoftext|> y", add_special_tokens=False).ids
+
+
 def test_files(spark, whole, tmp_path):
-    rows = documents() + documents()[:2]
+    rows = documents() + documents()[:2] + [(900, "one <|endoftext|>two", "en", None, None, None, None, None)]
     df = frame(spark, rows)
     made = token_files.write(df, str(tmp_path / "t"), tokenizer_path(), length=64)
     got = sorted((tuple(r) for r in token_files.read_documents(made).collect()), key=lambda r: r[1])
