@@ -100,9 +100,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     return fp.join(per_fp, "fp").select("key", "fp", "component")
 
 
-#: The 320-bit rule that `families` had before; tests/llm/test_simhash.py still describes it.
-SEGMENTS, SEGMENT_BITS, RADIUS = 8, 40, 38
-
 #: Words of a shingle, and the least share of common shingles (4 of 5), of near copies.
 WORDS = 5
 #: Documents, about, whose shingles tell which ones are common, and how many common ones are sent to every executor.
@@ -244,15 +241,15 @@ def families(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 BROADCAST_KEYS = 500_000
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = WORDS) -> DataFrame:
-    """df without the rows whose family has a smaller key; of rows that repeat that key one stays.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """df without the rows whose class (fingerprints within two bits, as `classes` links them) has a smaller key; of rows
+    that repeat that key one stays.
 
     Rows with a null key stay. Columns are as they were.
     """
-    found = stored(families(df, key, text, shingle), "families")
+    found = stored(classes(df.where(F.col(key).isNotNull()), key, text, shingle), "classes")
     gone = stored(found.where("key != component").select(F.col("key").alias("_simhash_gone")).distinct(), "gone")
-    gone = _small(gone)
-    rest = df.join(gone, df[key] == gone["_simhash_gone"], "left_anti")
+    rest = df.join(_small(gone), df[key] == gone["_simhash_gone"], "left_anti")
     again = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("_simhash_again"))
     again = stored(again, "repeated-keys")
     if again.isEmpty():
