@@ -52,7 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = added_as_text
+        self.tokenizer.encode_special_tokens = True  # pieces hold no added token, so none is looked for
+        self.whole = Tokenizer.from_file(path)
         self.added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if dtype == "<u2" else "I"
         plain, tokenize, code = self.plain, self.tokenizer.model.tokenize, self.code
@@ -91,10 +92,13 @@ class Encoder:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
+        from array import array
+
         if not text:
             return b""
-        if any(t in text for t in self.added):
-            return self.plain(text)
+        for t in self.added:
+            if t in text:
+                return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         head, *tail = text.split(" ")
         try:
             return self.first[head] + b"".join(map(self.spaced.__getitem__, tail))
