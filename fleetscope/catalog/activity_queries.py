@@ -6,6 +6,7 @@ from ..functions import labels, numbers, text
 from ..functions.nulls import asc, desc
 from ..functions.times import MINUTE, MINUTE_DOTTED
 from ..operators import activity as A, filters as P, joins as J, topn
+from ..operators.aggregates import with_total
 from ..plans import activity_reports as R
 from .registry import query, rounded
 
@@ -273,7 +274,7 @@ def _(t):
 @query("w05_share_of_total", """SELECT event, cnt, lpad(CAST(CAST((2 * 100 * cnt + sum(cnt) OVER ()) // (2 * sum(cnt) OVER ()) AS BIGINT) AS VARCHAR) || '%', 5, ' ') AS share
   FROM (SELECT event, count(*) AS cnt FROM samples GROUP BY event) c""")
 def _(t):
-    return A.count_by(t.samples, ["event"]).withColumn("share", numbers.share("cnt", t.samples.agg(F.count(F.lit(1))).scalar()))
+    return with_total(A.count_by(t.samples, ["event"]), "cnt").withColumn("share", numbers.share("cnt", "total")).drop("total")
 
 
 @query("t01_sort_with_null_placement", "SELECT session_id, sample_id, temp_space_allocated FROM samples")

@@ -20,15 +20,12 @@ def _whole(c) -> Column:
 
 #: Decimal digits that one step of the long division appends.
 STEP = 7
+#: Twice a number below this, and a number below this added, still fit a bigint.
+PLAIN_MOST = 3 * 10**18
 
 
-def ratio(num, den, scale: int = 0) -> Column:
-    """num/den of whole numbers rounded once to scale digits, half away from zero; NULL when den is zero.
-
-    Long division: the remainder gives STEP more digits at a time, so every divisor up to 10**30 is exact.
-    The whole part must fit a bigint.
-    """
-    n, d = _whole(num), _whole(den)
+def _long_division(n: Column, d: Column, scale: int) -> Column:
+    """|n|/|d| * 10**scale of decimals, rounded half up: the remainder gives STEP more digits at a time."""
     size = F.nullif(F.abs(d), F.lit(0).cast("decimal(38,0)"))
     rest, whole, left = F.abs(n) % size, F.call_function("div", F.abs(n), size), scale
     value = whole.cast("decimal(38,0)")
@@ -37,9 +34,32 @@ def ratio(num, den, scale: int = 0) -> Column:
         more = rest * F.lit(10**k).cast("decimal(8,0)")
         value = value * F.lit(10**k).cast("decimal(8,0)") + F.call_function("div", more, size).cast("decimal(38,0)")
         rest, left = more.cast("decimal(38,0)") % size, left - k
-    value = value + F.when(rest * 2 >= size, 1).otherwise(0)
-    signed = F.when((n < 0) != (d < 0), -value).otherwise(value)
-    return signed.cast("bigint") if scale == 0 else signed.cast("double") / F.lit(float(10**scale))
+    return value + F.when(rest * 2 >= size, 1).otherwise(0)
+
+
+def ratio(num, den, scale: int = 0) -> Column:
+    """num/den of whole numbers rounded once to scale digits, half away from zero; NULL when den is zero.
+
+    Where both fit, one bigint division gives the digits. Others take a long division, exact for every divisor up to
+    10**30. The whole part must fit a bigint. The two numbers are bound in a lambda, so each is computed once and the
+    long division stays out of the generated code.
+    """
+    kind = "bigint" if scale == 0 else "double"
+    most = PLAIN_MOST // 10**scale
+
+    def digits(x: Column) -> Column:
+        n, d, a, b = x["n"], x["d"], x["a"], x["b"]
+        plain = a.between(-most, most) & b.between(1, PLAIN_MOST)
+        units = F.call_function("div", F.abs(a) * (2 * 10**scale) + b, b * 2)
+        long = _long_division(n, d, scale)
+        return (F.when(plain & (a >= 0), units.cast(kind)).when(plain, (-units).cast(kind))
+                .when((n < 0) != (d < 0), (-long).cast(kind)).otherwise(long.cast(kind)))
+
+    n, d = _whole(num), _whole(den)
+    pair = F.transform(F.array(F.struct(n.alias("n"), d.alias("d"))), lambda x: F.struct(
+        x["n"].alias("n"), x["d"].alias("d"), x["n"].try_cast("bigint").alias("a"), x["d"].try_cast("bigint").alias("b")))
+    found = F.get(F.transform(pair, digits), 0)
+    return found if scale == 0 else found / F.lit(float(10**scale))
 
 
 def avg_nz(c) -> Column:

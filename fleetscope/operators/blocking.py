@@ -18,6 +18,7 @@ from ..functions.nulls import asc, glue, nz
 from ..functions.numbers import ratio, share
 from ..functions.times import ts
 from ..session import checkpoint
+from .aggregates import with_total
 from .topn import top_k
 
 
@@ -226,10 +227,9 @@ def wait_chains(s: DataFrame, start: Column, label: Column, begin: str, end: str
         tail = F.when(F.col("sid").isNotNull(), glue(F.lit(" -> [idle blocker "), F.col("inst"), F.lit(","), F.col("sid"), F.lit(","), F.col("serial"), F.col("who"), F.lit("]")))
         counted = counted.withColumn("chain", F.concat_ws("", "chain", tail))
     by_chain = counted.groupBy("chain").agg(F.sum("cnt").alias("cnt"))
-    total = rows.where(start).agg(F.count(F.lit(1))).scalar()
     seconds = F.timestamp_diff("SECOND", ts(begin), ts(end))
-    return top_k(by_chain, [F.col("cnt").desc(), asc("chain")], k).select(
-        share("cnt", total).alias("share"), (F.col("cnt") * weight).alias("seconds"),
+    return top_k(with_total(by_chain, "cnt", "_total"), [F.col("cnt").desc(), asc("chain")], k).select(
+        share("cnt", "_total").alias("share"), (F.col("cnt") * weight).alias("seconds"),
         ratio(F.col("cnt") * weight, seconds, 1).alias("aas"), F.col("chain").alias("wait_chain"))
 
 

@@ -7,10 +7,10 @@ holding partial sums, then ranked and rolled up to one row per sample.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels, numbers, text
@@ -18,6 +18,7 @@ from ..functions.nulls import asc, desc, glue, nz
 from ..functions.numbers import GIB, MIB, count_if, ratio, scaled
 from ..functions.times import MINUTE, SECOND, ts
 from ..operators import activity, filters, topn
+from ..operators.aggregates import with_total
 
 
 @dataclass(frozen=True)
@@ -331,20 +332,36 @@ def ash_dimensions(s: DataFrame, classes: list[str]) -> DataFrame:
     })
 
 
-def activity_report(s: DataFrame, dims: list[str], where: str | None, start: str, end: str, weight: int = 1, k: int = 15,
+#: Columns of the activity report that users and objects add.
+USER_COLUMNS, OBJECT_COLUMNS = ("username",), ("owner", "object_name", "obj", "objt")
+
+
+def named_columns(condition: str) -> set[str]:
+    """Lower-case words of a SQL condition outside its string literals; its columns are among them."""
+    return set(re.findall(r"\w+", re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", " ", condition).lower()))
+
+
+def activity_report(s: DataFrame, dims: list[str], where: str | Sequence[str] | None, start: str, end: str, weight: int = 1, k: int = 15,
                     users: DataFrame | None = None, objects: DataFrame | None = None, classes: list[str] = ()) -> DataFrame:
-    """Seconds, average active sessions and share by any dimensions over a time range."""
+    """Seconds, average active sessions and share by any dimensions over a time range.
+
+    where is one SQL condition or several that all must hold. Conditions on samples alone go below the aggregation; one
+    that names a column of users or objects goes behind their joins, and the sample columns it names stay as keys until then.
+    """
     from ..operators.joins import enrich
 
     rows = ash_dimensions(filters.between_time(s, start, end), list(classes))
-    late = None
-    try:
-        rows = rows if not where else rows.where(where)
-    except AnalysisException:
-        late = where  # it is about users or objects
+    added = {*(USER_COLUMNS if users is not None else ()), *(OBJECT_COLUMNS if objects is not None else ())} - set(s.columns)
+    late: list[str] = []
+    for condition in [where] if isinstance(where, str) else where or []:
+        if named_columns(condition) & added:
+            late.append(condition)
+        elif condition:
+            rows = rows.where(condition)
+    asked = set().union(*map(named_columns, late))
     # samples shrink to one row per raw key and execution before the joins, so a frequent object or user is one key of many equal rows no more
     joined = [c for c, d in (("user_id", users), ("current_obj", objects)) if d is not None]
-    keys = dict.fromkeys([*(rows.columns if late else [d for d in dims if d in rows.columns]), *joined])
+    keys = dict.fromkeys([*[c for c in rows.columns if c in dims or c.lower() in asked], *joined])
     rows = rows.groupBy(*keys, activity.execution().alias("_exec")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("sample_time").alias("_first"), F.max("sample_time").alias("_last"))
     if users is not None:
@@ -353,8 +370,8 @@ def activity_report(s: DataFrame, dims: list[str], where: str | None, start: str
         rows = enrich(rows, objects.withColumn("obj", F.concat_ws(".", "owner", "object_name"))
                       .select(F.col("object_id").alias("current_obj"), "owner", "object_name", "obj",
                               F.concat(F.col("obj"), F.lit(" ["), F.col("object_type"), F.lit("]")).alias("objt")), "current_obj")
-    if late:
-        rows = rows.where(late)
+    for condition in late:
+        rows = rows.where(condition)
     seconds = F.timestamp_diff("SECOND", ts(start), ts(end))
     grouped = rows.groupBy(*dims).agg(
         F.sum("_n").alias("total_seconds"),
@@ -362,12 +379,11 @@ def activity_report(s: DataFrame, dims: list[str], where: str | None, start: str
         F.date_format(F.max("_last"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
         F.count_distinct("_exec").alias("executions"),
     )
-    total = rows.agg(F.sum("_n")).scalar()
     return topn.top_k(
-        grouped.select(
+        with_total(grouped, "total_seconds", "_total").select(
             (F.col("total_seconds") * weight).alias("total_seconds"),
             ratio(F.col("total_seconds") * weight, seconds, 1).alias("aas"),
-            numbers.share("total_seconds", total).alias("share"),
+            numbers.share("total_seconds", "_total").alias("share"),
             *dims, "first_seen", "last_seen", "executions",
         ),
         [F.col("total_seconds").desc(), *[asc(d) for d in dims]], k)

@@ -39,6 +39,24 @@ def test_ratio_with_wide_divisors(spark, num, den, scale):
     assert got == (int(want) if scale == 0 else float(want))
 
 
+@pytest.mark.parametrize("scale", [0, 1, 3, 8])
+def test_ratio_is_the_same_on_both_sides_of_the_bigint_path(spark, scale):
+    from decimal import ROUND_HALF_UP, localcontext
+
+    most = numbers.PLAIN_MOST // 10**scale
+    pairs = [(s * n, t * d) for n in (0, 1, 5, most - 1, most, most + 1, 2**63 - 1) for d in (0, 1, 2, 3, 20, numbers.PLAIN_MOST, numbers.PLAIN_MOST + 1)
+             for s in (1, -1) for t in (1, -1) if n // max(d, 1) < 2**62 // 10**scale or scale]
+    df = spark.createDataFrame([(Decimal(n), Decimal(d)) for n, d in pairs], "n decimal(38,0), d decimal(38,0)")
+    for r in df.select("n", "d", numbers.ratio("n", "d", scale).alias("v")).collect():
+        if r["d"] == 0:
+            assert r["v"] is None
+            continue
+        with localcontext(prec=80):
+            want = (r["n"] / r["d"]).quantize(Decimal(1).scaleb(-scale), ROUND_HALF_UP)
+        assert r["v"] == (int(want) if scale == 0 else float(want.scaleb(scale)) / 10.0**scale), r
+        assert str(r["v"]) != "-0.0"
+
+
 def test_hex_is_unsigned(spark):
     assert one(spark, numbers.from_hex(F.lit("F" * 16))) == 2**64 - 1
     assert one(spark, numbers.from_hex(F.lit("0A"))) == 10

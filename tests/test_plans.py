@@ -68,3 +68,22 @@ def test_not_in_reads_a_fixed_number_of_times(spark):
     df = spark.read.parquet(f"{FOLDER}/orders.parquet").selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') a", "nullif(o_custkey % 3, 1) b", "nullif(o_orderpriority, '5-LOW') c")
     text = plan(not_in(df, df.where("o_orderkey % 7 = 0"), ["a", "b", "c"], null_safe=False))
     assert text.count("FileScan") <= 8
+
+
+def test_mixed_conditions_of_the_activity_report(spark, saved):
+    """Conditions on samples go below the aggregation, those on users behind their join, with only the columns they name as keys."""
+    from pyspark.sql import functions as F
+
+    from fleetscope.catalog.inputs import Inputs
+
+    t = Inputs(spark, FOLDER)
+    start, end = "2024-01-01 00:00:00", "2024-12-31 00:00:00"
+    both = ["session_type = 'FOREGROUND'", "username IS NOT NULL AND (username > 'C' OR wait_class = 'owner')"]
+    got = activity_reports.activity_report(saved, ["event_text"], both, start, end, users=t.users, k=1000)
+    text = plan(got)
+    assert "EqualTo(session_type,FOREGROUND)" in text
+    first = next(x for x in reversed(text.splitlines()) if "HashAggregate(keys=[" in x and "partial_count" in x)
+    assert "user_id" in first and "wait_class" in first and "machine" not in first and "p1hex" not in first
+    rows = activity_reports.ash_dimensions(filters.between_time(saved, start, end), []).join(t.users.select("user_id", "username"), "user_id", "left")
+    want = rows.where(both[0]).where(both[1]).groupBy("event_text").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["event_text"]: r["total_seconds"] for r in got.collect()} == {r["event_text"]: r["n"] for r in want} and want
