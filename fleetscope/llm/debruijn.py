@@ -36,6 +36,8 @@ K = 20
 GRAM = 5
 #: Bits of the map of repeated minimizers.
 MAP_BITS = 27
+#: A task hands on what it has pre-aggregated once that takes about so many bytes.
+FLUSH_BYTES = 16 << 20
 
 
 def mix(x):
@@ -105,10 +107,11 @@ def _contents(words: list[bytes], first, n, k: int) -> list[int]:
 
 
 def _each(rows: Iterator, k: int, gram: int) -> Iterator:
-    """Per batch: the paths of its rows as (key, paths)."""
+    """(key, paths) of one text at a time; its words are free again when the next text is asked for."""
     for b in rows:
-        keys = b.column(0).to_pylist()
-        yield [(key, p) for key, t in zip(keys, b.column(1)) if key is not None and (p := paths(t.as_py(), k, gram)) is not None]
+        for key, t in zip(b.column(0), b.column(1)):
+            if key.is_valid and (p := paths(t.as_py(), k, gram)) is not None:
+                yield key.as_py(), p
 
 
 def _signed(x):
@@ -123,10 +126,19 @@ def repeated_minimizers(docs: DataFrame, k: int, gram: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in _each(rows, k, gram):
-            if batch:
-                a, c = np.unique(np.concatenate([p[0] for _, p in batch]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(c)], names=["a", "c"])
+        def counted(found):
+            a, c = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(c)], names=["a", "c"])
+
+        found, size = [], 0
+        for _, p in _each(rows, k, gram):
+            found.append(p[0])
+            size += p[0].nbytes
+            if size >= FLUSH_BYTES:
+                yield counted(found)
+                found, size = [], 0
+        if found:
+            yield counted(found)
 
     return docs.mapInArrow(scan, "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).where("c > 1").select("a")
 
@@ -150,47 +162,72 @@ def _hit(bitmap, a, bits: int):
     return (bitmap.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+class _Pool:
+    """Occurrences of paths as columns; the first of each content also has its count and the hashes of its windows."""
+
+    #: Bytes that an occurrence and a content take beside their windows, about.
+    ROW, CONTENT = 100, 350
+
+    def __init__(self):
+        self.a, self.s, self.keys, self.at, self.seen, self.rows, self.size = [], [], [], [], {}, 0, 0
+
+    def add(self, key, a, s, first, n, windows):
+        self.a.append(a)
+        self.s.append(s)
+        self.at.append(first)
+        self.keys += [key] * len(a)
+        for row, (pair, i, m) in enumerate(zip(zip(a.tolist(), s.tolist()), first.tolist(), n.tolist()), self.rows):
+            if (old := self.seen.get(pair)) is None:
+                # a copy: a view would keep the windows of the whole text
+                self.seen[pair] = [1, key, i, windows[i:i + m].copy(), row]
+                self.size += self.CONTENT + 8 * m
+            else:
+                old[0] += 1
+                if (key, i) < (old[1], old[2]):
+                    old[1:] = key, i, windows[i:i + m].copy(), row
+        self.rows += len(a)
+        self.size += self.ROW * len(a)
+
+    def batch(self):
+        import numpy as np
+        import pyarrow as pa
+
+        count, sizes, parts = np.zeros(self.rows, np.int64), np.zeros(self.rows + 1, np.int64), []
+        for c, _, _, w, row in sorted(self.seen.values(), key=lambda x: x[4]):
+            count[row], sizes[row + 1] = c, len(w)
+            parts.append(w)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
+        a, s, at = map(np.concatenate, (self.a, self.s, self.at))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(self.keys), pa.array(at, pa.int64()), pa.array(count), lists],
+                                          names=["a", "s", "doc", "at", "c", "windows"])
+
+
 def occurrences(docs: DataFrame, known, k: int, gram: int) -> DataFrame:
     """(a, s, doc, at, c, windows) of every path under a repeated minimizer.
 
-    In each batch one occurrence of a content, the first one, has c > 0, the number of its occurrences in the batch,
-    and the hashes of its windows; these rows are the pre-aggregated contents.
+    In each flushed batch one occurrence of a content, the first one, has c > 0, the number of its occurrences in the
+    batch, and the hashes of its windows; these rows are the pre-aggregated contents.
     """
     kind = docs.schema[0].dataType.simpleString()
 
     def scan(rows: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        bitmap = known.value
-        for batch in _each(rows, k, gram):
-            seen: dict[tuple[int, int], list] = {}
-            out, keys, base = [], [], 0
-            for key, (a, first, n, hashes, words) in batch:
-                hit = np.flatnonzero(_hit(bitmap, a, MAP_BITS))
-                if not len(hit):
-                    continue
-                windows, a, first, n = gram_hashes(hashes, k).view(np.int64), _signed(a[hit]), first[hit], n[hit]
-                s = _signed(np.array(_contents(words, first, n, k), np.uint64))
-                out.append((a, s, first))
-                keys += [key] * len(hit)
-                for j, (pair, i, m) in enumerate(zip(zip(a.tolist(), s.tolist()), first.tolist(), n.tolist()), base):
-                    if (old := seen.get(pair)) is None:
-                        seen[pair] = [1, key, i, windows[i:i + m], j]
-                    else:
-                        old[0] += 1
-                        if (key, i) < (old[1], old[2]):
-                            old[1:] = key, i, windows[i:i + m], j
-                base += len(hit)
-            if out:
-                a, s, at = (np.concatenate(x) for x in zip(*out))
-                count, sizes, parts = np.zeros(base, np.int64), np.zeros(base + 1, np.int64), []
-                for c, _, _, w, j in sorted(seen.values(), key=lambda x: x[4]):
-                    count[j], sizes[j + 1] = c, len(w)
-                    parts.append(w)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(keys), pa.array(at, pa.int64()), pa.array(count), lists],
-                                                 names=["a", "s", "doc", "at", "c", "windows"])
+        bitmap, pool = known.value, _Pool()
+        for key, (a, first, n, hashes, words) in _each(rows, k, gram):
+            hit = np.flatnonzero(_hit(bitmap, a, MAP_BITS))
+            if not len(hit):
+                continue
+            windows, a, first, n = gram_hashes(hashes, k).view(np.int64), _signed(a[hit]), first[hit], n[hit]
+            s = _signed(np.array(_contents(words, first, n, k), np.uint64))
+            for i in range(0, len(a), 1 << 16):  # a very long text fills several batches
+                j = slice(i, i + (1 << 16))
+                pool.add(key, a[j], s[j], first[j], n[j], windows)
+                if pool.size >= FLUSH_BYTES:
+                    yield pool.batch()
+                    pool = _Pool()
+        if pool.rows:
+            yield pool.batch()
 
     return docs.mapInArrow(scan, f"a long, s long, doc {kind}, at long, c long, windows array<long>")
 

@@ -46,6 +46,19 @@ def test_digests(spark, k, gram):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == plain(rows, k)
 
 
+@pytest.mark.parametrize("size", [1, 3000])
+def test_batches_flushed_by_bytes(spark, monkeypatch, size):
+    monkeypatch.setattr(B, "FLUSH_BYTES", size)
+    rows = passages(3) + [(900, "long " + " ".join(f"v{i % 997}" for i in range(200_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    known = spark.sparkContext.broadcast(B.bit_map(B.repeated_minimizers(df.select("doc_id", "text"), 20, 5)))
+    found = B.occurrences(df, known, 20, 5)
+    pairs = found.groupBy("a", "s").count().count()
+    assert found.where("c > 0").count() > pairs and found.selectExpr("sum(c) = count(*)").first()[0]
+    got = B.digests(df).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == plain(rows, 20)
+
+
 def test_awkward_documents(spark):
     rows = documents() + [(200, "z " * 20_000, None, None, None, None, None, None), (201, "z " * 30, None, None, None, None, None, None)]
     got = B.digests(frame(spark, rows)).collect()
