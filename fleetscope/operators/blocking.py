@@ -2,23 +2,22 @@
 
 Within a sample every session waits for at most one other session, so each session has exactly one
 path of blockers. Only sessions that block somebody can appear inside such a path; their paths are
-computed first, on that small set, by path doubling (each round joins every unfinished path with
-the path of the session it ends at, so the longest chain needs log2(length) rounds). Waiters then
-need a single join. A path stops at a session without blocker, at a blocker that was not sampled,
-or before the first session it already contains.
+walked first, on that small set, by doubling: level k knows the session 2^k steps ahead, and is made of
+level k - 1 alone, so the longest chain needs log2(length) rounds. Rounds join sessions and numbers, never
+paths. Waiters then need a single join. A path stops at a session without blocker, at a blocker that was
+not sampled, or before the first session it already contains; cycles are told by the levels, from distances.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.nulls import asc, glue, nz
 from ..functions.numbers import ratio, share
 from ..functions.times import ts
 from ..session import checkpoint
-from .aggregates import with_total
 from .topn import top_k
 
 
@@ -121,15 +120,157 @@ def _nodes(s: DataFrame, label: Column) -> DataFrame:
     )
 
 
-def _key(c: str) -> list[Column]:
-    return [F.col(f"{c}.inst"), F.col(f"{c}.sid")]
+SID = "struct<inst:bigint,sid:bigint>"
+WHOLE = "struct<inst:bigint,sid:bigint,serial:bigint>"
 
 
-def _append(path: Column, more: Column) -> tuple[Column, Column]:
-    """Position in more of the first node already in path (NULL if none), and that node."""
-    hits = F.filter(F.transform(more, lambda x, i: F.when(F.array_contains(path, x), i)), lambda i: i.isNotNull())
-    cut = F.try_element_at(hits, F.lit(1))
-    return cut, F.try_element_at(more, cut + 1)
+def _sid(c: str) -> Column:
+    """A session without its serial: what sessions meet by."""
+    return F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.inst").cast("bigint").alias("inst"), F.col(f"{c}.sid").cast("bigint").alias("sid")))
+
+
+# A chain of labels x0, x1, ... has the number x0 + x1*B + x2*B^2 + ... modulo a prime, so the numbers of two pieces
+# make that of both. Two such numbers, from different hashes of the labels, stand for a chain.
+PRIME = (1 << 61) - 1
+BASE = 0x1B873593CC9E2D51 % PRIME
+
+
+def _times(a: Column, b: Column) -> Column:
+    wide = lambda c: c.cast("decimal(19,0)")
+    return (wide(a) * wide(b) % F.lit(PRIME)).cast("bigint")
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return (a + b) % F.lit(PRIME)
+
+
+def _number(label: str, lane: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(lane), F.coalesce(F.col(label), F.lit(""))), F.lit(PRIME))
+
+
+LANES = ("h0", "h1")
+
+
+@dataclass
+class Walks:
+    """Blockers, where each one's path goes and how it ends, and the levels to walk by.
+
+    base: at, id, node, label, next of every sampled session that blocks somebody. ends: at, id, n (sessions on the path,
+    itself included), next (NULL for a true end), end ('leaf', 'idle': blocker not sampled, 'cycle': next is on the path)
+    and the path's number. Level k: of blockers with 2^k sessions ahead, the session behind these (`to`).
+    """
+
+    base: DataFrame
+    levels: list[DataFrame]
+    ends: DataFrame
+
+
+def _levels(base: DataFrame) -> tuple[list[DataFrame], list[int], bool]:
+    """Levels by doubling, each written once and made of the one before alone; how many sessions each has; and whether there are cycles.
+
+    Without cycles nobody is left in the end. What is left when two levels in a row reach the same sessions is on cycles or
+    leads to them: such a level only permutes the sessions that it reaches.
+    """
+    known = base.select(F.col("at"), F.col("id").alias("to"), F.lit(True).alias("sampled"))
+    first = base.withColumn("to", _sid("next")).join(known, ["at", "to"], "left")
+    to = F.when(F.col("sampled"), F.col("to"))
+    grown = first.select("at", "id", to.alias("to"), F.when(F.col("sampled").isNull(), F.col("next")).alias("out"), to.alias("low"),
+                         F.lit(True).alias("moved"), *[_number("label", i).alias(h) for i, h in enumerate(LANES)])
+    levels, sizes, before = [], [], None
+    while True:
+        seen = Observation()  # counted while the level is written
+        level = checkpoint(grown.observe(seen, F.count(F.lit(1)).alias("n"), F.count("to").alias("open"), F.count_if("moved").alias("moved")))
+        levels.append(level)
+        sizes.append(seen.get["n"])
+        if not seen.get["open"]:
+            return levels, sizes, False
+        if not seen.get["moved"] and before == seen.get["open"]:
+            image = [x.where(F.col("to").isNotNull()).select(F.count_distinct("at", "to")).scalar() for x in levels[-2:]]
+            if base.sparkSession.range(1).select((image[0] == image[1]).alias("same")).first()["same"]:
+                return levels, sizes, True
+        before, step = seen.get["open"], pow(BASE, 1 << (len(levels) - 1), PRIME)
+        ahead = level.select("at", F.col("id").alias("to"), F.struct("to", "out", "low", *LANES).alias("r"))
+        low = F.least("low", "r.low")
+        grown = level.where(F.col("to").isNotNull()).join(ahead, ["at", "to"]).select(
+            "at", "id", F.col("r.to").alias("to"), F.col("r.out").alias("out"), low.alias("low"), (low != F.col("low")).alias("moved"),
+            *[_plus(F.col(h), _times(F.lit(step), F.col(f"r.{h}"))).alias(h) for h in LANES])
+
+
+def _cycle_lengths(base: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """at, id, limit, entry of the sessions that are on a cycle or lead to one: path length, and where the path closes."""
+    last = levels[-1].where(F.col("to").isNotNull())
+    on = last.select("at", F.col("to").alias("id")).distinct()
+    ring = last.join(on, ["at", "id"])  # sessions of a cycle have its least session in common
+    size = ring.groupBy("at", "low").agg(F.count(F.lit(1)).alias("limit"))
+    ring = checkpoint(ring.select("at", "id", "low").join(size, ["at", "low"]).join(base.select("at", "id", F.col("node").alias("entry")), ["at", "id"])
+                      .select("at", "id", "limit", "entry"))
+    outside = checkpoint(last.select("at", "id").join(ring, ["at", "id"], "left_anti"))
+    if outside.isEmpty():
+        return ring
+    # the last session before the cycle: longest step first, steps onto the cycle not taken
+    walk = outside.select("at", "id", F.col("id").alias("cur"), F.lit(1).cast("bigint").alias("t"))
+    for k in reversed(range(len(levels))):
+        step = (levels[k].where(F.col("to").isNotNull()).select("at", F.col("id").alias("cur"), "to")
+                .join(outside.select("at", F.col("id").alias("to")), ["at", "to"], "left_semi"))
+        walk = walk.join(step, ["at", "cur"], "left").select(
+            "at", "id", F.coalesce("to", "cur").alias("cur"), (F.col("t") + F.when(F.col("to").isNull(), 0).otherwise(1 << k)).alias("t"))
+    door = base.select("at", F.col("id").alias("cur"), _sid("next").alias("door"))
+    found = walk.join(door, ["at", "cur"]).join(ring.withColumnRenamed("id", "door"), ["at", "door"])
+    return ring.unionByName(found.select("at", "id", (F.col("t") + F.col("limit")).alias("limit"), "entry"))
+
+
+def walks(nodes: DataFrame) -> Walks:
+    """Walks of the blockers among nodes (at, node, label, next). Nothing but sessions and numbers is joined in the rounds."""
+    nodes = nodes.withColumn("id", _sid("node"))
+    asked = nodes.where(F.col("next").isNotNull()).select("at", _sid("next").alias("id")).distinct()
+    base = checkpoint(nodes.join(asked, ["at", "id"], "left_semi").select("at", "id", "node", "label", "next"))
+    levels, sizes, cycles = _levels(base)
+    go = base.select("at", "id")
+    if cycles:
+        limits = checkpoint(_cycle_lengths(base, levels))
+        longest = limits.agg(F.max("limit")).first()[0]
+        # a level with no more sessions than the last one has those of cycles alone, and is of no use if they are shorter
+        levels = [x for k, x in enumerate(levels) if sizes[k] > sizes[-1] or 1 << k <= longest]
+        go = go.join(limits, ["at", "id"], "left")
+    else:
+        go = go.select("*", F.lit(None).cast("bigint").alias("limit"), F.lit(None).cast(WHOLE).alias("entry"))
+    zero = F.lit(0).cast("bigint")
+    go = go.select("*", F.col("id").alias("cur"), zero.alias("n"), F.lit(None).cast(WHOLE).alias("out"), F.lit(1).cast("bigint").alias("scale"), *[zero.alias(h) for h in LANES])
+    for k in reversed(range(len(levels))):
+        step = levels[k].select(F.col("at").alias("_at"), F.col("id").alias("_id"), F.struct("to", "out", *LANES).alias("r"))
+        fits = F.col("limit").isNull() | (F.col("n") + (1 << k) <= F.col("limit"))
+        went = F.col("r").isNotNull()
+        go = go.join(step, (F.col("at") == F.col("_at")) & (F.col("cur") == F.col("_id")) & fits, "left").select(
+            "at", "id", "limit", "entry", F.when(went, F.col("r.to")).otherwise(F.col("cur")).alias("cur"),
+            F.when(went, F.col("n") + (1 << k)).otherwise(F.col("n")).alias("n"), F.when(went, F.col("r.out")).otherwise(F.col("out")).alias("out"),
+            F.when(went, _times(F.col("scale"), F.lit(pow(BASE, 1 << k, PRIME)))).otherwise(F.col("scale")).alias("scale"),
+            *[F.when(went, _plus(F.col(h), _times(F.col("scale"), F.col(f"r.{h}")))).otherwise(F.col(h)).alias(h) for h in LANES])
+    closed = F.col("limit").isNotNull()
+    ends = checkpoint(go.select("at", "id", "n", F.when(closed, F.col("entry")).otherwise(F.col("out")).alias("next"),
+                                F.when(closed, "cycle").when(F.col("out").isNull(), "leaf").otherwise("idle").alias("end"), *LANES))
+    return Walks(base, levels, ends)
+
+
+def ancestors(w: Walks, start: DataFrame | None = None) -> DataFrame:
+    """at, id, dist, above: every session on the path of the given blockers (all by default), itself at distance 0.
+
+    start: at and id, once each, with n. A step of each level is taken or not, so each distance below n comes once.
+    """
+    go = (w.ends if start is None else start).select("at", "id", "n", F.col("id").alias("above"), F.lit(0).cast("bigint").alias("dist"))
+    for k, level in enumerate(w.levels):
+        step = level.where(F.col("to").isNotNull()).select(F.col("at").alias("_at"), F.col("id").alias("_id"), "to")
+        met = go.join(step, (F.col("at") == F.col("_at")) & (F.col("above") == F.col("_id")) & (F.col("dist") + (1 << k) < F.col("n")), "left")
+        stay = F.struct("above", "dist")
+        both = F.when(F.col("to").isNull(), F.array(stay)).otherwise(F.array(stay, F.struct(F.col("to").alias("above"), (F.col("dist") + (1 << k)).alias("dist"))))
+        go = met.select("at", "id", "n", F.explode(both).alias("g")).select("at", "id", "n", "g.above", "g.dist")
+    return go
+
+
+def _with_paths(w: Walks, start: DataFrame | None = None) -> DataFrame:
+    """at, id, path, labels of the given blockers: whole paths, put together in one aggregation."""
+    on = w.base.select("at", F.col("id").alias("above"), "node", "label")
+    steps = ancestors(w, start).join(on, ["at", "above"]).groupBy("at", "id").agg(F.sort_array(F.collect_list(F.struct("dist", "node", "label"))).alias("s"))
+    return steps.select("at", "id", F.col("s.node").alias("path"), F.col("s.label").alias("labels"))
 
 
 def blocker_paths(s: DataFrame, label: Column) -> DataFrame:
@@ -138,34 +279,9 @@ def blocker_paths(s: DataFrame, label: Column) -> DataFrame:
     Columns: at, node, path (from the session itself), labels along it, next (the blocker the last
     session waits for, NULL for a true end) and end: 'leaf', 'idle' (blocker not sampled) or 'cycle'.
     """
-    nodes = _nodes(s, label)
-    edges = nodes.where(F.col("next").isNotNull()).select("at", *[c.alias(n) for c, n in zip(_key("next"), ("inst", "sid"))]).distinct()
-    keyed = nodes.withColumns({"inst": F.col("node.inst"), "sid": F.col("node.sid")})
-    base = checkpoint(
-        keyed.join(edges, ["at", "inst", "sid"]).select(
-            "at", "node", F.array("node").alias("path"), F.array("label").alias("labels"), "next",
-            F.when(F.col("next").isNull(), "leaf").otherwise("open").alias("end"))
-    )
-    # finished paths stay where they were written; a round joins and writes the open ones alone
-    finished, open_ = [base.where("end <> 'open'")], base.where("end = 'open'")
-    while not open_.isEmpty():
-        known = reduce(DataFrame.unionByName, finished, open_)
-        step = known.select("at", *[c.alias(n) for c, n in zip(_key("node"), ("inst", "sid"))],
-                            F.struct("path", "labels", "next", "end").alias("r"))
-        met = open_.withColumns({"inst": F.col("next.inst"), "sid": F.col("next.sid")}).join(step, ["at", "inst", "sid"], "left")
-        cut, again = _append(F.col("path"), F.col("r.path"))
-        grown = checkpoint(met.withColumns({"cut": cut, "again": again}).select(
-            "at", "node",
-            F.when(F.col("r").isNull(), F.col("path"))
-            .otherwise(F.concat("path", F.slice(F.col("r.path"), F.lit(1), F.coalesce(F.col("cut"), F.size("r.path"))))).alias("path"),
-            F.when(F.col("r").isNull(), F.col("labels"))
-            .otherwise(F.concat("labels", F.slice(F.col("r.labels"), F.lit(1), F.coalesce(F.col("cut"), F.size("r.path"))))).alias("labels"),
-            F.when(F.col("r").isNull(), F.col("next")).when(F.col("cut").isNotNull(), F.col("again")).otherwise(F.col("r.next")).alias("next"),
-            F.when(F.col("r").isNull(), "idle").when(F.col("cut").isNotNull(), "cycle").otherwise(F.col("r.end")).alias("end"),
-        ))
-        finished.append(grown.where("end <> 'open'"))
-        open_ = grown.where("end = 'open'")
-    return reduce(DataFrame.unionByName, finished)
+    w = walks(_nodes(s, label))
+    return (w.ends.join(_with_paths(w), ["at", "id"]).join(w.base.select("at", "id", "node"), ["at", "id"])
+            .select("at", "node", "path", "labels", "next", "end"))
 
 
 def session_paths(s: DataFrame, label: Column, paths: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -173,18 +289,17 @@ def session_paths(s: DataFrame, label: Column, paths: DataFrame, keep: list[str]
     mine = s.select(
         F.col("sample_id").alias("at"), _node("inst_id", "session_id", "session_serial").alias("node"), label.alias("label"),
         _node("blocking_inst_id", "blocking_session", "blocking_session_serial").alias("next"), *keep)
-    known = paths.select("at", *[c.alias(n) for c, n in zip(_key("node"), ("inst", "sid"))],
-                         F.struct("path", "labels", "next", "end").alias("r"))
-    own = mine.withColumns({"inst": F.col("node.inst"), "sid": F.col("node.sid")}).join(known, ["at", "inst", "sid"], "left").drop("inst", "sid")
+    known = paths.select("at", _sid("node").alias("id"), F.struct("path", "labels", "next", "end").alias("r"))
+    own = mine.withColumn("id", _sid("node")).join(known, ["at", "id"], "left").drop("id")
     blockers = own.where(F.col("r").isNotNull()).select(*keep, "at", "node", "r.path", "r.labels", "r.next", "r.end")
     others = own.where(F.col("r").isNull()).drop("r")
     alone = others.where(F.col("next").isNull()).select(
         *keep, "at", "node", F.array("node").alias("path"), F.array("label").alias("labels"), "next", F.lit("leaf").alias("end"))
     # a session that blocks nobody cannot occur in its blocker's path, so the path is simply prefixed
-    waiting = (others.where(F.col("next").isNotNull()).withColumns({"inst": F.col("next.inst"), "sid": F.col("next.sid")})
-               .join(known, ["at", "inst", "sid"], "left")
+    waiting = (others.where(F.col("next").isNotNull()).withColumn("id", _sid("next"))
+               .join(known, ["at", "id"], "left")
                .select(*keep, "at", "node",
-                       F.concat(F.array("node"), F.coalesce("r.path", F.array().cast("array<struct<inst:bigint,sid:bigint,serial:bigint>>"))).alias("path"),
+                       F.concat(F.array("node"), F.coalesce("r.path", F.array().cast(f"array<{WHOLE}>"))).alias("path"),
                        F.concat(F.array("label"), F.coalesce("r.labels", F.array().cast("array<string>"))).alias("labels"),
                        F.when(F.col("r").isNull(), F.col("next")).otherwise(F.col("r.next")).alias("next"),
                        F.coalesce("r.end", F.lit("idle")).alias("end")))
@@ -196,39 +311,53 @@ def wait_chains(s: DataFrame, start: Column, label: Column, begin: str, end: str
     """Signatures of blocker chains from the sessions that meet start, with seconds, share and AAS.
 
     start restricts only where chains begin, never the blockers on the way. With idle_blocker a
-    chain whose last session still waits names that blocker.
+    chain whose last session still waits names that blocker. Chains are counted by their numbers; texts are
+    put together for the chains that can be among the k most frequent (more than k only where counts are equal).
     """
     rows = s.where(F.col("sample_time").between(ts(begin), ts(end)))
-    paths = blocker_paths(rows, label)
-    known = paths.select("at", *[c.alias(n) for c, n in zip(_key("node"), ("inst", "sid"))], F.lit(True).alias("is_blocker"))
-    first = _nodes(rows.where(start), label).withColumns({"inst": F.col("node.inst"), "sid": F.col("node.sid")}).join(known, ["at", "inst", "sid"], "left")
-    table = paths.select("at", *[c.alias(n) for c, n in zip(_key("node"), ("inst", "sid"))], "labels", F.col("next").alias("last"))
-    blank = F.array().cast("array<string>")
+    nodes = checkpoint(rows.select(
+        F.col("sample_id").alias("at"), _node("inst_id", "session_id", "session_serial").alias("node"), F.coalesce(label, F.lit("")).alias("label"),
+        _node("blocking_inst_id", "blocking_session", "blocking_session_serial").alias("next"), F.coalesce(start, F.lit(False)).alias("starts")))
+    w = walks(nodes.drop("starts"))
+    ends = w.ends.select("at", "id", "n", F.col("next").alias("last"), *LANES)
+    blockers = ends.select("at", "id", F.lit(True).alias("is_blocker"))
+    first = nodes.where("starts").withColumn("id", _sid("node")).join(blockers, ["at", "id"], "left")
     # sessions that block nobody differ only by label and blocker: count them before the join
-    plain = (first.where(F.col("is_blocker").isNull()).groupBy("at", "label", "next").agg(F.count(F.lit(1)).alias("cnt")))
-    free = plain.where(F.col("next").isNull()).select(F.array("label").alias("labels"), "next", "cnt")
-    held = (plain.where(F.col("next").isNotNull()).withColumns({"inst": F.col("next.inst"), "sid": F.col("next.sid")})
-            .join(table, ["at", "inst", "sid"], "left")
-            .select(F.concat(F.array("label"), F.coalesce("labels", blank)).alias("labels"),
-                    F.when(F.col("labels").isNull(), F.col("next")).otherwise(F.col("last")).alias("next"), "cnt"))
-    inside = (first.where(F.col("is_blocker")).select("at", "inst", "sid").join(table, ["at", "inst", "sid"])
-              .select("labels", F.col("last").alias("next"), F.lit(1).cast("bigint").alias("cnt")))
-    chain = F.array_join(F.transform("labels", lambda x: F.concat(F.lit(" -> "), F.coalesce(x, F.lit("")))), "")
-    counted = (free.unionByName(held).unionByName(inside)
-               .select(chain.alias("chain"), F.col("next") if idle_blocker else F.lit(None).cast("struct<inst:bigint,sid:bigint,serial:bigint>").alias("next"), "cnt")
-               .groupBy("chain", "next").agg(F.sum("cnt").alias("cnt")))
+    plain = (first.where(F.col("is_blocker").isNull()).groupBy("at", "label", "next").agg(F.count(F.lit(1)).alias("cnt"))
+             .withColumn("id", _sid("next")))
+    inside = first.where(F.col("is_blocker")).select("at", "id", F.lit(None).cast("string").alias("label"), F.lit(None).cast(WHOLE).alias("next"),
+                                                     F.lit(1).cast("bigint").alias("cnt"))
+    free = plain.where(F.col("id").isNull()).select("*", *[F.lit(None).alias(c) for c in ("n", "last", *LANES)])
+    met = plain.where(F.col("id").isNotNull()).unionByName(inside).join(ends, ["at", "id"], "left").unionByName(free)
+    own = [F.when(F.col("label").isNull(), F.col(h)).otherwise(
+        _plus(_number("label", i), F.when(F.col(h).isNull(), 0).otherwise(_times(F.lit(BASE), F.col(h))))).alias(h) for i, h in enumerate(LANES)]
+    length = F.coalesce("n", F.lit(0)) + F.when(F.col("label").isNull(), 0).otherwise(1)
+    last = F.when(F.col("n").isNull(), F.col("next")).otherwise(F.col("last")) if idle_blocker else F.lit(None).cast(WHOLE)
+    example = F.struct("label", F.when(F.col("n").isNotNull(), F.struct("at", "id", "n")).alias("above"))
+    # length is part of the key: labels may be empty
+    counted = checkpoint(met.select(*own, length.alias("length"), last.alias("next"), example.alias("example"), "cnt")
+                         .groupBy(*LANES, "length", "next").agg(F.sum("cnt").alias("cnt"), F.min("example").alias("example")))
+    most = counted.select("cnt").orderBy(F.col("cnt").desc()).limit(k).agg(F.min("cnt").alias("least"))
+    total = counted.agg(F.sum("cnt").alias("_total"))
+    shown = counted.where(F.col("cnt") >= most.scalar()).select("*", F.col("example.above.at").alias("at"), F.col("example.above.id").alias("id"))
+    above = shown.where(F.col("id").isNotNull()).select("at", "id", F.col("example.above.n").alias("n")).distinct()
+    texts = _with_paths(w, above).select("at", "id", "labels")
+    blank = F.array().cast("array<string>")
+    labels = F.concat(F.when(F.col("example.label").isNull(), blank).otherwise(F.array("example.label")), F.coalesce("labels", blank))
+    shown = shown.where(F.col("id").isNotNull()).join(texts, ["at", "id"]).unionByName(
+        shown.where(F.col("id").isNull()).withColumn("labels", blank))
+    shown = shown.withColumn("chain", F.array_join(F.transform(labels, lambda x: F.concat(F.lit(" -> "), x)), ""))
     if idle_blocker:
-        counted = counted.withColumns({"inst": F.col("next.inst"), "sid": F.col("next.sid"), "serial": F.col("next.serial")})
+        shown = shown.withColumns({"inst": F.col("next.inst"), "sid": F.col("next.sid"), "serial": F.col("next.serial")})
         if sessions is not None:
             names = sessions.select(F.col("inst_id").cast("bigint").alias("inst"), "sid", "serial", F.concat(F.lit(" ("), F.col("program"), F.lit(")")).alias("who"))
-            counted = counted.join(names, ["inst", "sid", "serial"], "left")
+            shown = shown.join(names, ["inst", "sid", "serial"], "left")
         else:
-            counted = counted.withColumn("who", F.lit(None).cast("string"))
+            shown = shown.withColumn("who", F.lit(None).cast("string"))
         tail = F.when(F.col("sid").isNotNull(), glue(F.lit(" -> [idle blocker "), F.col("inst"), F.lit(","), F.col("sid"), F.lit(","), F.col("serial"), F.col("who"), F.lit("]")))
-        counted = counted.withColumn("chain", F.concat_ws("", "chain", tail))
-    by_chain = counted.groupBy("chain").agg(F.sum("cnt").alias("cnt"))
+        shown = shown.withColumn("chain", F.concat_ws("", "chain", tail))
     seconds = F.timestamp_diff("SECOND", ts(begin), ts(end))
-    return top_k(with_total(by_chain, "cnt", "_total"), [F.col("cnt").desc(), asc("chain")], k).select(
+    return top_k(shown.select("chain", "cnt", total.scalar().alias("_total")), [F.col("cnt").desc(), asc("chain")], k).select(
         share("cnt", "_total").alias("share"), (F.col("cnt") * weight).alias("seconds"),
         ratio(F.col("cnt") * weight, seconds, 1).alias("aas"), F.col("chain").alias("wait_chain"))
 
@@ -241,22 +370,25 @@ def hang_tree(s: DataFrame, texts: DataFrame | None = None, roots: Column | None
     the root it was reached from. text_chars cuts the statement text for print; whole texts otherwise.
     """
     flagged = s.where(F.col("hangchain_info") == "Y").select("sample_id").distinct()
-    rows = s.join(flagged, "sample_id", "left_semi")
-    label = F.lit("")
-    paths = blocker_paths(rows, label)
     keep = ["sample_time", "event", "time_waited", "session_type", "sql_id", "seq_no"]
-    full = session_paths(rows, label, paths, keep)
+    rows = checkpoint(s.join(flagged, "sample_id", "left_semi").select(
+        F.col("sample_id").alias("at"), *keep, _node("inst_id", "session_id", "session_serial").alias("node"), F.lit("").alias("label"),
+        _node("blocking_inst_id", "blocking_session", "blocking_session_serial").alias("next")))
+    w = walks(rows.select("at", "node", "label", "next"))
     # walking up from a session is walking down from each of its blockers, read backwards
-    out = full.select(
-        F.col("at").alias("sample_id"), *keep, "node", "end", F.col("next").alias("back"), F.size("path").alias("n"),
-        F.posexplode("path").alias("pos", "root_node"))
-    closes = (F.col("end") == "cycle") & (F.col("pos") == F.col("n") - 1) & (F.col("back.sid") == F.col("node.sid")) & (F.col("back.inst") == F.col("node.inst"))
-    out = out.select(
-        "sample_id", "sample_time", F.col("root_node.inst").alias("root_inst"), F.col("root_node.sid").alias("root_session"),
-        (F.col("pos") + 1).alias("level"), F.col("node.inst").alias("inst_id"), F.col("node.sid").alias("session_id"),
-        F.col("node.serial").alias("session_serial"), F.col("seq_no").alias("wait_seq"),
-        F.when(closes, "YES").otherwise("NO").alias("in_cycle"), F.coalesce("event", F.lit("Not in wait.")).alias("wait_event"),
-        "time_waited", "session_type", "sql_id")
+    ends = w.ends.select("at", "id", F.lit(True).alias("is_blocker"), F.when(F.col("end") == "cycle", _sid("next")).alias("back"))
+    own = rows.withColumn("id", _sid("node")).join(ends, ["at", "id"], "left")
+    other = F.col("is_blocker").isNull()
+    alone = own.where(other).select("at", *keep, "node", F.col("id").alias("above"), F.lit(1).cast("bigint").alias("level"), F.lit("NO").alias("in_cycle"))
+    asks = own.withColumns({"start": F.when(other, _sid("next")).otherwise(F.col("id")), "shift": F.when(other, 2).otherwise(1)}).drop("id")
+    closes = (F.col("back") == F.col("start")) & (F.col("dist") == F.col("n") - 1) & ~other
+    under = asks.where(F.col("start").isNotNull()).join(ancestors(w).withColumnRenamed("id", "start"), ["at", "start"]).select(
+        "at", *keep, "node", "above", (F.col("dist") + F.col("shift")).alias("level"), F.when(closes, "YES").otherwise("NO").alias("in_cycle"))
+    out = alone.unionByName(under).select(
+        F.col("at").alias("sample_id"), "sample_time", F.col("above.inst").alias("root_inst"), F.col("above.sid").alias("root_session"),
+        F.col("level").cast("int").alias("level"), F.col("node.inst").alias("inst_id"), F.col("node.sid").alias("session_id"),
+        F.col("node.serial").alias("session_serial"), F.col("seq_no").alias("wait_seq"), "in_cycle",
+        F.coalesce("event", F.lit("Not in wait.")).alias("wait_event"), "time_waited", "session_type", "sql_id")
     if roots is not None:
         out = out.where(roots)
     if texts is not None:
