@@ -42,14 +42,15 @@ def _(t):
 def _collected(t):
     """Parameters of DAY from every instance that is collected; instances without any are not reachable. Some are collected twice."""
     from ..session import scratch_dir
-    path, landing = scratch_dir(t.spark, "fleet"), scratch_dir(t.spark, "instances")
+    path, landing, groups = scratch_dir(t.spark, "fleet"), scratch_dir(t.spark, "instances"), 512
     day = t.param_hist.where(F.col("date_collected") == F.lit(DAY).cast("timestamp_ntz"))
-    day.select(F.col("inst_id").alias("id"), "param_name", "param_value").repartition("id").write.partitionBy("id").parquet(landing)
-    registry = N.live_instances(t.instances, first_node=True, billed=True, primary=True).select("id")
-    connect = fleet.folder_rows(landing, ["param_name", "param_value"])
+    day = day.select(F.col("inst_id").alias("id"), "param_name", "param_value", fleet.slot_of("inst_id", groups).alias(fleet.SLOT))
+    day.repartition(fleet.SLOT).write.partitionBy(fleet.SLOT).parquet(landing)
+    registry = N.live_instances(t.instances, first_node=True, billed=True, primary=True).select("id", fleet.slot_of("id", groups).alias(fleet.SLOT))
+    connect = fleet.grouped_rows(landing, ["param_name", "param_value"])
     schema = "param_name string, param_value string"
-    errors = fleet.collect_at_once(registry, connect, schema, DAY, path, "parameters")
-    fleet.collect_at_once(registry.where("id % 3 = 0"), connect, schema, DAY, path, "parameters")
+    errors = fleet.collect_at_once(registry, connect, schema, DAY, path, "parameters", group=fleet.SLOT)
+    fleet.collect_at_once(registry.where("id % 3 = 0"), connect, schema, DAY, path, "parameters", group=fleet.SLOT)
     return t.spark.read.parquet(path), errors
 
 

@@ -319,3 +319,27 @@ def test_two_instance_compare_uses_text_null_sentinel(spark):
     df = spark.createDataFrame(rows_, "inst_id long, date_collected timestamp_ntz, param_name string, param_value string, spparam_value string, d string").withColumn("param_isdefault", F.lit("TRUE"))
     inst = spark.createDataFrame([(1, "i1"), (2, "i2")], "id long, instance_name string")
     assert rows(config_reports.compare_instances(df, inst, "i1", "i2"), "param_name", "difference_in") == [("q", "spfile")]
+
+
+def test_snapshot_files_follow_days_not_sources(spark, tmp_path):
+    path = str(tmp_path / "h")
+    df = spark.range(600).selectExpr("nullif(id, 0) AS inst_id", "timestamp_ntz'2024-01-01' + make_dt_interval(id % 2) AS date_collected", "'a' AS v")
+    df = df.union(df.where("inst_id = 8"))
+    fleet.write_snapshot(df, path)
+    again = df.where("inst_id = 7 OR inst_id IS NULL").select("inst_id", "date_collected", F.lit("b").alias("v"))
+    for _ in range(2):
+        fleet.write_snapshot(again, path)
+    got = rows(spark.read.parquet(path), "inst_id", "v")
+    assert got == sorted(((i or None, "b" if i in (0, 7) else "a") for i in [*range(600), 8]), key=lambda t: tuple((x is None, str(x)) for x in t))
+    assert len(list((tmp_path / "h").rglob("*.parquet"))) <= 2 * fleet.SLOTS
+
+
+def test_sources_that_share_files(spark, tmp_path):
+    """Sources of one group read its files once; one without rows is not reachable."""
+    path, landing = str(tmp_path / "snap"), str(tmp_path / "landing")
+    held = spark.range(300).where("id % 3 <> 0").withColumn(fleet.SLOT, fleet.slot_of("id", 4)).selectExpr("id", "'p' AS name", fleet.SLOT)
+    held.repartition(fleet.SLOT).write.partitionBy(fleet.SLOT).parquet(landing)
+    registry = spark.range(310).withColumn(fleet.SLOT, fleet.slot_of("id", 4)).withColumn(fleet.SLOT, F.when(F.col("id") >= 300, 9).otherwise(F.col(fleet.SLOT)))
+    errors = fleet.collect_at_once(registry, fleet.grouped_rows(landing, ["name"]), "name string", "2024-01-01", path, group=fleet.SLOT)
+    assert rows(errors, "inst_id", "error") == sorted(((i, f"source {i} has nothing to read") for i in range(310) if i % 3 == 0 or i >= 300), key=lambda t: str(t[0]))
+    assert rows(spark.read.parquet(path), "inst_id", "name") == sorted(((i, "p") for i in range(300) if i % 3), key=lambda t: str(t[0]))
