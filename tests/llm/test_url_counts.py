@@ -30,3 +30,25 @@ def test_joined_counts_score_the_same(spark, monkeypatch):
     assert len(one) == len(two) == 200 + len(odd)
     for k, r in one.items():
         assert abs(r["score"] - two[k]["score"]) < 1e-9 and r["verdict"] == two[k]["verdict"] and r["rule"] == two[k]["rule"]
+
+
+def test_every_url_decides_the_threshold(spark, monkeypatch):
+    """The threshold against a plain cross-fit over all URLs, which a sample of some of them misses."""
+    urls = [f"http://{'ads' if i % 3 == 0 else 'good'}{'.x' if i % 7 else '-q'}.org/p{i * i % 89}/{i}" for i in range(300)]
+    pages = spark.createDataFrame([(u,) for u in urls + urls[:5]], "url string")
+    texts = {r.t: (r.bad, r.fold) for r in spark.createDataFrame([(u[7:],) for u in urls], "t string").selectExpr(
+        "t", "split(t, '[^a-z0-9]+')[0] = 'ads' AS bad", "pmod(xxhash64(t), 2) AS fold").collect()}
+
+    def model(bad, folds):
+        return U.Model(Counter(g for t, (b, k) in texts.items() if b == bad and k in folds for s in [U.START * 4 + t + U.END]
+                               for i in range(4, len(s)) for g in [s[i - n:i + 1] for n in range(5)]))
+
+    by_fold = [U.Filter(model(False, [1 - k]), model(True, [1 - k]), 4) for k in (0, 1)]
+    scores = sorted((round(by_fold[k].score(t), 9), b) for t, (b, k) in texts.items())
+    good, bad = sum(not b for _, b in scores), sum(b for _, b in scores)
+    cuts = [scores[0][0] - 1, *[(x + y) / 2 for (x, _), (y, _) in zip(scores, scores[1:]) if x < y], scores[-1][0] + .5]
+    best = min((round(sum(not b for x, b in scores if x < c) / good + sum(b for x, b in scores if x > c) / bad, 12), c) for c in cuts)
+    f = U.train(pages)
+    assert abs(f.threshold - min(best[1], 0.0)) < 1e-9
+    monkeypatch.setattr(U, "BROADCAST_GRAMS", 0)
+    assert abs(U.train(pages).threshold - f.threshold) < 1e-8
