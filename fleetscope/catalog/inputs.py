@@ -1,14 +1,14 @@
 """Input relations derived from the shared test tables.
 
-Each view is one portable SELECT: Spark runs it to feed an operator, and the expected-result
-SQL embeds the same text. `{name}` refers to a test table or an earlier view.
+Each view is one portable SELECT: Spark runs it to feed an operator (or its form in FRAMES, which gives the
+same rows), and the expected-result SQL embeds the same text. `{name}` refers to a test table or an earlier view.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -214,6 +214,32 @@ SELECT CAST(date_trunc('YEAR', l_shipdate) AS TIMESTAMP_NTZ) AS date_collected,
 FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {part} ON p_partkey = l_partkey) x WHERE rn = 1
 """
 
+# The first line of each threshold in the order of the view's window, and what the view shows of it.
+_THRESHOLD_LINES = """
+SELECT CAST(date_trunc('YEAR', l_shipdate) AS TIMESTAMP_NTZ) AS date_collected, s_name AS target_name, p_brand AS metric,
+  CASE WHEN p_size % 5 = 0 THEN NULL ELSE l_linestatus END AS key_value,
+  struct(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate, p_size, l_suppkey, s_nationkey) AS line
+FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {part} ON p_partkey = l_partkey
+"""
+_THRESHOLD_COLUMNS = """date_collected; line.l_returnflag AS target_type; target_name; metric; key_value
+CASE WHEN line.p_size % 4 = 0 THEN NULL ELSE CAST(CAST(floor(line.l_quantity / 10) AS BIGINT) AS STRING) END AS warning_threshold
+CAST(line.l_linenumber AS STRING) AS critical_threshold
+CASE WHEN line.l_suppkey % 9 = 0 THEN NULL ELSE concat('G', CAST((line.l_suppkey + extract(YEAR FROM line.l_shipdate)) % 4 AS STRING)) END AS groups_grid
+concat('host', CAST(line.s_nationkey AS STRING)) AS host_name; CASE WHEN line.p_size % 2 = 0 THEN '>' ELSE '<' END AS comparison_operator
+line.l_linenumber AS occurrence_count; concat(CAST(5 * (1 + line.p_size % 3) AS STRING), ' Min') AS collection_frequency
+CASE WHEN line.l_linenumber = 7 THEN 0 WHEN line.l_linenumber = 6 THEN NULL ELSE 1 END AS is_enabled"""
+
+
+def thresholds(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of the view thresholds by an aggregation: unlike the view's window it lets filters on its keys down to the scans, and
+    falls away where only distinct keys or their extremes are asked for (the latest date)."""
+    first = spark.sql(_THRESHOLD_LINES, **tables).groupBy("date_collected", "target_name", "metric", "key_value").agg(F.min("line").alias("line"))
+    return first.selectExpr(*[c for line in _THRESHOLD_COLUMNS.splitlines() for c in line.split("; ")])
+
+
+# Views that Spark gets in another form, of the same rows.
+FRAMES = {"thresholds": thresholds}
+
 VIEWS["targets"] = """
 SELECT s_suppkey AS target_guid, s_name AS target_name, CASE WHEN s_suppkey % 3 = 0 THEN 'host' ELSE 'database' END AS target_type,
   concat('host', CAST(s_nationkey AS STRING)) AS host_name FROM {supplier}
@@ -335,7 +361,8 @@ class Inputs:
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
-                df = self.spark.sql(VIEWS[name], **{r: getattr(self, r) for r in references(name)})
+                tables = {r: getattr(self, r) for r in references(name)}
+                df = FRAMES[name](self.spark, tables) if name in FRAMES else self.spark.sql(VIEWS[name], **tables)
             self._seen[name] = df
         return self._seen[name]
 

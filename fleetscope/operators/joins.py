@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpoint
 
 
 def enrich(df: DataFrame, dim: DataFrame, on: str | list[str]) -> DataFrame:
@@ -54,17 +55,19 @@ def _not_in_with_nulls(df: DataFrame, other: DataFrame, cols: list[str]) -> Data
     Two combinations could be equal if they agree in the columns that both have set. Which columns those are follows
     from the two null patterns, so every distinct combination gets one key per pattern of the other side that occurs:
     both patterns, and its values in the common columns. One equi semi join of the keys finds the combinations to drop.
+    Distinct combinations are written out, since patterns and keys both come from them.
     """
+    values, others = checkpoint(df.select(*cols).distinct()), checkpoint(other.select(*cols).distinct())
     pattern = F.concat(*[F.when(F.isnull(c), "0").otherwise("1") for c in cols])
 
     def keyed(d: DataFrame, against: DataFrame, mine_first: bool) -> DataFrame:
         theirs = against.select(F.array_sort(F.collect_set(pattern))).scalar()  # 2 ** len(cols) at most
-        out = d.select(*cols).distinct().select(*cols, pattern.alias("_mine"), F.explode(theirs).alias("_theirs"))
+        out = d.select(*cols, pattern.alias("_mine"), F.explode(theirs).alias("_theirs"))
         common = F.array(*[F.when(F.substring("_theirs", i, 1) == "1", F.col(c).cast("string")) for i, c in enumerate(cols, 1)])
         pair = ("_mine", "_theirs") if mine_first else ("_theirs", "_mine")
         return out.select(*cols, F.struct(*[F.col(x).alias(n) for x, n in zip(pair, "lr")], common.alias("v")).alias("_key"))
 
-    dropped = keyed(df, other, True).join(keyed(other, df, False).select("_key").distinct(), "_key", "left_semi").select(*cols).distinct()
+    dropped = keyed(values, others, True).join(keyed(others, values, False).select("_key").distinct(), "_key", "left_semi").select(*cols).distinct()
     return not_in(df, dropped, cols)
 
 

@@ -87,3 +87,41 @@ def test_mixed_conditions_of_the_activity_report(spark, saved):
     rows = activity_reports.ash_dimensions(filters.between_time(saved, start, end), []).join(t.users.select("user_id", "username"), "user_id", "left")
     want = rows.where(both[0]).where(both[1]).groupBy("event_text").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["event_text"]: r["total_seconds"] for r in got.collect()} == {r["event_text"]: r["n"] for r in want} and want
+
+
+def test_thresholds_come_from_an_aggregation(spark, tmp_path):
+    """Same rows as the view; day filters reach the scan, and the latest date needs neither names nor a window."""
+    import datetime as dt
+
+    from fleetscope.catalog import inputs
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    rows = [(None if i % 13 == 0 else i % 40, i % 7 if i % 11 else None, i % 5, 1 + i % 7 if i % 17 else None, float(i % 50) if i % 19 else None, float(i), "RAN"[i % 3], "OF"[i % 2],
+             dt.datetime(1995 + i % 4, 5, 1) if i % 23 else None) for i in range(600)]
+    tables = {"lineitem": (rows + rows[:50], line), "supplier": ([(i, f"s{i // 2}" if i else None, i * 3) for i in range(4)], "s_suppkey long, s_name string, s_nationkey int"),
+              "part": ([(i, f"b{i % 2}" if i else None, i + 3 if i != 5 else None) for i in range(6)], "p_partkey long, p_brand string, p_size int")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = inputs.Inputs(spark, str(tmp_path))
+    view = spark.sql(inputs.VIEWS["thresholds"], **{n: getattr(t, n) for n in tables})
+    assert t.thresholds.schema.simpleString() == view.schema.simpleString()
+    assert t.thresholds.exceptAll(view).count() == view.exceptAll(t.thresholds).count() == 0 < view.count()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    latest = plan(t.thresholds.where("date_collected = timestamp_ntz'1998-01-01 00:00:00'"))
+    assert "Window" not in latest and "1998-01-01" in latest[latest.index("Join"):]
+    assert "s_name" not in plan(t.thresholds.selectExpr("max(date_collected)")).split("Relation")[0]
+
+
+def test_not_in_reads_its_rows_once_for_patterns(spark):
+    """The distinct combinations are computed once: the rows are read for them and for the result, not for every key."""
+    from fleetscope.operators.joins import not_in
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for b in rows:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1, "a"), (1, None), (None, "b"), (3, "c"), (3, "c")], "x long, y string").mapInArrow(count, "x long, y string")
+    other = spark.createDataFrame([(1, None), (2, "b")], "x long, y string")
+    assert [tuple(r) for r in not_in(df, other, ["x", "y"], null_safe=False).collect()] == [(3, "c")] * 2
+    assert seen.value <= 10
