@@ -88,7 +88,7 @@ def _label():
 def _(t):
     rows = t.samples.where(F.col("sample_time").between(START, END))
     label = F.concat(F.coalesce("event", F.lit("ON CPU")), F.lit(" "))
-    full = B.session_paths(rows, label, B.blocker_paths(rows, label))
+    full = B.sampled_paths(rows, label)
     return full.select(F.col("at").alias("sample_id"), F.col("node.sid").alias("session_id"), F.size("path").alias("length"),
                        F.concat(F.lit(" -> "), F.array_join("labels", " -> ")).alias("chain"))
 
@@ -130,9 +130,7 @@ def _(t):
 
 @query("r10_hang_tree_from_true_roots", f"SELECT h.* FROM ({HANG}) h JOIN samples r ON r.sample_id = h.sample_id AND r.session_id = h.root_session WHERE r.blocking_session IS NULL")
 def _(t):
-    tree = B.hang_tree(t.samples, t.statements)
-    tops = t.samples.where("blocking_session IS NULL").select("sample_id", F.col("session_id").alias("root_session"))
-    return tree.join(tops, ["sample_id", "root_session"], "left_semi").select(*HANG_COLS)
+    return B.hang_tree(t.samples, t.statements, true_roots=True).select(*HANG_COLS)
 
 
 @query("r10_blockers_of_hangs", """SELECT s.sample_time, s.session_id, s.event, s.program, h.blocked_sessions FROM samples s JOIN

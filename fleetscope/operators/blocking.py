@@ -5,7 +5,8 @@ path of blockers. Only sessions that block somebody can appear inside such a pat
 walked first, on that small set, by doubling: level k knows the session 2^k steps ahead, and is made of
 level k - 1 alone, so the longest chain needs log2(length) rounds. Rounds join sessions and numbers, never
 paths. Waiters then need a single join. A path stops at a session without blocker, at a blocker that was
-not sampled, or before the first session it already contains; cycles are told by the levels, from distances.
+not sampled, or before the first session it already contains. Two sessions that wait for each other are told by the first join
+and end the levels; longer cycles are told by the levels, from distances.
 """
 
 from __future__ import annotations
@@ -122,6 +123,7 @@ def _nodes(s: DataFrame, label: Column) -> DataFrame:
 
 SID = "struct<inst:bigint,sid:bigint>"
 WHOLE = "struct<inst:bigint,sid:bigint,serial:bigint>"
+KINDS = {"node": WHOLE, "label": "string"}
 
 
 def _sid(c: str) -> Column:
@@ -153,29 +155,40 @@ LANES = ("h0", "h1")
 
 @dataclass
 class Walks:
-    """Blockers, where each one's path goes and how it ends, and the levels to walk by.
+    """Blockers and the levels to walk by.
 
-    base: at, id, node, label, next of every sampled session that blocks somebody. ends: at, id, n (sessions on the path,
-    itself included), next (NULL for a true end), end ('leaf', 'idle': blocker not sampled, 'cycle': next is on the path)
-    and the path's number. Level k: of blockers with 2^k sessions ahead, the session behind these (`to`).
+    base: at, id, node, label, next of every sampled session that blocks somebody; ring: it waits for itself, or for a session
+    that waits for it. Level k: of blockers with 2^k sessions ahead, the session behind these (`to`). Levels stop at rings, so these
+    cost no rounds; longer cycles are in limits (at, id, limit: path length, entry: where it closes), None if there are none.
     """
 
     base: DataFrame
     levels: list[DataFrame]
-    ends: DataFrame
+    limits: DataFrame | None
+    numbered: bool
 
 
-def _levels(base: DataFrame) -> tuple[list[DataFrame], list[int], bool]:
+def _beside(id_: str, next_: str, ring: str) -> Column:
+    """The other session of a ring of two."""
+    return F.when(F.col(ring) & (F.col(id_) != _sid(next_)), _sid(next_))
+
+
+def _levels(base: DataFrame, numbered: bool) -> tuple[list[DataFrame], list[int], bool]:
     """Levels by doubling, each written once and made of the one before alone; how many sessions each has; and whether there are cycles.
 
-    Without cycles nobody is left in the end. What is left when two levels in a row reach the same sessions is on cycles or
-    leads to them: such a level only permutes the sessions that it reaches.
+    Rings are ends: more says how many sessions follow there (0 or 1), beside is the one that follows `to`. Without longer cycles
+    nobody is left in the end. What is left when two levels in a row reach the same sessions is on cycles or leads to them: such
+    a level only permutes the sessions that it reaches.
     """
-    known = base.select(F.col("at"), F.col("id").alias("to"), F.lit(True).alias("sampled"))
+    lanes = LANES if numbered else ()
+    known = base.select("at", F.col("id").alias("to"), F.lit(True).alias("sampled"), _beside("id", "next", "ring").alias("beside"),
+                        *[_number("label", i).alias(f"to_{h}") for i, h in enumerate(lanes)])
     first = base.withColumn("to", _sid("next")).join(known, ["at", "to"], "left")
-    to = F.when(F.col("sampled"), F.col("to"))
-    grown = first.select("at", "id", to.alias("to"), F.when(F.col("sampled").isNull(), F.col("next")).alias("out"), to.alias("low"),
-                         F.lit(True).alias("moved"), *[_number("label", i).alias(h) for i, h in enumerate(LANES)])
+    to, more = F.when(~F.col("ring") & F.col("sampled"), F.col("to")), F.when(F.col("ring"), F.when(F.col("id") == F.col("to"), 0).otherwise(1))
+    out = F.when(F.col("ring"), F.col("node")).when(F.col("sampled").isNull(), F.col("next"))
+    numbers = [F.when(more == 1, _plus(_number("label", i), _times(F.lit(BASE), F.col(f"to_{h}")))).otherwise(_number("label", i)).alias(h) for i, h in enumerate(lanes)]
+    grown = first.select("at", "id", to.alias("to"), F.when(~F.col("ring"), F.col("beside")).alias("beside"), out.alias("out"), more.alias("more"),
+                         F.col("id").alias("last"), to.alias("low"), F.lit(True).alias("moved"), *numbers)
     levels, sizes, before = [], [], None
     while True:
         seen = Observation()  # counted while the level is written
@@ -189,11 +202,11 @@ def _levels(base: DataFrame) -> tuple[list[DataFrame], list[int], bool]:
             if base.sparkSession.range(1).select((image[0] == image[1]).alias("same")).first()["same"]:
                 return levels, sizes, True
         before, step = seen.get["open"], pow(BASE, 1 << (len(levels) - 1), PRIME)
-        ahead = level.select("at", F.col("id").alias("to"), F.struct("to", "out", "low", *LANES).alias("r"))
+        ahead = level.select("at", F.col("id").alias("to"), F.struct("to", "beside", "out", "more", "last", "low", *lanes).alias("r"))
         low = F.least("low", "r.low")
         grown = level.where(F.col("to").isNotNull()).join(ahead, ["at", "to"]).select(
-            "at", "id", F.col("r.to").alias("to"), F.col("r.out").alias("out"), low.alias("low"), (low != F.col("low")).alias("moved"),
-            *[_plus(F.col(h), _times(F.lit(step), F.col(f"r.{h}"))).alias(h) for h in LANES])
+            "at", "id", *[F.col(f"r.{c}").alias(c) for c in ("to", "beside", "out", "more", "last")], low.alias("low"), (low != F.col("low")).alias("moved"),
+            *[_plus(F.col(h), _times(F.lit(step), F.col(f"r.{h}"))).alias(h) for h in lanes])
 
 
 def _cycle_lengths(base: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -219,58 +232,91 @@ def _cycle_lengths(base: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return ring.unionByName(found.select("at", "id", (F.col("t") + F.col("limit")).alias("limit"), "entry"))
 
 
-def walks(nodes: DataFrame) -> Walks:
-    """Walks of the blockers among nodes (at, node, label, next). Nothing but sessions and numbers is joined in the rounds."""
+def walks(nodes: DataFrame, numbered: bool = False) -> Walks:
+    """Walks of the blockers among nodes (at, node, label, next). Nothing but sessions and numbers is joined in the rounds.
+
+    numbered: levels also have the numbers of their label chains.
+    """
     nodes = nodes.withColumn("id", _sid("node"))
-    asked = nodes.where(F.col("next").isNotNull()).select("at", _sid("next").alias("id")).distinct()
-    base = checkpoint(nodes.join(asked, ["at", "id"], "left_semi").select("at", "id", "node", "label", "next"))
-    levels, sizes, cycles = _levels(base)
-    go = base.select("at", "id")
-    if cycles:
-        limits = checkpoint(_cycle_lengths(base, levels))
-        longest = limits.agg(F.max("limit")).first()[0]
-        # a level with no more sessions than the last one has those of cycles alone, and is of no use if they are shorter
-        levels = [x for k, x in enumerate(levels) if sizes[k] > sizes[-1] or 1 << k <= longest]
-        go = go.join(limits, ["at", "id"], "left")
+    waits = nodes.where(F.col("next").isNotNull()).select("at", _sid("next").alias("id"), F.col("id").alias("waiter"))
+    base = checkpoint(nodes.join(waits, ["at", "id"]).groupBy("at", "id", "node", "label", "next").agg(
+        F.coalesce(F.bool_or(F.col("waiter") == _sid("next")), F.lit(False)).alias("ring")))
+    levels, sizes, cycles = _levels(base, numbered)
+    if not cycles:
+        return Walks(base, levels, None, numbered)
+    limits = checkpoint(_cycle_lengths(base, levels))
+    longest = limits.agg(F.max("limit")).first()[0]
+    # a level with no more sessions than the last one has those of cycles alone, and is of no use if they are shorter
+    return Walks(base, [x for k, x in enumerate(levels) if sizes[k] > sizes[-1] or 1 << k <= longest], limits, numbered)
+
+
+def ends(w: Walks) -> DataFrame:
+    """Where each blocker's path goes and how it ends: at, id, n (sessions on the path, itself included), next (NULL for a true
+    end), end ('leaf', 'idle': blocker not sampled, 'cycle': next is on the path), last (NULL in longer cycles) and the path's numbers."""
+    lanes = LANES if w.numbered else ()
+    go = w.base.select("at", "id")
+    if w.limits is not None:
+        go = go.join(w.limits, ["at", "id"], "left")
     else:
         go = go.select("*", F.lit(None).cast("bigint").alias("limit"), F.lit(None).cast(WHOLE).alias("entry"))
     zero = F.lit(0).cast("bigint")
-    go = go.select("*", F.col("id").alias("cur"), zero.alias("n"), F.lit(None).cast(WHOLE).alias("out"), F.lit(1).cast("bigint").alias("scale"), *[zero.alias(h) for h in LANES])
-    for k in reversed(range(len(levels))):
-        step = levels[k].select(F.col("at").alias("_at"), F.col("id").alias("_id"), F.struct("to", "out", *LANES).alias("r"))
+    go = go.select("*", F.col("id").alias("cur"), zero.alias("n"), F.lit(None).cast(WHOLE).alias("out"), F.lit(None).cast("int").alias("more"),
+                   F.lit(None).cast(SID).alias("last"), *([F.lit(1).cast("bigint").alias("scale")] if lanes else []), *[zero.alias(h) for h in lanes])
+    for k in reversed(range(len(w.levels))):
+        step = w.levels[k].select(F.col("at").alias("_at"), F.col("id").alias("_id"), F.struct("to", "out", "more", "last", *lanes).alias("r"))
         fits = F.col("limit").isNull() | (F.col("n") + (1 << k) <= F.col("limit"))
         went = F.col("r").isNotNull()
+        scale = [F.when(went, _times(F.col("scale"), F.lit(pow(BASE, 1 << k, PRIME)))).otherwise(F.col("scale")).alias("scale")] if lanes else []
         go = go.join(step, (F.col("at") == F.col("_at")) & (F.col("cur") == F.col("_id")) & fits, "left").select(
             "at", "id", "limit", "entry", F.when(went, F.col("r.to")).otherwise(F.col("cur")).alias("cur"),
-            F.when(went, F.col("n") + (1 << k)).otherwise(F.col("n")).alias("n"), F.when(went, F.col("r.out")).otherwise(F.col("out")).alias("out"),
-            F.when(went, _times(F.col("scale"), F.lit(pow(BASE, 1 << k, PRIME)))).otherwise(F.col("scale")).alias("scale"),
-            *[F.when(went, _plus(F.col(h), _times(F.col("scale"), F.col(f"r.{h}")))).otherwise(F.col(h)).alias(h) for h in LANES])
+            F.when(went, F.col("n") + (1 << k)).otherwise(F.col("n")).alias("n"),
+            *[F.when(went, F.col(f"r.{c}")).otherwise(F.col(c)).alias(c) for c in ("out", "more", "last")], *scale,
+            *[F.when(went, _plus(F.col(h), _times(F.col("scale"), F.col(f"r.{h}")))).otherwise(F.col(h)).alias(h) for h in lanes])
     closed = F.col("limit").isNotNull()
-    ends = checkpoint(go.select("at", "id", "n", F.when(closed, F.col("entry")).otherwise(F.col("out")).alias("next"),
-                                F.when(closed, "cycle").when(F.col("out").isNull(), "leaf").otherwise("idle").alias("end"), *LANES))
-    return Walks(base, levels, ends)
+    return go.select(
+        "at", "id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.when(closed, F.col("entry")).otherwise(F.col("out")).alias("next"),
+        F.when(closed | F.col("more").isNotNull(), "cycle").when(F.col("out").isNull(), "leaf").otherwise("idle").alias("end"),
+        F.when(~closed, F.col("last")).alias("last"), *lanes)
 
 
 def ancestors(w: Walks, start: DataFrame | None = None) -> DataFrame:
-    """at, id, dist, above: every session on the path of the given blockers (all by default), itself at distance 0.
+    """at, id, dist, above: every session on the path of the given blockers (all by default), itself at distance 0; closes: the session
+    waits for id itself.
 
-    start: at and id, once each, with n. A step of each level is taken or not, so each distance below n comes once.
+    start: at and id, once each. A step of each level is taken or not, so each distance below the path's length comes once.
     """
-    go = (w.ends if start is None else start).select("at", "id", "n", F.col("id").alias("above"), F.lit(0).cast("bigint").alias("dist"))
+    one = F.when(F.col("ring"), F.when(F.col("id") == _sid("next"), 0).otherwise(1)).cast("bigint")
+    go = w.base.select("at", "id", one.alias("turn"), _beside("id", "next", "ring").alias("beside"))
+    if start is not None:
+        go = go.join(start.select("at", "id"), ["at", "id"], "left_semi")
+    limit = []
+    if w.limits is not None:
+        go, limit = go.join(w.limits, ["at", "id"], "left"), ["limit"]
+        go = go.withColumn("turn", F.coalesce("turn", F.when(_sid("entry") == F.col("id"), F.col("limit") - 1)))
+    go = go.select("at", "id", *limit, "turn", F.col("id").alias("above"), "beside", F.lit(0).cast("bigint").alias("dist"))
+    stay = F.struct("above", "beside", "dist")
     for k, level in enumerate(w.levels):
-        step = level.where(F.col("to").isNotNull()).select(F.col("at").alias("_at"), F.col("id").alias("_id"), "to")
-        met = go.join(step, (F.col("at") == F.col("_at")) & (F.col("above") == F.col("_id")) & (F.col("dist") + (1 << k) < F.col("n")), "left")
-        stay = F.struct("above", "dist")
-        both = F.when(F.col("to").isNull(), F.array(stay)).otherwise(F.array(stay, F.struct(F.col("to").alias("above"), (F.col("dist") + (1 << k)).alias("dist"))))
-        go = met.select("at", "id", "n", F.explode(both).alias("g")).select("at", "id", "n", "g.above", "g.dist")
-    return go
+        step = level.where(F.col("to").isNotNull()).select(F.col("at").alias("_at"), F.col("id").alias("_id"), "to", F.col("beside").alias("to_beside"))
+        on = (F.col("at") == F.col("_at")) & (F.col("above") == F.col("_id"))
+        if limit:
+            on = on & (F.col("limit").isNull() | (F.col("dist") + (1 << k) < F.col("limit")))
+        moved = F.struct(F.col("to").alias("above"), F.col("to_beside").alias("beside"), (F.col("dist") + (1 << k)).alias("dist"))
+        go = go.join(step, on, "left").select("at", "id", *limit, "turn", F.explode(F.when(F.col("to").isNull(), F.array(stay)).otherwise(F.array(stay, moved))).alias("g"))
+        go = go.select("at", "id", *limit, "turn", "g.above", "g.beside", "g.dist")
+    here = F.struct("above", "dist")
+    both = F.when(F.col("beside").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("beside").alias("above"), (F.col("dist") + 1).alias("dist"))))
+    return go.select("at", "id", "turn", F.explode(both).alias("g")).select(
+        "at", "id", "g.above", "g.dist", F.coalesce(F.col("g.dist") == F.col("turn"), F.lit(False)).alias("closes"))
 
 
 def _with_paths(w: Walks, start: DataFrame | None = None) -> DataFrame:
-    """at, id, path, labels of the given blockers: whole paths, put together in one aggregation."""
-    on = w.base.select("at", F.col("id").alias("above"), "node", "label")
-    steps = ancestors(w, start).join(on, ["at", "above"]).groupBy("at", "id").agg(F.sort_array(F.collect_list(F.struct("dist", "node", "label"))).alias("s"))
-    return steps.select("at", "id", F.col("s.node").alias("path"), F.col("s.label").alias("labels"))
+    """at, id, path, labels, next and end of the given blockers: whole paths, put together in one aggregation."""
+    on = w.base.select("at", F.col("id").alias("above"), F.struct("node", "label", "next").alias("x"))
+    steps = ancestors(w, start).join(on, ["at", "above"]).groupBy("at", "id").agg(
+        F.sort_array(F.collect_list(F.struct("dist", "x.node", "x.label"))).alias("s"), F.max_by("x.next", "dist").alias("next"))
+    steps = steps.select("at", "id", F.col("s.node").alias("path"), F.col("s.label").alias("labels"), "next")
+    sids = F.transform("path", lambda x: F.struct(x["inst"].alias("inst"), x["sid"].alias("sid")))
+    return steps.withColumn("end", F.when(F.col("next").isNull(), "leaf").when(F.array_contains(sids, _sid("next")), "cycle").otherwise("idle"))
 
 
 def blocker_paths(s: DataFrame, label: Column) -> DataFrame:
@@ -280,10 +326,24 @@ def blocker_paths(s: DataFrame, label: Column) -> DataFrame:
     session waits for, NULL for a true end) and end: 'leaf', 'idle' (blocker not sampled) or 'cycle'.
     """
     w = walks(_nodes(s, label))
-    return (w.ends.join(_with_paths(w), ["at", "id"]).join(w.base.select("at", "id", "node"), ["at", "id"])
+    return (_with_paths(w).join(w.base.select("at", "id", "node"), ["at", "id"])
             .select("at", "node", "path", "labels", "next", "end"))
 
 
+def sampled_paths(s: DataFrame, label: Column) -> DataFrame:
+    """at, node, path and labels of every given session: session_paths over blocker_paths, with the samples read once and each path looked up once."""
+    rows = checkpoint(_nodes(s, label))
+    w = walks(rows)
+    own = rows.withColumn("id", _sid("node")).join(w.base.select("at", "id", F.lit(True).alias("is_blocker")), ["at", "id"], "left")
+    blocks = F.col("is_blocker").isNotNull()
+    asks = own.select("at", "node", "label", blocks.alias("blocks"), F.when(blocks, F.col("id")).otherwise(_sid("next")).alias("start"))
+    mine = lambda c: F.when(F.col("blocks"), F.array().cast(f"array<{KINDS[c]}>")).otherwise(F.array(c))
+    alone = asks.where(F.col("start").isNull()).select("at", "node", F.array("node").alias("path"), F.array("label").alias("labels"))
+    met = asks.where(F.col("start").isNotNull()).join(_with_paths(w).select("at", F.col("id").alias("start"), "path", "labels"), ["at", "start"], "left")
+    return alone.unionByName(met.select("at", "node", F.concat(mine("node"), F.coalesce("path", F.array().cast(f"array<{WHOLE}>"))).alias("path"),
+                                        F.concat(mine("label"), F.coalesce("labels", F.array().cast("array<string>"))).alias("labels")))
+
+
 def session_paths(s: DataFrame, label: Column, paths: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Full blocker path of every given session; blockers already have theirs in paths."""
     mine = s.select(
@@ -318,9 +378,9 @@ def wait_chains(s: DataFrame, start: Column, label: Column, begin: str, end: str
     nodes = checkpoint(rows.select(
         F.col("sample_id").alias("at"), _node("inst_id", "session_id", "session_serial").alias("node"), F.coalesce(label, F.lit("")).alias("label"),
         _node("blocking_inst_id", "blocking_session", "blocking_session_serial").alias("next"), F.coalesce(start, F.lit(False)).alias("starts")))
-    w = walks(nodes.drop("starts"))
-    ends = w.ends.select("at", "id", "n", F.col("next").alias("last"), *LANES)
-    blockers = ends.select("at", "id", F.lit(True).alias("is_blocker"))
+    w = walks(nodes.drop("starts"), numbered=True)
+    found = checkpoint(ends(w).select("at", "id", "n", F.col("next").alias("last"), *LANES))
+    blockers = w.base.select("at", "id", F.lit(True).alias("is_blocker"))
     first = nodes.where("starts").withColumn("id", _sid("node")).join(blockers, ["at", "id"], "left")
     # sessions that block nobody differ only by label and blocker: count them before the join
     plain = (first.where(F.col("is_blocker").isNull()).groupBy("at", "label", "next").agg(F.count(F.lit(1)).alias("cnt"))
@@ -328,7 +388,7 @@ def wait_chains(s: DataFrame, start: Column, label: Column, begin: str, end: str
     inside = first.where(F.col("is_blocker")).select("at", "id", F.lit(None).cast("string").alias("label"), F.lit(None).cast(WHOLE).alias("next"),
                                                      F.lit(1).cast("bigint").alias("cnt"))
     free = plain.where(F.col("id").isNull()).select("*", *[F.lit(None).alias(c) for c in ("n", "last", *LANES)])
-    met = plain.where(F.col("id").isNotNull()).unionByName(inside).join(ends, ["at", "id"], "left").unionByName(free)
+    met = plain.where(F.col("id").isNotNull()).unionByName(inside).join(found, ["at", "id"], "left").unionByName(free)
     own = [F.when(F.col("label").isNull(), F.col(h)).otherwise(
         _plus(_number("label", i), F.when(F.col(h).isNull(), 0).otherwise(_times(F.lit(BASE), F.col(h))))).alias(h) for i, h in enumerate(LANES)]
     length = F.coalesce("n", F.lit(0)) + F.when(F.col("label").isNull(), 0).otherwise(1)
@@ -362,12 +422,14 @@ def wait_chains(s: DataFrame, start: Column, label: Column, begin: str, end: str
         ratio(F.col("cnt") * weight, seconds, 1).alias("aas"), F.col("chain").alias("wait_chain"))
 
 
-def hang_tree(s: DataFrame, texts: DataFrame | None = None, roots: Column | None = None, text_chars: int | None = None) -> DataFrame:
+def hang_tree(s: DataFrame, texts: DataFrame | None = None, roots: Column | None = None, text_chars: int | None = None,
+              true_roots: bool = False) -> DataFrame:
     """For samples with a hang participant: every session under each of its direct and indirect blockers.
 
     A row says that session is reached from root at level (1 = the root itself). Without roots all
     sessions are roots, as in the procedural original; in_cycle marks the row whose session blocks
     the root it was reached from. text_chars cuts the statement text for print; whole texts otherwise.
+    true_roots: only trees below sessions that wait for nobody; these are ends of paths, so no other blockers are listed.
     """
     flagged = s.where(F.col("hangchain_info") == "Y").select("sample_id").distinct()
     keep = ["sample_time", "event", "time_waited", "session_type", "sql_id", "seq_no"]
@@ -376,14 +438,18 @@ def hang_tree(s: DataFrame, texts: DataFrame | None = None, roots: Column | None
         _node("blocking_inst_id", "blocking_session", "blocking_session_serial").alias("next")))
     w = walks(rows.select("at", "node", "label", "next"))
     # walking up from a session is walking down from each of its blockers, read backwards
-    ends = w.ends.select("at", "id", F.lit(True).alias("is_blocker"), F.when(F.col("end") == "cycle", _sid("next")).alias("back"))
-    own = rows.withColumn("id", _sid("node")).join(ends, ["at", "id"], "left")
+    own = rows.withColumn("id", _sid("node")).join(w.base.select("at", "id", F.lit(True).alias("is_blocker")), ["at", "id"], "left")
     other = F.col("is_blocker").isNull()
-    alone = own.where(other).select("at", *keep, "node", F.col("id").alias("above"), F.lit(1).cast("bigint").alias("level"), F.lit("NO").alias("in_cycle"))
-    asks = own.withColumns({"start": F.when(other, _sid("next")).otherwise(F.col("id")), "shift": F.when(other, 2).otherwise(1)}).drop("id")
-    closes = (F.col("back") == F.col("start")) & (F.col("dist") == F.col("n") - 1) & ~other
-    under = asks.where(F.col("start").isNotNull()).join(ancestors(w).withColumnRenamed("id", "start"), ["at", "start"]).select(
-        "at", *keep, "node", "above", (F.col("dist") + F.col("shift")).alias("level"), F.when(closes, "YES").otherwise("NO").alias("in_cycle"))
+    alone = own.where(other & F.col("next").isNull() if true_roots else other).select(
+        "at", *keep, "node", F.col("id").alias("above"), F.lit(1).cast("bigint").alias("level"), F.lit("NO").alias("in_cycle"))
+    asks = own.withColumns({"start": F.when(other, _sid("next")).otherwise(F.col("id")), "shift": F.when(other, 2).otherwise(1)}).drop("id", "next", "label")
+    if true_roots:  # one at most: the end of the path
+        above = ends(w).where("end = 'leaf'").select("at", F.col("id").alias("start"), F.col("last").alias("above"), (F.col("n") - 1).alias("dist"), F.lit(False).alias("closes"))
+        alone = alone.where(F.col("above").isNotNull())
+    else:
+        above = ancestors(w).withColumnRenamed("id", "start")
+    under = asks.where(F.col("start").isNotNull()).join(above, ["at", "start"]).select(
+        "at", *keep, "node", "above", (F.col("dist") + F.col("shift")).alias("level"), F.when(F.col("closes") & ~other, "YES").otherwise("NO").alias("in_cycle"))
     out = alone.unionByName(under).select(
         F.col("at").alias("sample_id"), "sample_time", F.col("above.inst").alias("root_inst"), F.col("above.sid").alias("root_session"),
         F.col("level").cast("int").alias("level"), F.col("node.inst").alias("inst_id"), F.col("node.sid").alias("session_id"),

@@ -145,3 +145,27 @@ def test_nearest_holder_against_a_plain_walk(spark):
         want.append((d[0], d[2], d[9] if obj in (None, -1) else obj))
     key = lambda t: tuple(map(str, t))
     assert sorted(((x["sample_id"], x["session_id"], x["contended_obj"]) for x in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_below_true_roots_and_paths_of_all(spark, seed):
+    data = random_samples(seed + 80)
+    by_id = {(r[0], r[3]): r for r in data}
+    s = spark.createDataFrame(data, SCHEMA)
+    cols = ["sample_id", "root_session", "level", "session_id", "in_cycle"]
+    tree = B.hang_tree(s)
+    free = s.where("blocking_session IS NULL").select("sample_id", F.col("session_id").alias("root_session"))
+    assert rows(B.hang_tree(s, true_roots=True), *cols) == rows(tree.join(free, ["sample_id", "root_session"], "left_semi"), *cols)
+    got = {(r["at"], r["node"]["sid"]): ([n["sid"] for n in r["path"]], list(r["labels"])) for r in B.sampled_paths(s, F.col("event")).collect()}
+    assert got == {k: (walk(by_id, *k)[0], [by_id[k[0], x][5] for x in walk(by_id, *k)[0]]) for k in by_id}
+
+
+def test_rings_cost_no_rounds(spark):
+    """Pairs that wait for each other, sessions that wait for themselves and short ways to both: the levels end with the longest way."""
+    data = [x for i in range(1, 40, 4) for x in (sample(1, i, i + 1), sample(1, i + 1, i), sample(1, i + 2, i), sample(1, i + 3, i + 2))]
+    data += [sample(2, 1, 1), sample(2, 2, 1), sample(2, 3, 2)]
+    w = B.walks(B._nodes(spark.createDataFrame(data, SCHEMA), F.col("event")))
+    assert len(w.levels) == 2 and w.limits is None
+    got = {(r["at"], r["id"]["sid"]): (r["n"], r["end"], r["next"]["sid"]) for r in B.ends(w).collect()}
+    assert got[1, 1] == (2, "cycle", 1) and got[1, 2] == (2, "cycle", 2) and got[1, 3] == (3, "cycle", 1)
+    assert got[2, 1] == (1, "cycle", 1) and got[2, 2] == (2, "cycle", 1)
