@@ -36,8 +36,8 @@ def _matrix(keys, status, cond, service="", extra=""):
     return f"SELECT {keys}, {cells} FROM ({ROWS}) r {extra} WHERE {cond} GROUP BY ALL"
 
 
-def _states(t):
-    return D.resource_states(t.dump, NOW)
+def _states(t, *kinds):
+    return D.resource_states(t.dump, NOW, kinds)
 
 
 @query("s10_resource_states", f"SELECT kind, node, state, target, details, started_hours, disabled, count(*) AS cnt FROM ({ROWS}) r GROUP BY ALL")
@@ -76,7 +76,7 @@ def _(t):
        "r.role <> d.role AND state <> 'ONLINE'", f"JOIN (SELECT DISTINCT unit, {ROLE} AS role FROM dump WHERE kind = 'DB') d ON d.unit = r.unit - 1").replace("unit %", "r.unit %").replace("r.r.unit", "r.unit")
        .replace(f"FROM ({ROWS.replace('unit %', 'r.unit %')}) r", f"FROM ({ROWS}) r").replace("(SELECT DISTINCT unit, CASE WHEN r.unit % 4", "(SELECT DISTINCT unit, CASE WHEN unit % 4"))
 def _(t):
-    return R.sorted_by(R.service_matrix(_states(t), nodes=NODES), "database", "service")
+    return R.sorted_by(R.service_matrix(_states(t, "DB", "SERVICE"), nodes=NODES), "database", "service")
 
 
 VERSION = "'1' || (2 + unit % 7) || '.1.0'"

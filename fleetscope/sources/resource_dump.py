@@ -38,15 +38,24 @@ def parsed(records: DataFrame, *keep: Column) -> DataFrame:
 def _having(records: DataFrame, key: str) -> DataFrame:
     """Records with a value for key, parsed, with the plain resource name.
 
-    The test runs on the raw text and the name is never NULL, so no filter repeats the parsing.
+    The test runs on the raw text and the name is never NULL, so no filter repeats the parsing. The record is bound by a generator:
+    a record whose text is made by a query is made once, and no test on it gets below that query's distinct or grouping.
     """
+    records = records.select(F.explode(F.array("value")).alias("value"))
     plain = F.coalesce(F.regexp_extract("value", r"(?m)^NAME=(?:ora\.)?([^(\n]*)", 1), F.lit(""))
     return parsed(records.where(F.col("value").rlike(rf"(?m)^{key}=.")), plain.alias("plain"))
 
 
-def _profile(records: DataFrame) -> DataFrame:
+def _kind(plain: str = "plain") -> Column:
+    return labels.map_code(F.substring_index(plain, ".", -1), KINDS, "TECH")
+
+
+def _profile(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Static attributes of a resource, from its record that has an access list; the key arrays serve the per-server flags."""
-    raw = _having(records, "ACL").groupBy("plain").agg(F.max(F.struct("keys", "vals")).alias("r")).select("plain", "r.keys", "r.vals")
+    listed = _having(records, "ACL")
+    if kinds:
+        listed = listed.where(_kind().isin(*kinds))
+    raw = listed.groupBy("plain").agg(F.max(F.struct("keys", "vals")).alias("r")).select("plain", "r.keys", "r.vals")
     return raw.select(
         "plain", acl_owner(attribute("ACL")).alias("owner"), acl_group(attribute("ACL")).alias("owner_group"),
         attribute("ORACLE_HOME").alias("home"), version_from_path(attribute("ORACLE_HOME")).alias("version"),
@@ -55,14 +64,16 @@ def _profile(records: DataFrame) -> DataFrame:
         F.lower(attribute("VOLUME_DEVICE")).alias("device"), F.col("keys").alias("profile_keys"), F.col("vals").alias("profile_vals"))
 
 
-def resource_states(records: DataFrame, now: str) -> DataFrame:
+def resource_states(records: DataFrame, now: str, kinds: tuple[str, ...] = ()) -> DataFrame:
     """One row per resource and server: state, target, hours since the last change, details, and the static attributes.
 
-    For databases the target comes from the open mode.
+    For databases the target comes from the open mode. kinds: only these, of whose resources alone records are parsed.
     """
     raw = _having(records, "LAST_SERVER").select(
         "plain", F.regexp_replace("plain", r"\.[A-Za-z0-9]*$", "").alias("resource"), F.substring_index("plain", ".", -1).alias("ending"),
-        labels.map_code(F.substring_index("plain", ".", -1), KINDS, "TECH").alias("kind"), *[attribute(k).alias(k) for k in DYNAMIC])
+        _kind().alias("kind"), *[attribute(k).alias(k) for k in DYNAMIC])
+    if kinds:
+        raw = raw.where(F.col("kind").isin(*kinds))
     states = raw.select(
         "plain", "kind", "resource", F.when(F.col("kind").isin("DB", "PDB", "SERVICE"), F.substring_index("resource", ".", 1)).alias("database"),
         F.when(F.col("kind").isin("PDB", "SERVICE"), F.regexp_replace("resource", r"^[^.]*\.", "")).alias("part"),
@@ -74,7 +85,7 @@ def resource_states(records: DataFrame, now: str) -> DataFrame:
     at_server = F.concat(F.lit("ENABLED@SERVERNAME("), F.col("node"), F.lit(")"))
     flag = lambda key: attribute(key, "profile_keys", "profile_vals")
     enabled = F.coalesce(flag(at_server), flag("ENABLED"), F.lit("1"))
-    return states.join(_profile(records), "plain", "left").withColumn("disabled", enabled == "0").drop("profile_keys", "profile_vals", "plain")
+    return states.join(_profile(records, kinds), "plain", "left").withColumn("disabled", enabled == "0").drop("profile_keys", "profile_vals", "plain")
 
 
 def explode_status_lists(records: DataFrame) -> DataFrame:

@@ -79,3 +79,19 @@ def test_services_of_unknown_databases_are_ignored(spark, tmp_path):
 def test_status_lists_of_unequal_length(spark):
     df = spark.createDataFrame([("NAME=ora.x\nTYPE=t\nTARGET=ONLINE, ONLINE\nSTATE=ONLINE on a",)], "value string")
     assert rows(D.explode_status_lists(df), "name", "target", "state") == [("ora.x", "ONLINE", "ONLINE on a"), ("ora.x", "ONLINE", None)]
+
+
+def test_texts_made_by_a_query_are_made_once(spark):
+    """No test on the text gets below the distinct that the texts come from; kinds give the rows of the whole with that kind."""
+    parts = [(x,) for x in DUMP.split("BREAK_HERE\n") if x] * 2
+    records = spark.createDataFrame(parts, "part string").selectExpr("concat(part, '') AS value").distinct()
+    whole, some = D.resource_states(records, "2024-01-20 00:00:00"), D.resource_states(records, "2024-01-20 00:00:00", ("DB",))
+    for found in (whole.where("kind = 'DB'"), some):
+        lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        for i, line in enumerate(lines):
+            if "Generate " in line:
+                below = lines[i + 1:next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))]
+                assert below and not any("RLIKE" in x for x in below)
+        assert sum("Generate " in x for x in lines) == 2
+    assert rows(some, *whole.columns) == rows(whole.where("kind = 'DB'"), *whole.columns) != []
