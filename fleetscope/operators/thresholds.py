@@ -31,19 +31,22 @@ def threshold_snapshot(targets: DataFrame, settings: DataFrame, collections: Dat
     # schedules repeat a lot: parse every text once
     plans = collections.select("schedule_xml").distinct().withColumn("collection_frequency", schedule("schedule_xml"))
     collections = collections.join(plans, "schedule_xml", "left").drop("schedule_xml")
-    full = (
-        targets.join(settings, "target_guid", "left")
-        .join(collections, ["target_guid", "metric_guid", "collection_name"], "left")
-        .join(label, "metric_guid", "left")
-        .join(named, "target_guid", "left")
-    )
     key = F.when(F.col("column_label").isin(labels.USER_METRIC_LABELS), F.col("key_value2")).otherwise(F.col("key_value"))
-    return has_threshold(full.select(
-        ts(date).alias("date_collected"), "target_type", "target_name", "groups_grid", "host_name",
+    # what a row needs is settled before it moves; a target without settings has no threshold
+    shown = has_threshold(settings.join(label, "metric_guid", "left").select(
+        "target_guid", "metric_guid", "collection_name",
         labels.metric_label("column_label", "metric_name", "collection_name", "metric_title").alias("metric"),
         blank(key).alias("key_value"), labels.comparison_label("critical_operator", "warning_operator").alias("comparison_operator"),
         blank("warning_threshold").alias("warning_threshold"), blank("critical_threshold").alias("critical_threshold"),
-        "occurrence_count", "collection_frequency", "is_enabled", *[c for c in ("line_id",) if c in settings.columns]))
+        "occurrence_count", *[c for c in ("line_id",) if c in settings.columns]))
+    full = (
+        shown.join(collections, ["target_guid", "metric_guid", "collection_name"], "left")
+        .join(targets.join(named, "target_guid", "left"), "target_guid")
+    )
+    return full.select(
+        ts(date).alias("date_collected"), "target_type", "target_name", "groups_grid", "host_name", "metric", "key_value", "comparison_operator",
+        "warning_threshold", "critical_threshold", "occurrence_count", "collection_frequency", "is_enabled",
+        *[c for c in ("line_id",) if c in settings.columns])
 
 
 def user_metrics(current: DataFrame, thresholds: DataFrame, on: list[str], label: str, key: str) -> DataFrame:

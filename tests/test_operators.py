@@ -343,3 +343,26 @@ def test_sources_that_share_files(spark, tmp_path):
     errors = fleet.collect_at_once(registry, fleet.grouped_rows(landing, ["name"]), "name string", "2024-01-01", path, group=fleet.SLOT)
     assert rows(errors, "inst_id", "error") == sorted(((i, f"source {i} has nothing to read") for i in range(310) if i % 3 == 0 or i >= 300), key=lambda t: str(t[0]))
     assert rows(spark.read.parquet(path), "inst_id", "name") == sorted(((i, "p") for i in range(300) if i % 3), key=lambda t: str(t[0]))
+
+
+def test_threshold_snapshot_moves_settings_three_times(spark):
+    """Titles meet the settings before they are moved by other keys, targets and their groups come last; targets without settings have no row."""
+    from fleetscope.operators.thresholds import threshold_snapshot
+
+    targets = spark.createDataFrame([(1, "a", "host", "h1"), (2, "b", "host", "h2"), (3, "c", "host", "h3"), (None, "d", "host", "h4")], "target_guid long, target_name string, target_type string, host_name string")
+    settings = spark.createDataFrame([
+        (1, 10, 100, "Status", "load", "c1", " k ", None, 0, 9, " ", " 5 ", 1), (1, 11, 101, "Free", "load", "c2", " ", None, 2, 9, "7", None, 2),
+        (2, 10, 102, "Free", "load", "c1", " ", None, 1, 9, " ", None, 3), (None, 10, 103, "Free", "load", "c1", "k", None, 1, 9, "1", None, 4), (9, 10, 104, "Free", "load", "c1", "k", None, 1, 9, "1", None, 4)],
+        "target_guid long, metric_guid long, line_id long, column_label string, metric_name string, collection_name string, key_value string, key_value2 string, "
+        "critical_operator int, warning_operator int, warning_threshold string, critical_threshold string, occurrence_count int")
+    collections = spark.createDataFrame([(1, 10, "c1", 1, '<Schedule><IntervalSchedule INTERVAL="5"/></Schedule>')], "target_guid long, metric_guid long, collection_name string, is_enabled int, schedule_xml string")
+    titles = spark.createDataFrame([(10, "T ")], "metric_guid long, metric_label string")
+    groups = spark.createDataFrame([(1, "G2", "composite"), (1, "G1", "composite")], "member_guid long, group_name string, group_type string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = threshold_snapshot(targets, settings, collections, titles, groups, "2024-01-31 00:00:00")
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 9
+        assert rows(out, "target_name", "metric", "key_value", "comparison_operator", "warning_threshold", "critical_threshold", "collection_frequency", "groups_grid", "line_id") == [
+            ("a", "Free", None, "<", "7", None, None, "G1,G2", 101), ("a", "T - Status", "k", ">", None, "5", "5 Min", "G1,G2", 100)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
