@@ -116,11 +116,15 @@ def _described(rows: DataFrame, kind: str, shingle: int, percent: int) -> DataFr
     return rows.mapInArrow(batches, f"key {kind}, digest binary, n long, low array<long>")
 
 
-def _frequent(first: DataFrame):
-    """Sorted hashes of the shingles that most documents have among their least ones."""
+def _counts(lists: DataFrame, column: str) -> DataFrame:
+    """(z, count) of the shingles that enough documents have in their list."""
+    return lists.select(F.explode(column).alias("z")).groupBy("z").count().where(F.col("count") >= FREQUENT_FROM)
+
+
+def _most(counts: DataFrame):
+    """Sorted hashes of the counted shingles, of the most frequent ones if they are too many."""
     import numpy as np
 
-    counts = stored(first.select(F.explode("low").alias("z")).groupBy("z").count().where(F.col("count") >= FREQUENT_FROM), "frequent-shingles")
     steps = counts.groupBy(F.floor(4 * F.log2("count")).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least"))
     least, left = None, FREQUENT_MOST
     for r in steps.orderBy(F.desc("step")).collect():  # a few dozen rows
@@ -132,18 +136,51 @@ def _frequent(first: DataFrame):
     return np.sort(counts.where(F.col("count") >= least).select("z").toArrow().column(0).to_numpy().view(np.uint64))
 
 
+def _parted(known, hashes):
+    """A set's shingles that aren't frequent, and those that are."""
+    import numpy as np
+
+    if not len(known):
+        return hashes, hashes[:0]
+    last = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+    return hashes[~last], hashes[last]
+
+
+def _frequent(first: DataFrame, texts: DataFrame, kind: str, shingle: int, percent: int):
+    """Sorted hashes of the shingles that come last in the order.
+
+    Those that many documents have among their least ones; and of the documents whose least ones hold too few others, so
+    that their first shingles lie further on, those that many have anywhere. Without the second kind the members of a
+    family would meet under its shingles with higher hashes, before the ones that only one of them has.
+    """
+    counts = stored(_counts(first, "low"), "frequent-shingles")
+    known = first.sparkSession.sparkContext.broadcast(_most(counts))
+
+    def short(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in parts:
+            lows, sizes = _lists(b.column(2)), b.column(1).to_pylist()
+            yield b.select([0]).filter(pa.array([len(x) < n and len(_parted(known.value, x)[0]) < first_of(n, percent) for n, x in zip(sizes, lows)], pa.bool_()))
+
+    def whole(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([_as_lists([shingle_set(normal(t.as_py()), shingle) for t in b.column(1)])], names=["grams"])
+
+    asked = stored(first.select("key", "n", "low").mapInArrow(short, f"key {kind}").withColumnRenamed("key", "_short"), "mostly-frequent")
+    sets = texts.join(_small(asked), F.col("key") == F.col("_short"), "left_semi").mapInArrow(whole, "grams array<long>")
+    both = counts.unionByName(_counts(sets, "grams")).groupBy("z").agg(F.max("count").alias("count"))
+    return _most(stored(both, "frequent-in-whole-sets"))
+
+
 def _firsts(first: DataFrame, texts: DataFrame, kind: str, frequent, shingle: int, percent: int) -> DataFrame:
     """key, n, the first shingles of every set in the order, and how many of them aren't frequent."""
     import numpy as np
 
     known = first.sparkSession.sparkContext.broadcast(frequent)
 
-    def parted(hashes):
-        if not len(known.value):
-            return hashes, hashes[:0]
-        last = known.value[np.minimum(np.searchsorted(known.value, hashes), len(known.value) - 1)] == hashes
-        return hashes[~last], hashes[last]
-
     def listed(keys, sizes, chosen, rare):
         import pyarrow as pa
 
@@ -153,7 +190,7 @@ def _firsts(first: DataFrame, texts: DataFrame, kind: str, frequent, shingle: in
         for b in parts:
             chosen, rare = [], []
             for n, low in zip(b.column(1).to_pylist(), _lists(b.column(2))):
-                few, many = parted(low)
+                few, many = _parted(known.value, low)
                 need = first_of(n, percent)
                 enough = len(few) >= need or len(low) == n  # else the whole set must be seen
                 chosen.append(np.concatenate([few, many])[:need] if enough else low[:0])
@@ -166,7 +203,7 @@ def _firsts(first: DataFrame, texts: DataFrame, kind: str, frequent, shingle: in
         for b in parts:
             chosen, rare, sizes = [], [], []
             for t in b.column(1):
-                few, many = parted(shingle_set(normal(t.as_py()), shingle))
+                few, many = _parted(known.value, shingle_set(normal(t.as_py()), shingle))
                 sizes.append(len(few) + len(many))
                 need = first_of(sizes[-1], percent)
                 chosen.append(np.concatenate([few, many])[:need])
@@ -181,7 +218,7 @@ def _firsts(first: DataFrame, texts: DataFrame, kind: str, frequent, shingle: in
 
 
 def _regions(firsts: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """(region, pivot, key, n, rest, shorter, size): documents under a common first shingle.
+    """(region, key, n, rest, shorter, rare, size, least): documents under a common first shingle.
 
     Regions of shingles that aren't frequent are small and seen as windows; the others are aggregated and joined, which
     Spark splits where one shingle has very many documents. Large regions without a possible shorter one of a pair go.
@@ -189,21 +226,26 @@ def _regions(firsts: DataFrame, percent: int, leaf: int) -> DataFrame:
     rows = firsts.select("key", "n", F.posexplode("first").alias("at", "z"), "rare")
     rows = rows.withColumns({"rest": F.col("n") - F.col("at"), "shorter": F.col("at") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1})
     rare, often = rows.where("at < rare"), rows.where("at >= rare")
-    whole = {"pivot": F.min("key"), "size": F.count(F.lit(1)), "least": F.min(F.when(F.col("shorter"), F.col("n")))}
+    whole = {"size": F.count(F.lit(1)), "least": F.min(F.when(F.col("shorter"), F.col("n")))}
     small = rare.withColumns({c: f.over(Window.partitionBy("z")) for c, f in whole.items()})
     large = often.join(often.groupBy("z").agg(*[f.alias(c) for c, f in whole.items()]), "z")
     met = small.unionByName(large).where((F.col("size") > 1) & (F.col("least").isNotNull() | (F.col("size") <= leaf)))
-    return stored(met.select(F.col("z").cast("string").alias("region"), "pivot", "key", "n", "rest", "shorter", "size", "least"), "regions")
+    return stored(met.select(F.col("z").cast("string").alias("region"), "key", "n", "rest", "shorter", "rare", "size", "least"), "regions")
 
 
 def _meeting(large: DataFrame, percent: int) -> DataFrame:
-    """Rows of large regions that can be met there first: enough is left behind the shingle for the region's smallest possible partner.
+    """(region, pivot, key, n, rest, shorter) of what can be met in large regions, regions with the same pivot as one.
 
-    Then only the regions' new pivots and sizes count.
+    Rows stay whose rest behind the shingle is enough for the region's smallest possible partner. The pivot is the document
+    with the fewest shingles that aren't frequent: in a family of near copies the one with the fewest edits, to which most
+    others link. The copies share dozens of first shingles, hence as many regions with this one pivot; every document
+    stands once in the one made of them, with the most that any of its rows there leaves behind.
     """
-    able = large.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))).drop("pivot", "size", "least")
-    ends = able.groupBy("region").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return stored(able.join(ends, "region"), "large-regions")
+    able = large.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))).drop("size", "least")
+    ends = able.groupBy("region").agg(F.min(F.struct("rare", "key")).alias("one"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = able.join(ends.select("region", F.col("one.key").alias("pivot")), "region")
+    one = met.groupBy("pivot", "key").agg(F.first("n").alias("n"), F.max("rest").alias("rest"), F.bool_or("shorter").alias("shorter"))
+    return stored(one.withColumn("region", F.col("pivot").cast("string")), "large-regions")
 
 
 def _close(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
@@ -346,7 +388,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
     same = able.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     copies = stored(able.select("key", "digest").join(same, "digest").where("key != least").select("least", "key"), "copies")
     first = able.join(_small(copies.select(F.col("key").alias("_gone"))), F.col("key") == F.col("_gone"), "left_anti")
-    met = _regions(_firsts(first, texts, kind, _frequent(first), shingle, percent), percent, leaf)
+    met = _regions(_firsts(first, texts, kind, _frequent(first, texts, kind, shingle, percent), shingle, percent), percent, leaf)
     small, large = met.where(F.col("size") <= leaf), met.where(F.col("size") > leaf)
     close = _close(small, large, percent)
     large = _meeting(large, percent)

@@ -100,3 +100,18 @@ def test_first_shingles():
         if y and 100 * len(x & y) >= percent * len(x | y):
             short, long_ = sorted((x, y), key=len)
             assert set(sorted(short)[:metric_join.first_of_shorter(len(short), percent)]) & set(sorted(long_)[:metric_join.first_of(len(long_), percent)])
+
+
+def test_families_of_edited_copies_meet_once(spark, monkeypatch):
+    """Copies with edits share dozens of first shingles: they are met once, not under each, and those with too many edits not at all."""
+    kept, store = {}, metric_join.stored
+    monkeypatch.setattr(metric_join, "stored", lambda df, name: kept.setdefault(name, []).append(out := store(df, name)) or out)
+    r, base = random.Random(26), [f"b{i}" for i in range(400)]
+    texts = {0: " ".join(base)} | {d: " ".join(edited(r, base, r.uniform(0.005, 0.08))) for d in range(1, 250)}
+    expected = want(texts)
+    assert found(spark, texts) == expected
+    linked = sum(c == 0 for _, c in expected.values())
+    assert 50 < linked < 200
+    met = kept["large-regions"][0]
+    assert met.count() == met.select("key").distinct().count() <= 1.5 * linked
+    assert sum(m.count() for m in kept.get("met", [])) <= 20 * len(texts)
